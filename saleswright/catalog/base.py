@@ -79,7 +79,7 @@ def with_ctes(text: str) -> str:
 
     def visit(body: str) -> None:
         for name in CTES:
-            if name not in order and re.search(rf"\b{name}\b", body):
+            if name not in order and body != CTES[name] and re.search(rf"(?:FROM|JOIN|,)\s+{name}\b", body):
                 visit(CTES[name])
                 if name not in order:
                     order.append(name)
