@@ -1,2 +1,225 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Splits, back-tests, forecasters and trained models."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import evaluate, forecast, linear, model, split
+from ..operators.requests import sample_rows
+from ..plans.backtest import naive_holdout
+from ..session import scratch_dir
+from ..sources import sample
+from . import base
+from .accuracy import METRIC_NAMES, metrics_sql
+from .base import LINEAR_FEATURES, define, predict_sql, r, rounded, sql_table
+
+H = 14
+
+
+def f1_time_split(spark, sf_dir):
+    train, valid = split.time_split(base.fact(spark, sf_dir), 90)
+    sides = [
+        df.agg(F.count(F.lit(1)).alias("n_rows"), F.min("date").alias("first"), F.max("date").alias("last")).select(F.lit(name).alias("side"), "*")
+        for name, df in (("train", train), ("valid", valid))
+    ]
+    return sides[0].unionByName(sides[1])
+
+
+def f2_fold_table(spark, sf_dir):
+    return split.folds(base.fact(spark, sf_dir), n_splits=80)
+
+
+def f2_walk_forward(spark, sf_dir):
+    rows = split.walk_forward(base.fact(spark, sf_dir), gap_days=30)
+    return rows.groupBy("fold", "role").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("date").alias("first"), F.max("date").alias("last"), r(F.sum("sales"), 2).alias("sales")
+    )
+
+
+def _cv(spark, sf_dir):
+    rows = split.walk_forward(base.series(spark, sf_dir), date="ds")
+    return split.cross_validate(forecast.naive_forecaster(), rows)
+
+
+def f3_cv_folds(spark, sf_dir):
+    per_fold, _ = _cv(spark, sf_dir)
+    return rounded(per_fold, 4, *METRIC_NAMES)
+
+
+def f3_cv_pooled(spark, sf_dir):
+    _, pooled = _cv(spark, sf_dir)
+    return rounded(pooled, 4, *METRIC_NAMES, "mean_rmsle", "std_rmsle")
+
+
+def f4_seasonal_naive(spark, sf_dir):
+    return forecast.seasonal_naive(base.series(spark, sf_dir), H)
+
+
+def f5_smoothing_fixed(spark, sf_dir):
+    flat = forecast.ets(base.series(spark, sf_dir), H, alphas=(0.3,))
+    return rounded(flat.select("unique_id", "ds", "y_hat"), 3, "y_hat")
+
+
+def f5_smoothing_grid(spark, sf_dir):
+    return forecast.ets(base.series(spark, sf_dir), H, m=7)
+
+
+def f6_forecast_all_naive(spark, sf_dir):
+    return rounded(forecast.forecast_all(base.series(spark, sf_dir), 21, models=("SeasonalNaive",)), 3, "lo", "hi")
+
+
+def f6_forecast_all(spark, sf_dir):
+    return forecast.forecast_all(base.series(spark, sf_dir), H)
+
+
+def f7_rolling_origin(spark, sf_dir):
+    scored = forecast.cv_series(base.series(spark, sf_dir), forecast.naive_forecaster(), H)
+    return rounded(evaluate.metrics(scored, ["fold"]), 4, *METRIC_NAMES)
+
+
+def f7_rolling_origin_ets(spark, sf_dir):
+    scored = forecast.cv_series(base.series(spark, sf_dir), forecast.ets_forecaster(), H, windows=2)
+    return evaluate.metrics(scored, ["fold"])
+
+
+def _sides(spark, sf_dir):
+    return split.time_split(base.staged_features(spark, sf_dir), 90)
+
+
+def f8_boosted_trees(spark, sf_dir):
+    train, valid = _sides(spark, sf_dir)
+    fitted = model.fit_gbt(train, valid, rounds=8, depth=4, step=0.3, tol=0.001)
+    return evaluate.metrics(model.score(fitted, valid), ["family"], "sales", "prediction")
+
+
+def f8_tree_importances(spark, sf_dir):
+    train, valid = _sides(spark, sf_dir)
+    return model.tree_importances(spark, model.fit_gbt(train, valid, rounds=3, depth=3, step=0.3))
+
+
+def f9_linear_baseline(spark, sf_dir):
+    train, valid = _sides(spark, sf_dir)
+    return evaluate.metrics(model.score(model.fit_linear(train), valid), ["family"], "sales", "prediction")
+
+
+def f9_single_feature_lines(spark, sf_dir):
+    y, x = F.col("sales"), F.col("sales_rolling_mean_28")
+    return base.staged_features(spark, sf_dir).groupBy("family").agg(
+        r(F.regr_slope(y, x), 6).alias("slope"), r(F.regr_intercept(y, x), 3).alias("intercept"), r(F.regr_r2(y, x), 6).alias("r2")
+    )
+
+
+def f10_linear_scores(spark, sf_dir):
+    feats = base.staged_features(spark, sf_dir)
+    scored = linear.score_linear(feats, linear.marginal_linear(feats, LINEAR_FEATURES), LINEAR_FEATURES)
+    return scored.select("unique_id", "date", r(F.col("prediction"), 2).alias("prediction"))
+
+
+def f12_saved_model(spark, sf_dir):
+    train, valid = _sides(spark, sf_dir)
+    fitted = model.fit_linear(train)
+    again = model.load(model.save(fitted, scratch_dir(spark, "model")))
+    keys = ["unique_id", "date"]
+    return evaluate.compare_predictions(model.score(fitted, valid), model.score(again, valid), keys, "prediction")
+
+
+def l7_sampled_rows(spark, sf_dir):
+    return sample_rows(base.staged_features(spark, sf_dir).select("unique_id", "date", "sales"), 1000, ["unique_id", "date"])
+
+
+def naive_holdout_by_family(spark, sf_dir):
+    scored = naive_holdout(base.fact(spark, sf_dir), sample.external(spark, sf_dir), horizon=28, days=90)
+    return rounded(scored, 4, *METRIC_NAMES)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        f1_time_split, f2_fold_table, f2_walk_forward, f3_cv_folds, f3_cv_pooled, f4_seasonal_naive, f5_smoothing_fixed,
+        f5_smoothing_grid, f6_forecast_all_naive, f6_forecast_all, f7_rolling_origin, f7_rolling_origin_ets, f8_boosted_trees,
+        f8_tree_importances, f9_linear_baseline, f9_single_feature_lines, f10_linear_scores, f12_saved_model, l7_sampled_rows,
+        naive_holdout_by_family,
+    )
+}
+
+
+def _folds(n: int, gap: int = 0) -> str:
+    return f"""
+SELECT row_number() OVER (ORDER BY i) AS fold, * FROM (
+  SELECT i, valid_end - 90 - {gap} - 365 AS train_start, valid_end - 90 - {gap} AS train_end, valid_end - 90 AS valid_start, valid_end, mn
+  FROM (SELECT i, mn, mx - CAST(i * 30 AS INTEGER) AS valid_end FROM (SELECT max(date) AS mx, min(date) AS mn FROM fact_region), range({n}) t(i))) b
+WHERE train_start >= mn AND EXISTS (SELECT 1 FROM fact_region f WHERE f.date >= b.train_start AND f.date < b.train_end)
+  AND EXISTS (SELECT 1 FROM fact_region f WHERE f.date BETWEEN b.valid_start AND b.valid_end)"""
+
+
+define("folds_many", _folds(80))
+define("folds_gap", _folds(3, 30))
+define("folds_plain", _folds(3))
+define("folds_series", """
+SELECT fold, unique_id, max(ds) FILTER (WHERE role = 'train') OVER (PARTITION BY fold, unique_id) AS last_ds, ds, y, role
+FROM (SELECT b.fold, s.unique_id, s.ds, s.y, CASE WHEN s.ds < b.train_end THEN 'train' ELSE 'valid' END AS role
+      FROM series_region s JOIN folds_plain b ON s.ds >= b.train_start AND s.ds <= b.valid_end)""")
+define("origin_series", f"""
+SELECT unique_id, ds, y, fold, CASE WHEN ds <= cutoff THEN 'train' ELSE 'valid' END AS role,
+       max(ds) FILTER (WHERE ds <= cutoff) OVER (PARTITION BY fold, unique_id) AS last_ds
+FROM (SELECT s.*, i AS fold, e - {H} - CAST((3 - i) * 30 AS INTEGER) AS cutoff
+      FROM (SELECT *, max(ds) OVER (PARTITION BY unique_id) AS e FROM series_region) s, range(1, 4) t(i)) WHERE ds <= cutoff + {H}""")
+define("holdout_series", """
+SELECT 1 AS fold, unique_id, ds, y, role, family, max(ds) FILTER (WHERE role = 'train') OVER (PARTITION BY unique_id) AS last_ds
+FROM (SELECT unique_id, date AS ds, sales AS y, family, CASE WHEN date < (SELECT max(date) - 90 FROM features_28) THEN 'train' ELSE 'valid' END AS role
+      FROM features_28)""")
+
+
+def _naive(rows: str, columns: str = "v.fold, v.unique_id, v.ds, v.y") -> str:
+    """Seasonal naive predictions of the valid rows of a fold frame."""
+    return f"""
+SELECT {columns}, t.y AS y_hat FROM {rows} v JOIN (
+  SELECT *, row_number() OVER (PARTITION BY fold, unique_id ORDER BY ds DESC) AS back, count(*) OVER (PARTITION BY fold, unique_id) AS n
+  FROM {rows} WHERE role = 'train') t
+ON v.fold = t.fold AND v.unique_id = t.unique_id AND t.n >= 7 AND t.back = 7 - (v.ds - v.last_ds - 1) % 7
+WHERE v.role = 'valid'"""
+
+
+define("cv_scored", _naive("folds_series"))
+define("origin_scored", _naive("origin_series"))
+define("holdout_scored", _naive("holdout_series", "v.fold, v.unique_id, v.ds, v.y, v.family"))
+define("naive_ahead", """
+SELECT t.unique_id, CAST(t.last_ds + CAST(step AS INTEGER) AS DATE) AS ds, CAST(step AS INTEGER) AS step, t.y AS y_hat
+FROM (SELECT *, row_number() OVER (PARTITION BY unique_id ORDER BY ds DESC) AS back, max(ds) OVER (PARTITION BY unique_id) AS last_ds,
+             count(*) OVER (PARTITION BY unique_id) AS n FROM series_region) t
+JOIN range(1, 22) s(step) ON t.back = 7 - (step - 1) % 7 WHERE n >= 7""")
+
+SQL = sql_table(
+    f1_time_split="""
+SELECT CASE WHEN date < (SELECT max(date) - 90 FROM fact_region) THEN 'train' ELSE 'valid' END AS side, count(*) AS n_rows, min(date) AS first, max(date) AS last
+FROM fact_region GROUP BY 1""",
+    f2_fold_table="SELECT fold, train_start, train_end, valid_start, valid_end FROM folds_many",
+    f2_walk_forward="""
+SELECT fold, role, count(*) AS n_rows, min(date) AS first, max(date) AS last, round(sum(sales), 2) AS sales
+FROM (SELECT b.fold, f.*, CASE WHEN f.date >= b.train_start AND f.date < b.train_end THEN 'train'
+        WHEN f.date >= b.valid_start AND f.date <= b.valid_end THEN 'valid' END AS role FROM fact_region f, folds_gap b)
+WHERE role IS NOT NULL GROUP BY fold, role""",
+    f3_cv_folds=f"SELECT fold, {metrics_sql()} FROM cv_scored GROUP BY fold",
+    f3_cv_pooled=f"""
+SELECT {metrics_sql()}, (SELECT round(avg(v), 4) FROM (SELECT sqrt(avg(pow(ln(1 + y) - ln(1 + y_hat), 2))) AS v FROM cv_scored GROUP BY fold)) AS mean_rmsle,
+       (SELECT round(stddev_pop(v), 4) FROM (SELECT sqrt(avg(pow(ln(1 + y) - ln(1 + y_hat), 2))) AS v FROM cv_scored GROUP BY fold)) AS std_rmsle,
+       count(DISTINCT fold) AS n_splits FROM cv_scored""",
+    f4_seasonal_naive=f"SELECT * FROM naive_ahead WHERE step <= {H}",
+    f5_smoothing_fixed=f"""
+SELECT unique_id, CAST(last_ds + CAST(step AS INTEGER) AS DATE) AS ds, round(level, 3) AS y_hat
+FROM (SELECT unique_id, max(ds) AS last_ds, sum(CASE WHEN k = 1 THEN pow(0.7, n - 1) ELSE 0.3 * pow(0.7, n - k) END * y) AS level
+      FROM (SELECT *, row_number() OVER (PARTITION BY unique_id ORDER BY ds) AS k, count(*) OVER (PARTITION BY unique_id) AS n FROM series_region)
+      GROUP BY unique_id), range(1, {H + 1}) s(step)""",
+    f6_forecast_all_naive="""
+SELECT 'SeasonalNaive' AS model, a.unique_id, a.ds, a.y_hat, CAST(l.level AS INTEGER) AS level,
+       round(a.y_hat - l.z * s.sigma * sqrt((a.step - 1) // 7 + 1), 3) AS lo, round(a.y_hat + l.z * s.sigma * sqrt((a.step - 1) // 7 + 1), 3) AS hi
+FROM naive_ahead a JOIN (SELECT unique_id, sqrt(avg(pow(y - b, 2))) AS sigma
+  FROM (SELECT *, lag(y, 7) OVER (PARTITION BY unique_id ORDER BY ds) AS b FROM series_region) GROUP BY unique_id) s USING (unique_id),
+  (VALUES (80, CAST(1.2815515655446004 AS DOUBLE)), (95, CAST(1.959963984540054 AS DOUBLE))) l(level, z)""",
+    f7_rolling_origin=f"SELECT fold, {metrics_sql()} FROM origin_scored GROUP BY fold",
+    f9_single_feature_lines="""
+SELECT family, round(regr_slope(sales, sales_rolling_mean_28), 6) AS slope, round(regr_intercept(sales, sales_rolling_mean_28), 3) AS intercept,
+       round(regr_r2(sales, sales_rolling_mean_28), 6) AS r2 FROM features_28 GROUP BY family""",
+    f10_linear_scores=f"SELECT f.unique_id, f.date, round({predict_sql()}, 2) AS prediction FROM features_28 f, model_params p",
+    naive_holdout_by_family=f"SELECT family, {metrics_sql()} FROM holdout_scored GROUP BY family",
+)

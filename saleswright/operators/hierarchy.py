@@ -204,10 +204,10 @@ def proxy_nodes(df: DataFrame, days: int = 30, value: str = "sales") -> DataFram
 def store_trees(nodes: DataFrame) -> DataFrame:
     """One nested row per store: its families in order of name as ``children``."""
     child = F.struct("name", "id", "level", "prediction")
-    children = nodes.where(F.col("level") == "family").groupBy("parent_id").agg(
+    below = nodes.where(F.col("level") == "family").groupBy(F.col("parent_id").alias("id")).agg(
         F.sort_array(F.collect_list(child)).alias("children")
     )
-    return nodes.where(F.col("level") == "store").join(children, F.col("id") == children["parent_id"], "left").select(
+    return nodes.where(F.col("level") == "store").join(below, "id", "left").select(
         "store_nbr", "id", "name", "level", "prediction", "children"
     )
 

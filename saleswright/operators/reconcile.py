@@ -19,7 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import BOTTOM, FAMILY, STORE, TOTAL
+from ..sources.stages import materialised
 from .evaluate import metrics
+
 from .hierarchy import aggregate_levels, node_key
 
 
@@ -99,7 +101,8 @@ def mint_shrink(nodes: DataFrame, residuals: DataFrame) -> DataFrame:
     if n_agg > MAX_AGGREGATES or n_days > MAX_DAYS:
         raise ValueError(f"{n_agg} aggregates over {n_days} days are too many for one solve; use mint_ols")
 
-    panel = _residual_panel(residuals, n_days)
+    # The panel is read several times below: write it once, so that no step repeats what led to it.
+    panel = materialised(_residual_panel(residuals, n_days), "residual_panel")
     lam = shrinkage(panel, n_days)
     variance = panel.select("level", "node_id", "store_nbr", "family", "variance")
 

@@ -34,6 +34,11 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to the shared scratch folder and read it back: cuts its lineage, survives lost executors."""
+    return df.sparkSession.read.parquet(write_stage(df, scratch_dir(df.sparkSession, name)))
+
+
 _STAGED: dict[tuple[str, ...], str] = {}
 
 
