@@ -121,7 +121,7 @@ def a16_approx_dimension_counts(spark, sf_dir):
 
 def contributions(spark, sf_dir) -> DataFrame:
     feats = base.staged_features(spark, sf_dir)
-    return linear.linear_contributions(feats, linear.marginal_linear(feats, LINEAR_FEATURES), LINEAR_FEATURES)
+    return linear.linear_contributions(feats, linear.marginal_linear(feats, LINEAR_FEATURES))
 
 
 def a17_feature_importance(spark, sf_dir):

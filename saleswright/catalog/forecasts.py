@@ -111,7 +111,7 @@ def f9_single_feature_lines(spark, sf_dir):
 
 def f10_linear_scores(spark, sf_dir):
     feats = base.staged_features(spark, sf_dir)
-    scored = linear.score_linear(feats, linear.marginal_linear(feats, LINEAR_FEATURES), LINEAR_FEATURES)
+    scored = linear.score_linear(feats, linear.marginal_linear(feats, LINEAR_FEATURES))
     return scored.select("unique_id", "date", r(F.col("prediction"), 2).alias("prediction"))
 
 

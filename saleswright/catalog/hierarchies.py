@@ -14,7 +14,7 @@ from ..sources.stages import staged
 from . import base
 from .base import define, r, rounded, sql_table
 
-WEEKS = {TOTAL: 2, STORE: 4, FAMILY: 4, BOTTOM: 8}
+WEEKS = {TOTAL: 3, STORE: 6, FAMILY: 6, BOTTOM: 7}
 """Base forecast of a level: mean of the same weekday over so many weeks. They differ, so levels disagree."""
 
 
@@ -30,7 +30,7 @@ def base_forecasts(spark, sf_dir) -> DataFrame:
 def _base_forecasts(fact: DataFrame) -> DataFrame:
     last = latest(fact.select("date"))
     age = F.datediff("_last", "date")
-    recent = fact.withColumn("_last", last).where(age < 56).select(
+    recent = fact.withColumn("_last", last).where(age < 49).select(
         "store_nbr", "family", (7 - age % 7).alias("k"), (F.floor(age / 7) + 1).alias("week"), "sales"
     )
     means = {n: F.sum(F.when(F.col("week") <= n, F.col("sales")).otherwise(0.0)) / n for n in sorted(set(WEEKS.values()))}
@@ -46,7 +46,7 @@ def _base_forecasts(fact: DataFrame) -> DataFrame:
     out = per_level[0]
     for part in per_level[1:]:
         out = out.unionByName(part)
-    return out.withColumn("y_hat", F.round("y_hat", 5))
+    return out.withColumn("y_hat", F.round("y_hat", 6))
 
 
 def residuals(spark, sf_dir) -> DataFrame:
@@ -69,7 +69,7 @@ def actual_nodes(spark, sf_dir) -> DataFrame:
     return hierarchy.aggregate_levels(recent, "sales").withColumnRenamed("sales", "y")
 
 
-def _plain(nodes: DataFrame, places: int = 5) -> DataFrame:
+def _plain(nodes: DataFrame, places: int = 4) -> DataFrame:
     return rounded(nodes.select("level", "node_id", "ds", "y_hat"), places, "y_hat")
 
 
@@ -98,7 +98,7 @@ def h4_aggregated_by_edges(spark, sf_dir):
 
 
 def h5_bottom_up(spark, sf_dir):
-    return _plain(reconcile.bottom_up(base_forecasts(spark, sf_dir)))
+    return _plain(reconcile.bottom_up(base_forecasts(spark, sf_dir)), 6)
 
 
 def h6_top_down(spark, sf_dir):
@@ -122,7 +122,7 @@ def reconciled(spark, sf_dir) -> DataFrame:
 
 def h9_reconciled_wide(spark, sf_dir):
     names = [f"mean/{m}" for m in SQL_METHODS]
-    return rounded(reconcile.wide(reconciled(spark, sf_dir), names), 5, *names)
+    return rounded(rounded(reconcile.wide(reconciled(spark, sf_dir), names), 6, names[0]), 4, *names[1:])
 
 
 def _evaluation(spark, sf_dir) -> DataFrame:
@@ -155,7 +155,7 @@ def h11_coherence(spark, sf_dir):
 def j5_forecast_actuals(spark, sf_dir):
     forecast = base_forecasts(spark, sf_dir).select("node_id", "ds", "y_hat")
     both = reconcile.join_actuals(forecast, actual_nodes(spark, sf_dir).select("node_id", "ds", "y"), "node_id")
-    return rounded(both, 5, "y_hat", "y")
+    return rounded(both, 6, "y_hat", "y")
 
 
 def h12_tree_nodes(spark, sf_dir):
@@ -222,15 +222,15 @@ define("edges", " UNION ALL ".join(
 ))
 define("base_cells", """
 SELECT c.store_nbr, c.family, CAST(l.last + CAST(k AS INTEGER) AS DATE) AS ds,
-       coalesce(sum(sales) FILTER (WHERE age // 7 < 2), 0) / 2 AS m2, coalesce(sum(sales) FILTER (WHERE age // 7 < 4), 0) / 4 AS m4,
-       coalesce(sum(sales) FILTER (WHERE age // 7 < 8), 0) / 8 AS m8
+       coalesce(sum(sales) FILTER (WHERE age // 7 < 3), 0) / 3 AS m3, coalesce(sum(sales) FILTER (WHERE age // 7 < 6), 0) / 6 AS m6,
+       coalesce(sum(sales) FILTER (WHERE age // 7 < 7), 0) / 7 AS m7
 FROM cells c CROSS JOIN range(1, 8) t(k) CROSS JOIN (SELECT max(date) AS last FROM fact_nation) l
 LEFT JOIN (SELECT *, (SELECT max(date) FROM fact_nation) - date AS age FROM fact_nation) f
-  ON f.store_nbr = c.store_nbr AND f.family = c.family AND f.age < 56 AND 7 - f.age % 7 = k
+  ON f.store_nbr = c.store_nbr AND f.family = c.family AND f.age < 49 AND 7 - f.age % 7 = k
 GROUP BY c.store_nbr, c.family, l.last, k""")
 define("base_nodes", f"""
-SELECT level, node_id, store_nbr, family, ds, round(CASE level WHEN 'Total' THEN m2 WHEN 'Bottom' THEN m8 ELSE m4 END, 5) AS y_hat
-FROM (SELECT {_LEVEL} AS level, {_KEY} AS node_id, store_nbr, family, ds, sum(m2) AS m2, sum(m4) AS m4, sum(m8) AS m8 FROM base_cells
+SELECT level, node_id, store_nbr, family, ds, round(CASE level WHEN 'Total' THEN m3 WHEN 'Bottom' THEN m7 ELSE m6 END, 6) AS y_hat
+FROM (SELECT {_LEVEL} AS level, {_KEY} AS node_id, store_nbr, family, ds, sum(m3) AS m3, sum(m6) AS m6, sum(m7) AS m7 FROM base_cells
       GROUP BY GROUPING SETS ((ds), (ds, store_nbr), (ds, family), (ds, store_nbr, family)))""")
 define("base_wide", """
 SELECT b.ds, b.store_nbr, b.family, b.y_hat AS b, s.y_hat AS s, f.y_hat AS f, t.y_hat AS t
@@ -277,7 +277,7 @@ define("yearly", "SELECT *, CAST(year(date) AS INTEGER) AS year FROM fact_nation
 define("tree", _tree())
 define("tree_by_year", _tree("year"))
 
-_PICK = "round(max(y_hat) FILTER (WHERE method = '{m}'), 5) AS \"{m}\""
+_PICK = "round(max(y_hat) FILTER (WHERE method = '{m}'), {n}) AS \"{m}\""
 _BEST = "SELECT '{out}' AS level, method, round(avg(rmse), 3) AS score FROM evaluation {where} GROUP BY method ORDER BY avg(rmse) LIMIT 1"
 SQL = sql_table(
     h1_hierarchy_spec="SELECT * FROM spec",
@@ -290,10 +290,10 @@ FROM edges GROUP BY level, node_id""",
     h4_aggregated_by_edges="""
 SELECT level, node_id, CAST(date_trunc('month', date) AS DATE) AS ds, round(sum(sales), 2) AS y
 FROM fact_nation f JOIN edges e ON e.bottom_id = f.store_nbr || '_' || f.family GROUP BY ALL""",
-    h5_bottom_up="SELECT level, node_id, ds, round(y_hat, 5) AS y_hat FROM nodes_bu",
-    h6_top_down="SELECT level, node_id, ds, round(y_hat, 5) AS y_hat FROM nodes_td",
-    h7_mint_ols="SELECT level, node_id, ds, round(y_hat, 5) AS y_hat FROM nodes_ols",
-    h9_reconciled_wide=f"SELECT level, node_id, ds, {', '.join(_PICK.format(m='mean/' + m) for m in SQL_METHODS)} FROM nodes_all GROUP BY level, node_id, ds",
+    h5_bottom_up="SELECT level, node_id, ds, round(y_hat, 6) AS y_hat FROM nodes_bu",
+    h6_top_down="SELECT level, node_id, ds, round(y_hat, 4) AS y_hat FROM nodes_td",
+    h7_mint_ols="SELECT level, node_id, ds, round(y_hat, 4) AS y_hat FROM nodes_ols",
+    h9_reconciled_wide=f"SELECT level, node_id, ds, {', '.join(_PICK.format(m='mean/' + m, n=6 if m == 'BottomUp' else 4) for m in SQL_METHODS)} FROM nodes_all GROUP BY level, node_id, ds",
     h10_level_evaluation="SELECT method, level, round(mape, 3) AS mape, round(rmse, 3) AS rmse, round(mae, 3) AS mae, n_samples FROM evaluation",
     l4_best_method="SELECT * FROM (" + ") UNION ALL SELECT * FROM (".join(
         _BEST.format(out=lv or "all", where=f"WHERE level = '{lv}'" if lv else "") for lv in (None, TOTAL, STORE, BOTTOM)) + ")",
@@ -305,7 +305,7 @@ JOIN (SELECT method, ds, 'Total' AS level, CAST(NULL AS INTEGER) AS store_nbr, C
       UNION ALL SELECT method, ds, 'Family', NULL, family, sum(y_hat) FROM bottoms_all GROUP BY ALL) s
 ON m.method = s.method AND m.ds = s.ds AND m.level = s.level AND m.store_nbr IS NOT DISTINCT FROM s.store_nbr AND m.family IS NOT DISTINCT FROM s.family
 GROUP BY m.method, m.level""".replace("bottoms_all", "(SELECT 'base' AS method, * FROM base_nodes WHERE level = 'Bottom' UNION ALL SELECT * FROM nodes_all WHERE level = 'Bottom')"),
-    j5_forecast_actuals="SELECT f.node_id, f.ds, round(f.y_hat, 5) AS y_hat, round(a.y, 5) AS y FROM base_nodes f JOIN actual_nodes a ON f.node_id = a.node_id AND f.ds = a.ds",
+    j5_forecast_actuals="SELECT f.node_id, f.ds, round(f.y_hat, 6) AS y_hat, round(a.y, 6) AS y FROM base_nodes f JOIN actual_nodes a ON f.node_id = a.node_id AND f.ds = a.ds",
     h12_tree_nodes="SELECT * FROM tree",
     h12_yearly_trends="""
 SELECT year, id, prediction, previous_prediction,

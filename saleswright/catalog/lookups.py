@@ -163,11 +163,11 @@ def a14_comparison_stats(spark, sf_dir):
 def scored_requests(spark, sf_dir) -> DataFrame:
     """Batch prediction with the SQL-checked linear model and the bands of its residuals."""
     feats = base.staged_features(spark, sf_dir)
-    params = linear.marginal_linear(feats, LINEAR_FEATURES)
-    fitted = linear.score_linear(feats, params, LINEAR_FEATURES)
+    model = linear.marginal_linear(feats, LINEAR_FEATURES)
+    fitted = linear.score_linear(feats, model)
     return batch_predict(
         requests(spark, sf_dir), feats, LINEAR_FEATURES,
-        lambda df: linear.score_linear(df, params, LINEAR_FEATURES),
+        lambda df: linear.score_linear(df, model),
         interval_offsets(fitted, "sales", "prediction"), families(spark, sf_dir),
     )
 

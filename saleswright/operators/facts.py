@@ -34,52 +34,57 @@ def exact_quantiles(
     neighbouring ranks are found exactly whatever the distribution, and no task sees a whole group.
     """
     by = list(by)
-    weights = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    # A group is one struct: never null itself, so null keys form a group like any other, and no join
+    # below adds a null filter that would make Spark compute (rather than reuse) the weights again.
+    group = F.struct(*by) if by else F.lit(0)
+    weights = (
+        df.where(F.col(value).isNotNull())
+        .groupBy(group.alias("_g"), F.col(value).alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
 
     def bins(scale: float) -> Column:
-        return (F.signum("_v") * F.floor(F.log1p(F.abs("_v")) * scale)).cast("long")
-
-    coarse = weights.groupBy(*by, bins(_COARSE).alias("_bin")).agg(F.sum("_n").alias("_n"))
-    running = Window.partitionBy(*by)
-    placed = coarse.withColumns(
-        {
-            "_before": F.sum("_n").over(running.orderBy("_bin")) - F.col("_n"),
-            "_total": F.sum("_n").over(running),
-        }
-    )
+        return F.coalesce((F.signum("_v") * F.floor(F.log1p(F.abs("_v")) * scale)).cast("long"), F.lit(0))
+
     def target(name: str, p: float, up: int) -> Column:
         at = (F.col("_total") - 1) * F.lit(p)
-        return F.struct(
-            F.lit(name).alias("_name"), (F.floor(at) + up).alias("_rank"), at.alias("_at")
-        )
-
-    ranks = F.array(*[target(name, p, up) for name, p in probs.items() for up in (0, 1)])
-    wanted = _in_span(placed.withColumn("_t", F.explode(ranks)), "_t._rank").select(
-        *by, "_bin", "_before", F.col("_t._name").alias("_name"), F.col("_t._rank").alias("_rank"),
-        F.col("_t._at").alias("_at"),
+        return F.struct(F.lit(name).alias("name"), (F.floor(at) + up).alias("rank"), at.alias("at"))
+
+    # First pass: which coarse bins hold the wanted ranks?
+    coarse = weights.groupBy("_g", bins(_COARSE).alias("_bin")).agg(F.sum("_n").alias("_n"))
+    targets = F.array(*[target(name, p, up) for name, p in probs.items() for up in (0, 1)])
+    located = (
+        coarse.withColumn("_total", F.sum("_n").over(Window.partitionBy("_g")))
+        .withColumn("_targets", targets)
+        .withColumn("_offset", F.lit(0))
     )
+    located = _locate(located, ["_g"], "_bin")
 
-    # Second pass, inside the located coarse bins only.
-    keyed = weights.withColumn("_bin", bins(_COARSE)).withColumn("_sub", bins(_FINE))
-    cell = [*by, "_bin"]
-    fine = keyed.join(wanted.select(*cell).distinct(), cell, "left_semi").groupBy(*cell, "_sub").agg(F.sum("_n").alias("_n"))
-    fine = fine.withColumn("_start", F.sum("_n").over(Window.partitionBy(*cell).orderBy("_sub")) - F.col("_n"))
-    narrowed = fine.join(wanted, cell).withColumn("_before", F.col("_before") + F.col("_start"))
-    narrowed = _in_span(narrowed, "_rank").select(*cell, "_sub", "_before", "_name", "_rank", "_at")
-
+    # Second pass: split those into fine bins. Last: order the values of the fine bins that matter.
+    keyed = weights.withColumns({"_bin": bins(_COARSE), "_sub": bins(_FINE)})
+    cell = ["_g", "_bin"]
+    fine = keyed.join(located, cell).groupBy(*cell, "_sub", "_targets", "_offset").agg(F.sum("_n").alias("_n"))
     cell = [*cell, "_sub"]
-    ordered = keyed.join(narrowed.select(*cell).distinct(), cell, "left_semi").withColumn(
-        "_start", F.sum("_n").over(Window.partitionBy(*cell).orderBy("_v")) - F.col("_n")
-    )
-    hits = _in_span(ordered.join(narrowed, cell).withColumn("_before", F.col("_before") + F.col("_start")), "_rank")
+    last = keyed.join(_locate(fine, cell[:2], "_sub"), cell)
+    hits = _locate(last, cell, "_v").select("_g", "_v", F.inline("_targets"))
 
     # Two neighbouring order statistics per quantile; the last rank has no upper neighbour.
-    per_prob = hits.groupBy(*by, "_name", "_at").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    result = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_at") - F.floor("_at"))
-    return per_prob.groupBy(*by).agg(
-        *[F.max(F.when(F.col("_name") == name, result)).alias(name) for name in probs]
-    )
+    per_prob = hits.groupBy("_g", "name", "at").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    result = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("at") - F.floor("at"))
+    found = per_prob.groupBy("_g").agg(*[F.max(F.when(F.col("name") == name, result)).alias(name) for name in probs])
+    return found.select("_g.*", *probs) if by else found.select(*probs)
+
 
+def _locate(parts: DataFrame, cell: list[str], order: str) -> DataFrame:
+    """Parts of a cell, in order, that hold wanted ranks: with those ranks, and the values before the part.
 
-def _in_span(df: DataFrame, rank: str) -> DataFrame:
-    return df.where((F.col(rank) >= F.col("_before")) & (F.col(rank) < F.col("_before") + F.col("_n")))
+    ``_offset`` is the number of values of the group before the cell, ``_n`` that of the part.
+    """
+    before = F.sum("_n").over(Window.partitionBy(*cell).orderBy(order)) - F.col("_n") + F.col("_offset")
+    inside = F.filter("_targets", lambda t: (t["rank"] >= F.col("_before")) & (t["rank"] < F.col("_before") + F.col("_n")))
+    return (
+        parts.withColumn("_before", before)
+        .withColumn("_targets", inside)
+        .where(F.size("_targets") > 0)
+        .select(*cell, order, "_targets", F.col("_before").alias("_offset"))
+    )

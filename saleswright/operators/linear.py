@@ -1,12 +1,13 @@
-"""Linear models as one-row parameters: fitting by aggregates, scoring and contributions row by row.
+"""Linear models: fitting by aggregates, scoring and contributions row by row.
 
-The parameters are a scalar struct ``base, betas, means`` in the order of the feature list, so scoring
-any frame needs neither a join nor Python.
+A fitted model is a handful of numbers (one slope and one mean per feature). Fitting is an action, as it
+is in Spark ML; scoring puts the numbers into the plan as literals, so it needs no join and no Python.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml.regression import LinearRegressionModel
@@ -14,71 +15,60 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def marginal_linear(train: DataFrame, features: Sequence[str], target: str = "sales") -> DataFrame:
+@dataclass(frozen=True)
+class LinearModel:
+    """prediction = base + Σ beta·(x − mean), features in order."""
+
+    features: tuple[str, ...]
+    base: float
+    betas: tuple[float, ...]
+    means: tuple[float, ...]
+
+    def term(self, i: int, x: Column) -> Column:
+        return F.lit(self.betas[i]) * (x.cast("double") - F.lit(self.means[i]))
+
+    def predict(self, values: Sequence[Column] | None = None) -> Column:
+        xs = values if values is not None else [F.col(f) for f in self.features]
+        return reduce(lambda a, b: a + b, [self.term(i, x) for i, x in enumerate(xs)], F.lit(self.base))
+
+
+def _means(features: Sequence[str]) -> list[Column]:
+    return [F.avg(F.col(f).cast("double")) for f in features]
+
+
+def marginal_linear(train: DataFrame, features: Sequence[str], target: str = "sales") -> LinearModel:
     """Average of the single-feature least-squares lines: slopes and means in one aggregation.
 
     A feature that does not vary has slope 0.
     """
     y, n = F.col(target).cast("double"), float(len(features))
     slopes = [F.coalesce(F.regr_slope(y, F.col(f).cast("double")), F.lit(0.0)) / n for f in features]
-    return train.agg(
-        F.avg(y).alias("base"),
-        F.array(*slopes).alias("betas"),
-        F.array(*[F.avg(F.col(f).cast("double")) for f in features]).alias("means"),
-    )
-
-
-def parameters(model: LinearRegressionModel, train: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Parameters of a fitted Spark ML model: base is its prediction at the means of the training rows."""
-    betas = [float(b) for b in model.coefficients]
-    means = train.agg(F.array(*[F.avg(F.col(f).cast("double")) for f in features]).alias("means"))
-    at_means = reduce(
-        lambda acc, ib: acc + F.lit(ib[1]) * F.col("means")[ib[0]], enumerate(betas), F.lit(float(model.intercept))
-    )
-    return means.select(at_means.alias("base"), F.array(*[F.lit(b) for b in betas]).alias("betas"), "means")
+    row = train.agg(F.avg(y), F.array(*slopes), F.array(*_means(features))).first()
+    return LinearModel(tuple(features), row[0], tuple(row[1]), tuple(row[2]))
 
 
-def scalar_parameters(params: DataFrame) -> Column:
-    return params.select(F.struct("base", "betas", "means")).scalar()
+def from_regression(model: LinearRegressionModel, train: DataFrame, features: Sequence[str]) -> LinearModel:
+    """A fitted Spark ML model; base is its prediction at the means of the training rows."""
+    betas = tuple(float(b) for b in model.coefficients)
+    means = tuple(train.agg(F.array(*_means(features))).first()[0])
+    base = float(model.intercept) + sum(b * m for b, m in zip(betas, means))
+    return LinearModel(tuple(features), base, betas, means)
 
 
-def predict(values: Sequence[Column], params: Column) -> Column:
-    """base + Σ β·(x − mean)."""
-    terms = [params["betas"][i] * (x.cast("double") - params["means"][i]) for i, x in enumerate(values)]
-    return reduce(lambda a, b: a + b, terms, params["base"])
+def score_linear(df: DataFrame, model: LinearModel, out: str = "prediction") -> DataFrame:
+    return df.withColumn(out, model.predict())
 
 
-def score_linear(df: DataFrame, params: DataFrame, features: Sequence[str], out: str = "prediction") -> DataFrame:
-    return (
-        df.withColumn("_p", scalar_parameters(params))
-        .withColumn(out, predict([F.col(f) for f in features], F.col("_p")))
-        .drop("_p")
-    )
-
-
-def linear_contributions(df: DataFrame, params: DataFrame, features: Sequence[str]) -> DataFrame:
+def linear_contributions(df: DataFrame, model: LinearModel) -> DataFrame:
     """Add base_value, prediction and ``contributions``: array of position, feature, value, contribution.
 
     base_value + Σ contribution = prediction, per row.
     """
-    p = F.col("_p")
     parts = [
         F.struct(
-            F.lit(i).alias("position"),
-            F.lit(f).alias("feature"),
-            F.col(f).cast("double").alias("value"),
-            (p["betas"][i] * (F.col(f).cast("double") - p["means"][i])).alias("contribution"),
+            F.lit(i).alias("position"), F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"),
+            model.term(i, F.col(f)).alias("contribution"),
         )
-        for i, f in enumerate(features)
+        for i, f in enumerate(model.features)
     ]
-    return (
-        df.withColumn("_p", scalar_parameters(params))
-        .withColumns(
-            {
-                "base_value": p["base"],
-                "prediction": predict([F.col(f) for f in features], p),
-                "contributions": F.array(*parts),
-            }
-        )
-        .drop("_p")
-    )
+    return df.withColumns({"base_value": F.lit(model.base), "prediction": model.predict(), "contributions": F.array(*parts)})

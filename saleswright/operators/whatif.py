@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import pct_change
-from .linear import predict, scalar_parameters
+from .linear import LinearModel
 
 # Names an adjustment may use, and the feature column each one stands for.
 ADJUSTABLE = {
@@ -62,7 +62,7 @@ def adjusted(name: str, value: Column, adjustment: Column, reference_bounds: boo
 
 
 def what_if(
-    df: DataFrame, params: DataFrame, features: Sequence[str], adjustments: str = "adjustments", reference_bounds: bool = False
+    df: DataFrame, model: LinearModel, adjustments: str = "adjustments", reference_bounds: bool = False
 ) -> DataFrame:
     """Add original, adjusted, delta, delta_pct, applied (map) and skipped (names) to each row.
 
@@ -71,7 +71,7 @@ def what_if(
     wanted = F.col(adjustments)
     by_column = {column: name for name, column in ADJUSTABLE.items()}
     changed = []
-    for f in features:
+    for f in model.features:
         x = F.col(f).cast("double")
         name = by_column.get(f)
         if name is None:
@@ -79,19 +79,18 @@ def what_if(
             continue
         value = F.try_element_at(wanted, F.lit(name))
         changed.append(F.when(value.isNotNull(), adjusted(name, x, value, reference_bounds)).otherwise(x))
-    known = [name for name, column in ADJUSTABLE.items() if column in features]
-    p = F.col("_p")
-    scored = df.withColumn("_p", scalar_parameters(params)).withColumns(
+    known = [name for name, column in ADJUSTABLE.items() if column in model.features]
+    scored = df.withColumns(
         {
-            "original": predict([F.col(f) for f in features], p),
-            "adjusted": predict(changed, p),
+            "original": model.predict(),
+            "adjusted": model.predict(changed),
             "applied": F.map_filter(wanted, lambda k, v: k.isin(*known) & v.isNotNull()),
             "skipped": F.array_sort(F.filter(F.map_keys(wanted), lambda k: ~k.isin(*known))),
         }
     )
     return scored.withColumns(
         {"delta": F.col("adjusted") - F.col("original"), "delta_pct": pct_change(F.col("adjusted"), F.col("original"))}
-    ).drop("_p")
+    )
 
 
 def sensitivity_grid(weekdays: Sequence[int] = (1, 2, 3, 4, 5, 6, 7)) -> list[tuple[str, float]]:
@@ -102,10 +101,10 @@ def sensitivity_grid(weekdays: Sequence[int] = (1, 2, 3, 4, 5, 6, 7)) -> list[tu
     )
 
 
-def sensitivity(df: DataFrame, params: DataFrame, features: Sequence[str], grid: Sequence[tuple[str, float]] | None = None) -> DataFrame:
+def sensitivity(df: DataFrame, model: LinearModel, grid: Sequence[tuple[str, float]] | None = None) -> DataFrame:
     """What-if for every row and grid point: adds ``adjust`` and ``amount``. The grid is a literal array."""
     points = F.array(
         *[F.struct(F.lit(n).alias("adjust"), F.lit(float(v)).alias("amount")) for n, v in grid or sensitivity_grid()]
     )
     spread = df.select("*", F.inline(points)).withColumn("_adj", F.create_map("adjust", "amount"))
-    return what_if(spread, params, features, "_adj").drop("_adj", "applied", "skipped")
+    return what_if(spread, model, "_adj").drop("_adj", "applied", "skipped")
