@@ -94,8 +94,12 @@ def waterfall(df: DataFrame, k: int = 10) -> DataFrame:
 
 
 def waterfall_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Long form of :func:`waterfall`, one row per step, numbered from 1."""
-    return df.select(*keys, "base_value", "prediction", F.posexplode("steps").alias("_i", "_s")).select(
+    """Long form of :func:`waterfall`, one row per step, numbered from 1.
+
+    The outer form keeps Spark from deriving a size filter, which would compute all steps a second time.
+    """
+    rows = df.select(*keys, "base_value", "prediction", F.posexplode_outer("steps").alias("_i", "_s"))
+    return rows.where(F.col("_i").isNotNull()).select(
         *keys, "base_value", "prediction", (F.col("_i") + 1).alias("step"), "_s.*"
     )
 

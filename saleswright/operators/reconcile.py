@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from ..constants import BOTTOM, FAMILY, STORE, TOTAL
 from ..sources.stages import materialised
 from .evaluate import metrics
-
 from .hierarchy import aggregate_levels, node_key
 
 
@@ -95,14 +94,16 @@ def mint_shrink(nodes: DataFrame, residuals: DataFrame) -> DataFrame:
     the residuals per day and the day × day Gram matrix of the nodes. What reaches the driver is of the
     size (aggregates × days) and (aggregates²), which is checked; use :func:`mint_ols` beyond that.
     """
-    n_agg, n_days = residuals.agg(
-        F.count_distinct(F.when(F.col("level") != BOTTOM, F.col("node_id"))), F.count_distinct("ds")
+    # The panel is read several times below: write it once, so that no step repeats what led to it.
+    panel = materialised(_residual_panel(residuals), "residual_panel")
+    n_agg, n_days, fewest = panel.agg(
+        F.count_if(F.col("level") != BOTTOM), F.max(F.size("x")), F.min(F.size("x"))
     ).first()
+    if fewest != n_days:
+        raise ValueError("residuals miss days for some nodes")
     if n_agg > MAX_AGGREGATES or n_days > MAX_DAYS:
         raise ValueError(f"{n_agg} aggregates over {n_days} days are too many for one solve; use mint_ols")
 
-    # The panel is read several times below: write it once, so that no step repeats what led to it.
-    panel = materialised(_residual_panel(residuals, n_days), "residual_panel")
     lam = shrinkage(panel, n_days)
     variance = panel.select("level", "node_id", "store_nbr", "family", "variance")
 
@@ -146,17 +147,14 @@ def mint_shrink(nodes: DataFrame, residuals: DataFrame) -> DataFrame:
     return _coherent(joined, value)
 
 
-def _residual_panel(residuals: DataFrame, n_days: int) -> DataFrame:
+def _residual_panel(residuals: DataFrame) -> DataFrame:
     """Per node: residuals in day order around their mean, and their sample variance."""
     per_node = residuals.groupBy("level", "node_id", "store_nbr", "family").agg(
         F.sort_array(F.collect_list(F.struct("ds", "e"))).alias("_e"), F.avg("e").alias("_mean"), F.var_samp("e").alias("variance")
     )
-    full = F.when(F.size("_e") == n_days, F.col("_e")).otherwise(
-        F.raise_error(F.concat(F.lit("residuals miss days for node "), F.col("node_id")))
-    )
     return per_node.select(
         "level", "node_id", "store_nbr", "family", "variance",
-        F.transform(full, lambda r: r["e"] - F.col("_mean")).alias("x"),
+        F.transform("_e", lambda r: r["e"] - F.col("_mean")).alias("x"),
     )
 
 

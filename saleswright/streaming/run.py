@@ -16,10 +16,13 @@ def event_stream(spark: SparkSession, folder: str, files_per_batch: int | None =
     return reader.parquet(folder)
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> tuple[DataFrame, list[dict]]:
-    """Process all available input; return the written table and the progress reports."""
+def drain(stream: DataFrame, name: str, mode: str = "append", out: str | None = None) -> tuple[DataFrame, list[dict]]:
+    """Process all available input; return the written table and the progress reports.
+
+    With the ``out`` folder of an earlier run, go on from where that one stopped, watermark included.
+    """
     spark = stream.sparkSession
-    out = scratch_dir(spark, name)
+    out = out or scratch_dir(spark, name)
     query = (
         stream.writeStream.format("parquet").outputMode(mode).option("path", f"{out}/data")
         .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
