@@ -108,7 +108,7 @@ def l6_transition_date(spark, sf_dir):
 
 
 def a13_forecast_stats(spark, sf_dir):
-    return rounded(evaluate.forecast_stats(_points(spark, sf_dir), ["unique_id"]), 3, "avg_actual", "avg_forecast", "min_forecast", "max_forecast", "trend_percent")
+    return rounded(evaluate.forecast_stats(_points(spark, sf_dir), ["unique_id"]), 6, "avg_actual", "avg_forecast", "min_forecast", "max_forecast", "trend_percent")
 
 
 def a16_dimension_counts(spark, sf_dir):
@@ -265,8 +265,8 @@ SELECT *, forecast - 1000 AS lower_80, forecast + 1000 AS upper_80, forecast - 2
 SELECT unique_id, max(date) FILTER (WHERE date < f) AS transition_date
 FROM (SELECT *, min(date) FILTER (WHERE actual IS NULL AND forecast IS NOT NULL) OVER (PARTITION BY unique_id) AS f FROM points) GROUP BY unique_id""",
     a13_forecast_stats="""
-SELECT unique_id, round(a, 3) AS avg_actual, round(f, 3) AS avg_forecast, round(lo, 3) AS min_forecast, round(hi, 3) AS max_forecast,
-       CASE WHEN f > a THEN 'up' WHEN f < a THEN 'down' ELSE 'stable' END AS trend, round(CASE WHEN a > 0 THEN abs((f - a) / a) * 100 ELSE 0 END, 3) AS trend_percent
+SELECT unique_id, round(a, 6) AS avg_actual, round(f, 6) AS avg_forecast, round(lo, 6) AS min_forecast, round(hi, 6) AS max_forecast,
+       CASE WHEN f > a THEN 'up' WHEN f < a THEN 'down' ELSE 'stable' END AS trend, round(CASE WHEN a > 0 THEN abs((f - a) / a) * 100 ELSE 0 END, 6) AS trend_percent
 FROM (SELECT unique_id, coalesce(avg(actual), 0) AS a, coalesce(avg(forecast), 0) AS f, min(forecast) AS lo, max(forecast) AS hi FROM points GROUP BY unique_id)""",
     a16_dimension_counts="""
 SELECT count(DISTINCT store_nbr) AS n_stores, count(DISTINCT family) AS n_families, count(DISTINCT (store_nbr, family)) AS n_series FROM fact_nation""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,16 +41,21 @@ def vector_columns(df: DataFrame) -> DataFrame:
     return df.withColumn("features", F.array(*[F.coalesce(F.col(c).cast("float"), F.lit(0.0).cast("float")) for c in names]))
 
 
+_INPUT = "_in_"
+
+
 def _assembled(df: DataFrame) -> list:
+    """Stages up to the model vector. A missing number counts as 0, as in the stored vectors."""
     numeric, categorical = available(df)
-    stages: list = []
+    filled = ", ".join(f"coalesce(double({c}), 0D) AS {_INPUT}{c}" for c in numeric)
+    stages: list = [SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")]
     if categorical:
         stages.append(
-            StringIndexer(inputCols=categorical, outputCols=[f"{c}_code" for c in categorical],
+            StringIndexer(inputCols=categorical, outputCols=[f"{_INPUT}{c}" for c in categorical],
                           stringOrderType="alphabetAsc", handleInvalid="keep")
         )
-    inputs = numeric + [f"{c}_code" for c in categorical]
-    return [*stages, VectorAssembler(inputCols=inputs, outputCol="_vector", handleInvalid="keep")]
+    inputs = [f"{_INPUT}{c}" for c in [*numeric, *categorical]]
+    return [*stages, VectorAssembler(inputCols=inputs, outputCol="_vector")]
 
 
 def fit_gbt(train: DataFrame, valid: DataFrame, target: str = "sales", rounds: int = 1000, tol: float = 0.01, depth: int = 6, step: float = 0.05) -> PipelineModel:
@@ -71,7 +76,7 @@ def fit_linear(train: DataFrame, target: str = "sales", regularisation: float =
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Add ``prediction``; helper columns of the model are dropped."""
     scored = model.transform(df)
-    return scored.drop("_vector", *[f"{c}_code" for c in CATEGORICAL_FEATURES])
+    return scored.drop("_vector", *[c for c in scored.columns if c.startswith(_INPUT)])
 
 
 def trained_forecaster(fit, target: str = "sales"):
@@ -107,5 +112,5 @@ def tree_importances(spark: SparkSession, model: PipelineModel) -> DataFrame:
     """Importance per input of the fitted trees: one row per model input."""
     assembler, trees = model.stages[-2], model.stages[-1]
     values = trees.featureImportances.toArray()
-    rows = [(name, float(values[i])) for i, name in enumerate(assembler.getInputCols())]
+    rows = [(name.removeprefix(_INPUT), float(values[i])) for i, name in enumerate(assembler.getInputCols())]
     return spark.createDataFrame(rows, "feature string, importance double")

@@ -73,12 +73,16 @@ def batch_size_code(df: DataFrame, limit: int = MAX_BATCH) -> DataFrame:
 
 
 def cap_batch(df: DataFrame, limit: int = MAX_BATCH, policy: str = "first", position: str = "row_id") -> DataFrame:
-    """``first`` keeps the first rows by position; ``reject`` fails the job for an empty or oversized batch."""
+    """``first`` keeps the first rows by position; ``reject`` raises for an empty or oversized batch.
+
+    Rejecting counts no further than one row past the limit.
+    """
     if policy == "first":
         return df.orderBy(position).limit(limit)
-    problem = batch_size_code(df, limit).select("code").scalar()
-    checked = df.withColumn("_code", problem)
-    return checked.where(F.when(F.col("_code").isNull(), True).otherwise(F.raise_error("_code").cast("boolean"))).drop("_code")
+    n = df.limit(limit + 1).count()
+    if n == 0 or n > limit:
+        raise ValueError("EMPTY_BATCH" if n == 0 else "BATCH_TOO_LARGE")
+    return df
 
 
 def batch_status(results: DataFrame) -> DataFrame:
