@@ -94,29 +94,19 @@ def smooth(train: DataFrame, by: Sequence[str] = ("unique_id",), alphas: Sequenc
               - aggregate(_y, 0D, (a, v) -> a + v) / size(_y))"""))
         series = series.withColumn("_adj", F.expr(
             f"transform(_y, (v, i) -> v - element_at(season, int(pmod(i - size(_y), {m}) + 1)))"))
-    # One pass over the values per α: level and squared one-step errors, starting at the first value.
-    fits = series.withColumn("_alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas]))).withColumn(
-        "_fit",
-        F.expr("""
-            aggregate(
-              slice(_adj, 2, size(_adj)),
-              named_struct('level', _adj[0], 'sse', 0D),
-              (s, v) -> named_struct(
-                'level', s.level + _alpha * (v - s.level),
-                'sse', s.sse + (v - s.level) * (v - s.level)))"""),
-    )
-    best = F.min_by(
-        F.struct("_alpha", "_fit", "last_ds", "season", F.size("_adj").alias("n")),
-        F.struct(F.col("_fit.sse"), F.col("_alpha")),
-    )
-    return fits.groupBy(*by).agg(best.alias("_b")).select(
-        *by,
-        "_b.last_ds",
-        F.col("_b._alpha").alias("alpha"),
-        F.col("_b._fit.level").alias("level"),
-        F.col("_b._fit.sse").alias("sse"),
-        F.col("_b.season").alias("season"),
-        F.col("_b.n").alias("n_obs"),
+    # One pass over the values per α, starting at the first value; all within the row of the series.
+    grid = ", ".join(f"{float(a)!r}D" for a in alphas)
+    fits = F.expr(f"""
+        transform(array({grid}), a -> named_struct('alpha', a, 'fit',
+          aggregate(
+            slice(_adj, 2, size(_adj)),
+            named_struct('level', _adj[0], 'sse', 0D),
+            (s, v) -> named_struct(
+              'level', s.level + a * (v - s.level),
+              'sse', s.sse + (v - s.level) * (v - s.level)))))""")
+    best = F.array_min(F.transform("_fits", lambda f: F.struct(f["fit"]["sse"].alias("sse"), f["alpha"].alias("alpha"), f["fit"]["level"].alias("level"))))
+    return series.withColumn("_fits", fits).withColumn("_b", best).select(
+        *by, "last_ds", "_b.alpha", "_b.level", "_b.sse", "season", F.size("_adj").alias("n_obs")
     )
 
 

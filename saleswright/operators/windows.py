@@ -41,17 +41,55 @@ def lag_columns(target: str, lags: Sequence[int], keys: Sequence[str] = SERIES,
     return {f"{target}_lag_{k}": F.lag(target, k).over(w) for k in dict.fromkeys(lags)}
 
 
-def rolling_columns(
-    target: str, windows: Sequence[int], keys: Sequence[str] = SERIES, order: str = "date"
-) -> dict[str, Column]:
-    """Mean and sample deviation of the n rows before the current one."""
-    y = F.col(target)
-    out = {}
-    for n in dict.fromkeys(windows):
-        frame = _before(keys, order, n)
-        out[f"{target}_rolling_mean_{n}"] = _full(y, frame, n, F.avg(y).over(frame))
-        out[f"{target}_rolling_std_{n}"] = _full(y, frame, n, F.stddev_samp(y).over(frame))
-    return out
+def add_rolling(
+    df: DataFrame, keys: Sequence[str] = SERIES, target: str = "sales", windows: Sequence[int] = (7, 14, 28, 90), order: str = "date"
+) -> DataFrame:
+    """Mean and sample deviation of the n rows before the current one, for several n.
+
+    A frame that slides is computed anew for every row, so a row would cost the sum of all window
+    lengths. Here only the shortest window slides; a longer one is put together from lagged results of
+    the one before (and a short remainder), with the parallel formula for means and squared deviations:
+
+        mean = Σ nᵢ·meanᵢ / n        M2 = Σ M2ᵢ + Σ nᵢ·(meanᵢ − mean)²
+
+    A part is null unless its frame is full, and so is everything built on it. All steps share the
+    partitioning and order of the series: one shuffle and one sort.
+    """
+    series, y = _ordered(keys, order), F.col(target)
+    wanted = list(dict.fromkeys(windows))
+    helpers: list[str] = []
+
+    def sliding(first: int, last: int) -> tuple[Column, Column]:
+        """Mean and squared deviations of the rows from ``last`` to ``first`` rows back."""
+        frame, n = series.rowsBetween(-last, -first), last - first + 1
+        return _full(y, frame, n, F.avg(y).over(frame)), _full(y, frame, n, F.var_pop(y).over(frame)) * n
+
+    previous = 0
+    for n in sorted(wanted):
+        blocks = n // previous if previous else 0
+        rest = n - blocks * previous
+        parts = [(previous, F.lag(f"_mean_{previous}", i * previous).over(series), F.lag(f"_m2_{previous}", i * previous).over(series)) if i
+                 else (previous, F.col(f"_mean_{previous}"), F.col(f"_m2_{previous}")) for i in range(blocks)]
+        if rest:
+            parts.append((rest, *sliding(blocks * previous + 1, n)))
+        names = [(size, f"_mean_{n}_{i}", f"_m2_{n}_{i}") for i, (size, _, _) in enumerate(parts)]
+        df = df.withColumns({name: c for (_, a, b), (_, ca, cb) in zip(names, parts) for name, c in ((a, ca), (b, cb))})
+        mean = sum((F.col(a) * size for size, a, _ in names[1:]), F.col(names[0][1]) * names[0][0]) / n
+        df = df.withColumn(f"_mean_{n}", mean)
+        gaps = [F.col(b) + (F.col(a) - F.col(f"_mean_{n}")) * (F.col(a) - F.col(f"_mean_{n}")) * size for size, a, b in names]
+        df = df.withColumn(f"_m2_{n}", sum(gaps[1:], gaps[0]))
+        helpers += [f"_mean_{n}", f"_m2_{n}", *[c for _, a, b in names for c in (a, b)]]
+        previous = n
+    return df.withColumns(
+        {
+            column: value
+            for n in wanted
+            for column, value in (
+                (f"{target}_rolling_mean_{n}", F.col(f"_mean_{n}")),
+                (f"{target}_rolling_std_{n}", F.sqrt(F.try_divide(F.col(f"_m2_{n}"), F.lit(float(n - 1))))),
+            )
+        }
+    ).drop(*helpers)
 
 
 def promo_columns(keys: Sequence[str] = SERIES, order: str = "date", n: int = 7) -> dict[str, Column]:
@@ -68,10 +106,6 @@ def add_lags(df: DataFrame, keys: Sequence[str] = SERIES, target: str = "sales",
     return df.withColumns(lag_columns(target, lags, keys, order))
 
 
-def add_rolling(df: DataFrame, keys: Sequence[str] = SERIES, target: str = "sales", windows: Sequence[int] = (7, 14, 28, 90), order: str = "date") -> DataFrame:
-    return df.withColumns(rolling_columns(target, windows, keys, order))
-
-
 def promo_features(df: DataFrame, keys: Sequence[str] = SERIES, order: str = "date") -> DataFrame:
     return df.withColumns(promo_columns(keys, order)) if "onpromotion" in df.columns else df
 

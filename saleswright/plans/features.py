@@ -11,18 +11,15 @@ from ..constants import DEFAULT_HORIZON, LAGS, WINDOWS
 from ..functions.dates import date_features
 from ..functions.text import series_id
 from ..operators.clean import drop_warmup
-from ..operators.windows import SERIES, in_year_blocks, lag_columns, promo_columns, rolling_columns
+from ..operators.windows import SERIES, add_rolling, in_year_blocks, lag_columns, promo_columns
 
 
 def window_features(df: DataFrame, horizon: int, keys: Sequence[str] = SERIES) -> DataFrame:
-    """All window columns in one projection: equal keys and order, hence one shuffle and one sort."""
-    columns = {
-        **lag_columns("sales", (*LAGS[:-1], horizon), keys),
-        **rolling_columns("sales", (*WINDOWS[:-1], horizon), keys),
-    }
+    """All window columns. Equal keys and order throughout, hence one shuffle and one sort."""
+    columns = lag_columns("sales", (*LAGS[:-1], horizon), keys)
     if "onpromotion" in df.columns:
         columns |= promo_columns(keys)
-    return df.withColumns(columns)
+    return add_rolling(df.withColumns(columns), keys, "sales", (*WINDOWS[:-1], horizon))
 
 
 def build_feature_matrix(df: DataFrame, horizon: int = DEFAULT_HORIZON, year_blocks: bool = False) -> DataFrame:

@@ -133,3 +133,25 @@ def test_share_of_parent_and_trend(spark):
     trend = spark.createDataFrame([("a", 1, 100.0), ("a", 2, 112.0), ("a", 3, 0.0), ("a", 4, 5.0)], "id string, period int, prediction double")
     rows = windows.with_trend(trend, ["id"], "period").orderBy("period").collect()
     assert [r["trend_percent"] and round(r["trend_percent"], 6) for r in rows] == [None, 12.0, -100.0, 0.0]
+
+
+def test_daily_fact_merges_rows_of_a_day(fact):
+    doubled = windows.daily_fact(fact.unionByName(fact))
+    assert doubled.count() == fact.count()
+    assert doubled.agg(F.sum("sales")).first()[0] == 2 * fact.agg(F.sum("sales")).first()[0]
+
+
+@pytest.mark.parametrize("lengths", [(5,), (3, 8), (90, 7, 28, 14), (4, 5, 6, 40)])
+def test_composed_windows_equal_sliding_ones(fact, lengths):
+    from pyspark.sql.window import Window
+
+    noisy = fact.withColumn("sales", F.when(F.dayofmonth("date") != 17, F.hash("date", "store_nbr", "family") % 1000 + 5e5))
+    out = windows.add_rolling(noisy, windows=lengths)
+    for n in lengths:
+        frame = Window.partitionBy("store_nbr", "family").orderBy("date").rowsBetween(-n, -1)
+        full = F.count("sales").over(frame) == n
+        out = out.withColumns({f"m{n}": F.when(full, F.avg("sales").over(frame)), f"s{n}": F.when(full, F.stddev_samp("sales").over(frame))})
+    for n in lengths:
+        for ours, theirs in ((f"sales_rolling_mean_{n}", f"m{n}"), (f"sales_rolling_std_{n}", f"s{n}")):
+            gap = F.abs(F.col(ours) - F.col(theirs)) > 1e-6
+            assert out.where(gap | (F.col(ours).isNull() != F.col(theirs).isNull())).count() == 0
