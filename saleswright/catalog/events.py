@@ -204,6 +204,7 @@ FROM (SELECT h AS window_start, count(*) FILTER (WHERE status >= 500) AS n_error
     e6_cache_hit_ratio=_ratio("cache", "hit", "< 0.5"),
     e6_zero_fallback_ratio=_ratio("lookup", "zero_fallback", "> 0.2"),
     e7_rate_drop=_DROP.format(end="a.h + INTERVAL 1 HOUR AS window_end, "),
+    e7_rate_drop_stream=f"SELECT * FROM ({_DROP.format(end='')}) WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
     e8_absent_windows="""
 SELECT s AS window_start, 0 AS n_requests FROM (
   SELECT unnest(generate_series(time_bucket(INTERVAL 2 MINUTE, min(ts)), time_bucket(INTERVAL 2 MINUTE, max(ts)), INTERVAL 2 MINUTE)) AS s FROM events)

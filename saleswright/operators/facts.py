@@ -28,20 +28,16 @@ def exact_quantiles(
 ) -> DataFrame:
     """Quantiles with linear interpolation between order statistics, one row per group.
 
-    The built-in exact ``percentile`` gathers every distinct value of a group in one task. Here equal
-    values are first merged into weights, a histogram over fixed bins then locates each wanted rank,
-    and only rows of a located bin are ordered. Both passes use a monotone bin of ``log1p(|x|)``, so
-    neighbouring ranks are found exactly whatever the distribution, and no task sees a whole group.
+    The built-in exact ``percentile`` gathers every distinct value of a group in one task. Here a
+    histogram over fixed bins, counted before the shuffle, locates the bin of each wanted rank. Only the
+    values of those bins are shuffled: equal ones are merged, narrowed down by a finer histogram, and the
+    few left are ordered. Bins are a monotone function of ``log1p(|x|)``, so the ranks are found exactly
+    whatever the distribution, and no task sees a whole group.
     """
     by = list(by)
-    # A group is one struct: never null itself, so null keys form a group like any other, and no join
-    # below adds a null filter that would make Spark compute (rather than reuse) the weights again.
+    # A group is one struct and never null itself, so null keys form a group like any other.
     group = F.struct(*by) if by else F.lit(0)
-    weights = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(group.alias("_g"), F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+    values = df.where(F.col(value).isNotNull()).select(group.alias("_g"), F.col(value).alias("_v"))
 
     def bins(scale: float) -> Column:
         return F.coalesce((F.signum("_v") * F.floor(F.log1p(F.abs("_v")) * scale)).cast("long"), F.lit(0))
@@ -51,7 +47,8 @@ def exact_quantiles(
         return F.struct(F.lit(name).alias("name"), (F.floor(at) + up).alias("rank"), at.alias("at"))
 
     # First pass: which coarse bins hold the wanted ranks?
-    coarse = weights.groupBy("_g", bins(_COARSE).alias("_bin")).agg(F.sum("_n").alias("_n"))
+    binned = values.withColumn("_bin", bins(_COARSE))
+    coarse = binned.groupBy("_g", "_bin").agg(F.count(F.lit(1)).alias("_n"))
     targets = F.array(*[target(name, p, up) for name, p in probs.items() for up in (0, 1)])
     located = (
         coarse.withColumn("_total", F.sum("_n").over(Window.partitionBy("_g")))
@@ -60,12 +57,19 @@ def exact_quantiles(
     )
     located = _locate(located, ["_g"], "_bin")
 
-    # Second pass: split those into fine bins. Last: order the values of the fine bins that matter.
-    keyed = weights.withColumns({"_bin": bins(_COARSE), "_sub": bins(_FINE)})
+    # Second pass: the values of those bins, merged, and split into fine bins.
     cell = ["_g", "_bin"]
-    fine = keyed.join(located, cell).groupBy(*cell, "_sub", "_targets", "_offset").agg(F.sum("_n").alias("_n"))
+    near = (
+        binned.join(located, cell)
+        .groupBy(*cell, "_v", "_targets", "_offset")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_sub", bins(_FINE))
+    )
+    fine = near.groupBy(*cell, "_sub", "_targets", "_offset").agg(F.sum("_n").alias("_n"))
+
+    # Last: order the values of the fine bins that matter.
     cell = [*cell, "_sub"]
-    last = keyed.join(_locate(fine, cell[:2], "_sub"), cell)
+    last = near.drop("_targets", "_offset").join(_locate(fine, cell[:2], "_sub"), cell)
     hits = _locate(last, cell, "_v").select("_g", "_v", F.inline("_targets"))
 
     # Two neighbouring order statistics per quantile; the last rank has no upper neighbour.
