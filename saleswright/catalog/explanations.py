@@ -36,9 +36,11 @@ def x2_long_contributions(spark, sf_dir):
         F.transform("contributions", lambda c: c["value"]).alias("values"),
         F.transform("contributions", lambda c: c["contribution"]).alias("shap_values"),
     )
-    packed = rows.where(F.col("unique_id").startswith("1_")).withColumn("contributions", explain.contributions_from_arrays(rows))
-    long = explain.explode_contributions(packed, KEYS)
-    return rounded(rounded(long, 2, "base_value", "contribution"), 4, "value")
+    packed = rows.withColumn("contributions", explain.contributions_from_arrays(rows))
+    per_feature = explain.explode_contributions(packed, KEYS).groupBy("position", "feature").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("value").alias("total"), F.sum(F.abs("contribution")).alias("weight")
+    )
+    return rounded(per_feature, 2, "total", "weight")
 
 
 def x3_contribution_gate(spark, sf_dir):
@@ -66,7 +68,7 @@ def x5_waterfall_segments(spark, sf_dir):
 
 def x6_first_waterfalls(spark, sf_dir):
     rows = contributions(spark, sf_dir).select("store_nbr", "family", *KEYS, "base_value", "contributions")
-    pairs = base.fact(spark, sf_dir).where(F.col("store_nbr") <= 3).select("store_nbr", "family").distinct()
+    pairs = base.fact(spark, sf_dir).select("store_nbr", "family").distinct()
     first = explain.export_waterfalls(rows, pairs, k=K)
     long = explain.waterfall_rows(first, ["store_nbr", "family", "date"])
     return rounded(rounded(long, 2, "base_value", "prediction", "contribution", "cumulative"), 4, "value")
@@ -143,8 +145,8 @@ SQL = sql_table(
 SELECT f.unique_id, f.date, round(p.base, 2) AS base_value, round({predict_sql()}, 2) AS prediction, round({predict_sql()}, 2) AS rebuilt
 FROM features_28 f, model_params p""",
     x2_long_contributions="""
-SELECT unique_id, date, CAST(position AS INTEGER) AS position, feature, round(base_value, 2) AS base_value, round(value, 4) AS value, round(contribution, 2) AS contribution
-FROM contribution_rows WHERE starts_with(unique_id, '1_')""",
+SELECT CAST(position AS INTEGER) AS position, feature, count(*) AS n_rows, round(sum(value), 2) AS total, round(sum(abs(contribution)), 2) AS weight
+FROM contribution_rows GROUP BY position, feature""",
     x3_contribution_gate="""
 SELECT count(*) AS n_rows, 0 AS n_not_finite, count(*) FILTER (WHERE big) AS n_too_large, 0 AS n_not_additive, count(*) FILTER (WHERE big) = 0 AS passed
 FROM (SELECT unique_id, date, bool_or(abs(contribution) >= 1000) AS big FROM contribution_rows GROUP BY unique_id, date)""",
@@ -156,14 +158,14 @@ UNION ALL SELECT unique_id, date, 0, 'Base Value', 0, round(base_value, 2), roun
 UNION ALL SELECT unique_id, date, CAST(step AS INTEGER) + 1, 'Prediction', 0, round(prediction, 2), round(prediction, 2), 'prediction' FROM waterfalls WHERE step = last_step""",
     x6_first_waterfalls=f"""
 SELECT store_nbr, family, w.date, {_STEPS} FROM waterfalls w
-JOIN (SELECT unique_id, any_value(store_nbr) AS store_nbr, any_value(family) AS family, min(date) AS date FROM features_28 WHERE store_nbr <= 3 GROUP BY unique_id) k
+JOIN (SELECT unique_id, any_value(store_nbr) AS store_nbr, any_value(family) AS family, min(date) AS date FROM features_28 GROUP BY unique_id) k
 ON w.unique_id = k.unique_id AND w.date = k.date""",
     x6_sample_waterfalls="""
 SELECT k.store_nbr, k.family, k.date, CAST(max(w.step) AS INTEGER) AS n_steps, round(max(w.prediction), 2) AS prediction
 FROM (SELECT unique_id, store_nbr, family, date FROM features_28 ORDER BY date, store_nbr, family LIMIT 100) k
 JOIN waterfalls w ON w.unique_id = k.unique_id AND w.date = k.date GROUP BY ALL""",
     x7_what_if=f"""
-SELECT unique_id, date, round(a, 2) AS original, round(b, 2) AS adjusted, round(b - a, 2) AS delta, round(CASE WHEN a = 0 THEN 0 ELSE (b - a) / a * 100 END, 2) AS delta_pct,
+SELECT unique_id, date, round(a, 2) AS original, round(b, 2) AS adjusted, round(b - a, 2) + 0.0 AS delta, round(CASE WHEN a = 0 THEN 0 ELSE (b - a) / a * 100 END, 2) + 0.0 AS delta_pct,
        ['oil_price', 'month,onpromotion', 'day_of_week,sales_lag_7'][k + 1] AS applied, CASE WHEN k = 0 THEN 'is_payday' ELSE '' END AS skipped
 FROM (SELECT f.unique_id, f.date, k, {predict_sql()} AS a, {_CHANGED} AS b FROM (SELECT *, day(date) % 3 AS k FROM features_28) f, model_params p)""",
     x8_sensitivity=f"""

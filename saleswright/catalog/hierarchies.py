@@ -178,7 +178,7 @@ def h12_yearly_trends(spark, sf_dir):
 
 
 def h13_proxy_nodes(spark, sf_dir):
-    return rounded(hierarchy.proxy_nodes(nation_fact(spark, sf_dir)), 4, "prediction")
+    return rounded(hierarchy.proxy_nodes(nation_fact(spark, sf_dir)), 5, "prediction")
 
 
 def h14_children(spark, sf_dir):
@@ -312,9 +312,9 @@ SELECT year, id, prediction, previous_prediction,
        round(CASE WHEN previous_prediction = 0 THEN 0 ELSE (prediction - previous_prediction) / previous_prediction * 100 END, 3) AS trend_percent
 FROM (SELECT *, lag(prediction) OVER (PARTITION BY id ORDER BY year) AS previous_prediction FROM tree_by_year)""",
     h13_proxy_nodes="""
-SELECT 'total' AS id, 'Total' AS name, 'total' AS level, round(sum(sales), 4) AS prediction FROM fact_nation
-UNION ALL SELECT 'store_' || store_nbr, 'Store ' || store_nbr, 'store', round(avg(sales) * (SELECT count(DISTINCT family) FROM fact_nation) * 30, 4) FROM fact_nation GROUP BY store_nbr
-UNION ALL SELECT c.store_nbr || '_' || c.family, c.family, 'family', round(coalesce(avg(sales), 0) * 30, 4) FROM cells c LEFT JOIN fact_nation f ON f.store_nbr = c.store_nbr AND f.family = c.family GROUP BY c.store_nbr, c.family""",
+SELECT 'total' AS id, 'Total' AS name, 'total' AS level, round(sum(sales), 5) AS prediction FROM fact_nation
+UNION ALL SELECT 'store_' || store_nbr, 'Store ' || store_nbr, 'store', round(avg(sales) * (SELECT count(DISTINCT family) FROM fact_nation) * 30, 5) FROM fact_nation GROUP BY store_nbr
+UNION ALL SELECT c.store_nbr || '_' || c.family, c.family, 'family', round(coalesce(avg(sales), 0) * 30, 5) FROM cells c LEFT JOIN fact_nation f ON f.store_nbr = c.store_nbr AND f.family = c.family GROUP BY c.store_nbr, c.family""",
     h14_children="""
 SELECT id, parent_id, prediction, round(prediction / (SELECT max(p.prediction) FROM tree p WHERE p.id = c.parent_id) * 100, 4) AS share_percent
 FROM tree c WHERE parent_id IN ('total', 'store_1')""",

@@ -32,14 +32,14 @@ def s2_external_tables(spark, sf_dir):
 
 def s3_feature_scan(spark, sf_dir):
     path = stages.write_stage(base.features(spark, sf_dir), scratch_dir(spark, "features"))
-    scan = stages.read_features(spark, path).where(F.col("store_nbr") == 1).select("unique_id", "date", "sales", "sales_lag_7")
+    scan = stages.read_features(spark, path).select("unique_id", "date", "sales", "sales_lag_7")
     return scan
 
 
 def s4_stage_by_year(spark, sf_dir):
     df = base.fact(spark, sf_dir).withColumn("year", F.year("date"))
     path = stages.write_stage(df, scratch_dir(spark, "fact_by_year"), ["year"])
-    by_year = spark.read.parquet(path).where(F.col("year") >= 1998).groupBy("year")
+    by_year = spark.read.parquet(path).groupBy("year")
     return by_year.agg(F.count(F.lit(1)).alias("n_rows"), r(F.sum("sales"), 2).alias("sales"))
 
 
@@ -127,10 +127,10 @@ SQL = sql_table(
     s2_external_tables="""
 SELECT 'oil' AS name, 2 AS n_columns, count(*) AS n_rows FROM oil_quotes UNION ALL
 SELECT 'holidays', 3, count(*) FROM holiday_list UNION ALL SELECT 'stores', 4, count(*) FROM store_list""",
-    s3_feature_scan="SELECT unique_id, date, sales, sales_lag_7 FROM features_28 WHERE store_nbr = 1",
+    s3_feature_scan="SELECT unique_id, date, sales, sales_lag_7 FROM features_28",
     s4_stage_by_year="""
 SELECT CAST(year(date) AS INTEGER) AS year, count(*) AS n_rows, round(sum(sales), 2) AS sales
-FROM fact_region WHERE year(date) >= 1998 GROUP BY 1""",
+FROM fact_region GROUP BY 1""",
     s5_metrics_json="""
 SELECT family, round(sqrt(avg(pow(ln(1 + sales) - ln(1 + sales_lag_7), 2))), 3) AS rmsle,
        round(sqrt(avg(pow(sales - sales_lag_7, 2))), 3) AS rmse, round(avg(abs(sales - sales_lag_7)), 3) AS mae,

@@ -24,7 +24,9 @@ def plain(value):
     if isinstance(value, bool) or value is None:
         return value
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else value
+        if math.isnan(value):
+            return "nan"
+        return "-0.0" if value == 0 and math.copysign(1, value) < 0 else value
     if isinstance(value, int):
         return float(value)
     if isinstance(value, dt.datetime):
