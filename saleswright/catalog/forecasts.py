@@ -115,6 +115,16 @@ def f10_linear_scores(spark, sf_dir):
     return scored.select("unique_id", "date", r(F.col("prediction"), 2).alias("prediction"))
 
 
+def f10_model_vectors(spark, sf_dir):
+    """The model vector of each row: 25 numbers and two category codes, fitted once."""
+    feats = base.staged_features(spark, sf_dir, 90)
+    coded = model.vector_columns(model.encode(feats, model.fit_encoder(feats)))
+    slot = {"year": 0, "oil": 7, "lag_90": 16, "family": 25, "type": 26}
+    return coded.select(
+        "unique_id", "date", F.size("features").alias("n"), *[F.col("features")[i].cast("double").alias(c) for c, i in slot.items()]
+    )
+
+
 def f12_saved_model(spark, sf_dir):
     train, valid = _sides(spark, sf_dir)
     fitted = model.fit_linear(train)
@@ -137,7 +147,7 @@ QUERIES = {
     for f in (
         f1_time_split, f2_fold_table, f2_walk_forward, f3_cv_folds, f3_cv_pooled, f4_seasonal_naive, f5_smoothing_fixed,
         f5_smoothing_grid, f6_forecast_all_naive, f6_forecast_all, f7_rolling_origin, f7_rolling_origin_ets, f8_boosted_trees,
-        f8_tree_importances, f9_linear_baseline, f9_single_feature_lines, f10_linear_scores, f12_saved_model, l7_sampled_rows,
+        f8_tree_importances, f9_linear_baseline, f9_single_feature_lines, f10_linear_scores, f10_model_vectors, f12_saved_model, l7_sampled_rows,
         naive_holdout_by_family,
     )
 }
@@ -221,5 +231,8 @@ FROM naive_ahead a JOIN (SELECT unique_id, sqrt(avg(pow(y - b, 2))) AS sigma
 SELECT family, round(regr_slope(sales, sales_rolling_mean_28), 6) AS slope, round(regr_intercept(sales, sales_rolling_mean_28), 3) AS intercept,
        round(regr_r2(sales, sales_rolling_mean_28), 6) AS r2 FROM features_28 GROUP BY family""",
     f10_linear_scores=f"SELECT f.unique_id, f.date, round({predict_sql()}, 2) AS prediction FROM features_28 f, model_params p",
+    f10_model_vectors="""
+SELECT unique_id, date, 27 AS n, CAST(year AS DOUBLE) AS year, CAST(CAST(oil_price AS FLOAT) AS DOUBLE) AS oil, CAST(CAST(sales_lag_90 AS FLOAT) AS DOUBLE) AS lag_90,
+       CAST(dense_rank() OVER (ORDER BY family) - 1 AS DOUBLE) AS family, CAST(dense_rank() OVER (ORDER BY type) - 1 AS DOUBLE) AS type FROM features_90""",
     naive_holdout_by_family=f"SELECT family, {metrics_sql()} FROM holdout_scored GROUP BY family",
 )
