@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import bpe, mixing, sharding
 
 QUERIES = {
+    "op4_external_shuffle": sharding.op4,
+    "op9_trie_bpe": bpe.op9,
     "op10_pivotal_mix": mixing.op10,
 }
 SQL: dict[str, str] = {}
