@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, sharding, simhash
+from . import bpe, langid, mixing, sharding, simhash
 
 QUERIES = {
     "op2_simhash_variants": simhash.op2,
     "op4_external_shuffle": sharding.op4,
+    "op5_nearest_centroid": langid.op5,
     "op9_trie_bpe": bpe.op9,
     "op10_pivotal_mix": mixing.op10,
 }
