@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, sharding, simhash
+from . import bpe, langid, mixing, sharding, simhash, topk
 
 QUERIES = {
     "op2_simhash_variants": simhash.op2,
     "op4_external_shuffle": sharding.op4,
     "op5_nearest_centroid": langid.op5,
+    "op6_uniform_threshold": topk.op6,
     "op9_trie_bpe": bpe.op9,
     "op10_pivotal_mix": mixing.op10,
 }
-SQL: dict[str, str] = {}
+SQL = {
+    "op6_uniform_threshold": topk.OP6_SQL,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
