@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, forest, langid, mixing, sharding, simhash, topk
+from . import bpe, forest, langid, lines, mixing, sharding, simhash, topk
 
 QUERIES = {
     "op1_projection_forest": forest.op1,
     "op2_simhash_variants": simhash.op2,
+    "op3_line_winnowing": lines.op3,
     "op4_external_shuffle": sharding.op4,
     "op5_nearest_centroid": langid.op5,
     "op6_uniform_threshold": topk.op6,
@@ -18,6 +19,7 @@ QUERIES = {
     "op10_pivotal_mix": mixing.op10,
 }
 SQL = {
+    "op3_line_winnowing": lines.OP3_SQL,
     "op1_projection_forest": forest.OP1_SQL,
     "op6_uniform_threshold": topk.OP6_SQL,
 }
