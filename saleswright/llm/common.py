@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_dir
 from ..sources.stages import materialised
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,6 +55,23 @@ def running_totals(counts: DataFrame, at: str, n: str, out: str, *by: str, width
     )
 
 
+def bucketed(df: DataFrame, name: str, key: str, total_bytes: int, bucket_bytes: int = 32 << 20) -> DataFrame:
+    """``df`` as a written table bucketed by ``key``: joins and groups on the key then do not move its rows.
+
+    The files lie in the shared scratch folder; the table's name lasts as long as the session's catalog.
+    """
+    spark = df.sparkSession
+    buckets = max(spark.sparkContext.defaultParallelism, -(-total_bytes // bucket_bytes))
+    full = f"{name}_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", scratch_dir(spark, full)).bucketBy(buckets, key).saveAsTable(full)
+    return spark.table(full)
+
+
+def remainder(key: str, parts: int) -> Column:
+    """crc32 of the key as text, modulo ``parts``; a null key counts as an empty text."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % parts
+
+
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest node reachable from each of n nodes by the links (a, b)."""
     root = np.arange(n)

@@ -8,10 +8,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, table
+from .common import free_name, remainder, table
 
 #: Hashed n-gram buckets, and the lengths of the n-grams of characters.
 BUCKETS = 4096
@@ -226,11 +226,6 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFram
     return df.select(*kept, df[text].alias(work)).mapInArrow(run, schema + "lang_pred string, score double, rejected boolean")
 
 
-def remainder(key: str, parts: int) -> Column:
-    """crc32 of the key as text, modulo ``parts``; a null key counts as an empty text."""
-    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % parts
-
-
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(remainder("doc_id", 4) != 2))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, forest, langid, lines, mixing, sharding, simhash, suffixes, topk
+from . import bpe, forest, langid, lines, maxent, mixing, sharding, simhash, suffixes, topk
 
 QUERIES = {
     "op1_projection_forest": forest.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op4_external_shuffle": sharding.op4,
     "op5_nearest_centroid": langid.op5,
     "op6_uniform_threshold": topk.op6,
+    "op7_hashed_maxent": maxent.op7,
     "op8_suffix_merge": suffixes.op8,
     "op9_trie_bpe": bpe.op9,
     "op10_pivotal_mix": mixing.op10,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,13 +11,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_dir
 from ..sources.stages import materialised
-from .common import table
+from .common import bucketed, table
 
-#: Bytes of text that are handled together (a longer text is alone), and of a bucket of such chunks.
+#: Bytes of text that are handled together (a longer text is alone).
 CHUNK = 4 << 20
-BUCKET = 32 << 20
 #: Suffixes that one merge should see.
 MERGE = 16_384
 #: Length of the strings whose hash selects suffixes: the least of a window is selected.
@@ -399,11 +396,7 @@ def repeated_strings(df: DataFrame, length: int = 100, text: str = "text", key:
     spark = df.sparkSession
     source = df.select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.col(key).cast("long"), text).alias("rid"), F.col(text).cast("binary").alias("text"))
     total = df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    buckets = max(spark.sparkContext.defaultParallelism, -(-total // BUCKET))
-    name = f"chunks_{uuid.uuid4().hex}"
-    source.mapInArrow(_chunks, CHUNK_SCHEMA).write.option("compression", "zstd").option("path", scratch_dir(spark, name)) \
-        .bucketBy(buckets, "chunk").saveAsTable(name)
-    chunks = spark.table(name)
+    chunks = bucketed(source.mapInArrow(_chunks, CHUNK_SCHEMA), "chunks", "chunk", total)
 
     grams = chunks.select("chunk", "lens", "data").mapInArrow(lambda b: _gram_rows(b, length), "h long, chunk long, again boolean")
     often = materialised(grams.repartition("h").sortWithinPartitions("h").mapInArrow(_repeated, "h long, chunk long"), "grams")
