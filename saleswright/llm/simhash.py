@@ -156,8 +156,64 @@ def simhash_groups(
     links = near_links(nodes.select("id"), distance)
     reached = materialised(smallest_reachable(nodes, links).select(F.col("id").alias("fingerprint_"), "component"), "reached")
     joined = prints.join(reached, F.col("fingerprint") == F.col("fingerprint_"))
-    out = joined.select(*columns, "fingerprint", F.col("component")[key].alias("component"), *([order.eqNullSafe(F.col("component")).alias("first")] if tie else []))
-    return out
+    leads = [F.col("component")[tie].alias("lead"), order.eqNullSafe(F.col("component")).alias("first")] if tie else []
+    return joined.select(*columns, "fingerprint", F.col("component")[key].alias("component"), *leads)
+
+
+def shingle_set(text: str | None, shingle: int, seed: int) -> bytes:
+    """Sorted distinct hashes of a text's word shingles."""
+    words = (text or "").encode().translate(LOWER).split()
+    if not words:
+        return b""
+    digest = xxhash.xxh64_intdigest
+    many = max(1, len(words) - shingle + 1)
+    return np.unique(np.fromiter((digest(b" ".join(words[i:i + shingle]), seed) for i in range(many)), "<u8", many)).tobytes()
+
+
+def _jaccard(a: bytes, b: bytes) -> float:
+    """Of two sets of hashes; two empty sets are alike."""
+    if a == b:
+        return 1.0
+    both = len(np.intersect1d(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), assume_unique=True))
+    return both / (len(a) // 8 + len(b) // 8 - both)
+
+
+def keep_one(
+    df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, distance: int = 8, similarity: float = 0.8, seed: int = 42,
+) -> DataFrame:
+    """``df`` without near-duplicates: of each group the row of least key stays (null keys last, ties by a hash of the row).
+
+    Groups are those of :func:`simhash_groups`. A member goes if the Jaccard similarity of its distinct word shingles
+    to the group's first row is at least ``similarity``; a member that only chance or a chain of others has put there stays.
+    Wordless and null texts are alike, so one of them stays. Of rows equal in all columns one stays. Columns are unchanged.
+    """
+    tie = free_name(df, "_tie")
+    rows = df.withColumn(tie, F.xxhash64(*df.columns))
+    groups = materialised(simhash_groups(rows, text, key, tie, shingle, distance, seed), "groups")
+    members = groups.where(~F.col("first")).select(F.col(tie).alias("t"), "lead").distinct()
+    involved = members.select("t").unionByName(members.select(F.col("lead").alias("t"))).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(x, shingle, seed) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["t", "own"])
+
+    texts = rows.select(F.col(tie).alias("t"), text).join(materialised(involved, "involved"), "t", "left_semi")
+    shingles = materialised(texts.mapInArrow(sets, "t long, own binary").dropDuplicates(["t"]), "shingles")
+    pairs = materialised(members.join(shingles, "t"), "pairs").join(shingles.select(F.col("t").alias("lead"), F.col("own").alias("other")), "lead")
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [_jaccard(a, b) >= similarity for a, b in zip(batch.column("own").to_pylist(), batch.column("other").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("t").filter(pa.array(near, pa.bool_()))], names=["t"])
+
+    gone = materialised(pairs.select("t", "own", "other").mapInArrow(alike, "t long").select(F.col("t").alias(tie)), "gone")
+    again = materialised(groups.groupBy(tie).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(tie), "again")
+    kept = rows.join(gone, tie, "left_anti")
+    if again.isEmpty():
+        return kept.select(*df.columns)
+    once = kept.join(again, tie, "left_semi").dropDuplicates([tie])
+    return kept.join(again, tie, "left_anti").unionByName(once).select(*df.columns)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
