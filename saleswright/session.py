@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -30,21 +32,37 @@ def get_session(app: str = "saleswright", master: str | None = None, **extra: st
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (local tests) is a temporary folder of this machine used.
+    Only a master in this very process may do without that setting (tests): it gets a temporary folder of this
+    machine, removed at the end. On a cluster such a folder would be out of the executors' reach: an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         root = _local_root()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.setdefault(context.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Removes the scratch folders of this application; call it when no frame that reads them is left."""
+    context = spark.sparkContext
+    made = _MADE.pop(context.applicationId, [])
+    for path in made:
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+    return len(made)
 
 
 def _local_root() -> str:
     global _LOCAL
     if _LOCAL is None:
         _LOCAL = tempfile.mkdtemp(prefix="saleswright-")
+        atexit.register(shutil.rmtree, _LOCAL, ignore_errors=True)
     return _LOCAL
 
 
-_LOCAL: str | None = os.environ.get("SALESWRIGHT_SCRATCH")
+_LOCAL: str | None = None
+_MADE: dict[str, list[str]] = {}
