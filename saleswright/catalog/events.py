@@ -181,8 +181,9 @@ FROM (SELECT h AS window_start, count(*) FILTER (WHERE {column} = '{value}') AS
 _RATES = f"""
 SELECT h AS window_start, h + INTERVAL 1 HOUR AS window_end, endpoint, method, status, count(*) AS n_requests FROM hours GROUP BY h, endpoint, method, status"""
 _DROP = """
-SELECT a.h AS window_start, {end}a.n AS n_requests, b.n AS before, round(a.n / b.n, 8) AS ratio, a.n / b.n < 0.5 AS firing
-FROM hourly a JOIN hourly b ON b.h = a.h - INTERVAL 1 HOUR"""
+SELECT b.h + INTERVAL 1 HOUR AS window_start, {end}coalesce(a.n, 0) AS n_requests, b.n AS before,
+       round(coalesce(a.n, 0) / b.n, 8) AS ratio, coalesce(a.n, 0) / b.n < 0.5 AS firing
+FROM hourly b LEFT JOIN hourly a ON a.h = b.h + INTERVAL 1 HOUR WHERE b.h + INTERVAL 1 HOUR <= (SELECT max(h) FROM hourly)"""
 
 SQL = sql_table(
     e1_request_rates=_RATES,
@@ -203,7 +204,7 @@ SELECT window_start, {_END}, n_errors, n_requests, round(n_errors / n_requests,
 FROM (SELECT h AS window_start, count(*) FILTER (WHERE status >= 500) AS n_errors, count(*) AS n_requests FROM hours GROUP BY h)""",
     e6_cache_hit_ratio=_ratio("cache", "hit", "< 0.5"),
     e6_zero_fallback_ratio=_ratio("lookup", "zero_fallback", "> 0.2"),
-    e7_rate_drop=_DROP.format(end="a.h + INTERVAL 1 HOUR AS window_end, "),
+    e7_rate_drop=_DROP.format(end="b.h + INTERVAL 2 HOUR AS window_end, "),
     e7_rate_drop_stream=f"SELECT * FROM ({_DROP.format(end='')}) WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
     e8_absent_windows="""
 SELECT s AS window_start, 0 AS n_requests FROM (

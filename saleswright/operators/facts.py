@@ -32,12 +32,12 @@ def exact_quantiles(
     histogram over fixed bins, counted before the shuffle, locates the bin of each wanted rank. Only the
     values of those bins are shuffled: equal ones are merged, narrowed down by a finer histogram, and the
     few left are ordered. Bins are a monotone function of ``log1p(|x|)``, so the ranks are found exactly
-    whatever the distribution, and no task sees a whole group.
+    whatever the distribution, and no task sees a whole group. NaN counts as missing, like null.
     """
     by = list(by)
     # A group is one struct and never null itself, so null keys form a group like any other.
     group = F.struct(*by) if by else F.lit(0)
-    values = df.where(F.col(value).isNotNull()).select(group.alias("_g"), F.col(value).alias("_v"))
+    values = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(group.alias("_g"), F.col(value).alias("_v"))
 
     def bins(scale: float) -> Column:
         return F.coalesce((F.signum("_v") * F.floor(F.log1p(F.abs("_v")) * scale)).cast("long"), F.lit(0))

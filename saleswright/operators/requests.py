@@ -13,6 +13,7 @@ from ..functions.dates import forecast_grid, history_grid
 Rule = tuple[Column, str, Column]
 
 
+# Fixed values in the rules below: error codes and messages, in the order in which they are checked.
 def _rules(families: Sequence[str] | Column, max_store: int | None, with_features: bool) -> list[Rule]:
     """Condition of failure, code and message, in the order they are checked."""
     store, family, date, horizon = F.col("store_nbr"), F.col("family"), F.col("date"), F.col("horizon")
@@ -105,7 +106,8 @@ def lookup_features(requests: DataFrame, features: DataFrame, columns: Sequence[
     def packed(df: DataFrame, name: str) -> Column:
         return F.struct(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns]).alias(name)
 
-    exact = features.select(*keys, F.col("date").alias(date), packed(features, "_exact"))
+    # One entry for each key, as a lookup table has: of repeated feature rows the greatest, value by value in column order.
+    exact = features.select(*keys, F.col("date").alias(date), packed(features, "_exact")).groupBy(*keys, date).agg(F.max("_exact").alias("_exact"))
     means = series_profile(features, columns, keys).select(*keys, packed(features, "_mean"))
     found = requests.join(exact, [*keys, date], "left").join(means, keys, "left")
     return found.withColumns(
@@ -119,11 +121,12 @@ def lookup_features(requests: DataFrame, features: DataFrame, columns: Sequence[
 def history(requests: DataFrame, actuals: DataFrame, features: DataFrame) -> DataFrame:
     """Weekly history of each request: the sales of the day, else a positive seven-day lag of the lookup.
 
-    ``requests``: row_id, store_nbr, family, end_date, days. Dates with neither are left out.
+    ``requests``: row_id, store_nbr, family, end_date, days. Dates with neither are left out. Of repeated actuals
+    of one day the largest counts.
     """
     grid = history_grid(requests).select("row_id", "store_nbr", "family", "date")
     known = grid.join(
-        actuals.select("store_nbr", "family", "date", F.col("sales").cast("double").alias("_sales")),
+        actuals.groupBy("store_nbr", "family", "date").agg(F.max(F.col("sales").cast("double")).alias("_sales")),
         ["store_nbr", "family", "date"], "left",
     )
     looked_up = lookup_features(known, features, ["sales_lag_7"])

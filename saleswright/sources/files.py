@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,15 +30,22 @@ def iso_date(col: str) -> Column:
     return F.to_date(col, "yyyy-MM-dd")
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with header, columns matched by name: the file may hold more columns or another order."""
+def read_csv(spark: SparkSession, path: str, schema: str, required: Sequence[str] = ()) -> DataFrame:
+    """CSV with header, columns matched by name: the file may hold more columns or another order.
+
+    A required column that is missing is an error; others may be absent.
+    """
     wanted = T._parse_datatype_string(schema)
     raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    missing = [c for c in required if c not in raw.columns]
+    if missing:
+        raise ValueError(f"{path}: missing required columns: {', '.join(missing)}")
     return raw.select(*[F.col(f.name).cast(f.dataType) for f in wanted if f.name in raw.columns])
 
 
 def read_sales(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, SALES_SCHEMA).withColumn("date", iso_date("date"))
+    """The fact: day, store, family and sales must be there; the promotion count may be absent."""
+    return read_csv(spark, path, SALES_SCHEMA, ("date", "store_nbr", "family", "sales")).withColumn("date", iso_date("date"))
 
 
 def read_external(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -96,7 +105,7 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     """Batch requests: header in any case or order, further columns ignored, blank lines skipped.
 
     Quoted families may hold commas. Numbers that cannot be read become null and are judged by the
-    validation. ``row_id`` grows with the position in the input.
+    validation. ``row_id`` is the number of the data row, from 1, over all files in order of their paths.
     """
     raw = (
         spark.read.option("header", True)
@@ -118,10 +127,25 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     def number(name: str) -> Column:
         return F.regexp_extract(text(name), r"^([+-]?\d+)", 1).try_cast("int")
 
-    return raw.select(
-        F.monotonically_increasing_id().alias("row_id"),
+    return numbered_rows(raw).select(
+        "row_id",
         number("store_nbr").alias("store_nbr"),
         F.upper(text("family")).alias("family"),
         text("date").alias("date"),
         number("horizon").alias("horizon"),
     )
+
+
+def numbered_rows(raw: DataFrame, name: str = "row_id") -> DataFrame:
+    """Rows of files with their number, from 1, in order of file path and position.
+
+    Each split of a file is read by one task, in order; its rows are counted, and the sums over the splits
+    before it (one row for each split) are its offset.
+    """
+    placed = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+                        F.monotonically_increasing_id().alias("_at"))
+    splits = placed.groupBy("_file", "_start").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return placed.join(offsets, ["_file", "_start"]).select(
+        *raw.columns, (F.col("_offset") + F.col("_at") - F.col("_first") + 1).alias(name))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,15 +68,27 @@ def publish_snapshot(df: DataFrame, root: str, version: str) -> str:
     return write_stage(df, f"{root.rstrip('/')}/version={version}")
 
 
+def _version_order(version: str) -> list:
+    """Runs of digits count as numbers: v9 comes before v10."""
+    return [(int(x), "") if x.isdigit() else (-1, x) for x in re.split(r"(\d+)", version) if x]
+
+
 def refresh_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """Read the newest version below ``root``, dropping what Spark remembers about its files."""
+    """Read the newest version below ``root``, dropping what Spark remembers about its files.
+
+    The newest is found by listing the version folders; only that folder is read.
+    """
     spark.catalog.refreshByPath(root)
-    try:
-        versions = spark.read.option("basePath", root).parquet(root)
-    except AnalysisException as missing:
-        raise FileNotFoundError(f"no snapshot below {root}") from missing
-    newest = versions.agg(F.max("version")).scalar()
-    return versions.where(F.col("version") == newest)
+    versions = []
+    if path_exists(spark, root):
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        listed = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)
+        names = [x.getPath().getName() for x in listed]
+        versions = [n.removeprefix("version=") for n in names if n.startswith("version=")]
+    if not versions:
+        raise FileNotFoundError(f"no snapshot below {root}")
+    newest = max(versions, key=_version_order)
+    return spark.read.parquet(f"{root.rstrip('/')}/version={newest}").withColumn("version", F.lit(newest))
 
 
 def snapshot_health(

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..session import scratch_dir
 
@@ -19,18 +23,40 @@ def event_stream(spark: SparkSession, folder: str, files_per_batch: int | None =
 def drain(stream: DataFrame, name: str, mode: str = "append", out: str | None = None) -> tuple[DataFrame, list[dict]]:
     """Process all available input; return the written table and the progress reports.
 
-    With the ``out`` folder of an earlier run, go on from where that one stopped, watermark included.
+    With the ``out`` folder of an earlier run, go on from where that one stopped, watermark included. The reports
+    come from a listener: the query itself keeps the latest only.
     """
     spark = stream.sparkSession
+    heard = _Progress()
+    spark.streams.addListener(heard)
     out = out or scratch_dir(spark, name)
     query = (
         stream.writeStream.format("parquet").outputMode(mode).option("path", f"{out}/data")
         .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/data"), [dict(p) for p in query.recentProgress]
+    heard.ended.wait(60)
+    spark.streams.removeListener(heard)
+    return spark.read.schema(stream.schema).parquet(f"{out}/data"), heard.reports.get(str(query.runId), [])
+
+
+class _Progress(StreamingQueryListener):
+    """All progress reports, by run."""
+
+    def __init__(self) -> None:
+        self.reports: dict[str, list[dict]] = {}
+        self.ended = threading.Event()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.reports.setdefault(str(event.progress.runId), []).append(json.loads(event.progress.json))
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.set()
 
 
 def dropped_by_watermark(progress: list[dict]) -> int:
-    """Rows that came after the watermark had passed their window, over all batches."""
+    """Rows of the state operators, partly aggregated, that came after the watermark had passed their window, over all batches."""
     return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in progress for op in p.get("stateOperators", []))

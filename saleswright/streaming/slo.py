@@ -107,13 +107,20 @@ def label_ratio(
     return counts.withColumn("ratio", ratio).withColumn("firing", fires)
 
 
-def rate_drop(rates: DataFrame, back: str = "1 hour", threshold: float = 0.5, value: str = "n_requests") -> DataFrame:
-    """*batch* Each window against the one ``back`` earlier; windows without a counterpart are left out."""
+def rate_drop(rates: DataFrame, back: str = "1 hour", threshold: float = 0.5, value: str = "n_requests", until: Column | None = None) -> DataFrame:
+    """*batch* Each window that has one ``back`` earlier, against that one; a window without events counts 0.
+
+    Without events at all after some time there is a row for each of those windows up to ``until`` (a window's start;
+    by default that of the last window with events), so a complete stop fires as well.
+    """
+    shift = F.expr(f"interval {back}")
+    end = F.lit(until) if until is not None else rates.agg(F.max("window_start")).scalar()
     before = rates.select(
-        (F.col("window_start") + F.expr(f"interval {back}")).alias("window_start"), F.col(value).alias("before")
-    )
+        (F.col("window_start") + shift).alias("window_start"), (F.col("window_end") + shift).alias("window_end"), F.col(value).alias("before")
+    ).where(F.col("window_start") <= end)
     return (
-        rates.join(before, "window_start")
+        before.join(rates.drop("window_end"), "window_start", "left")
+        .withColumn(value, F.coalesce(F.col(value), F.lit(0)))
         .withColumn("ratio", F.try_divide(F.col(value), F.col("before")))
         .withColumn("firing", F.col("ratio") < threshold)
     )
@@ -122,30 +129,33 @@ def rate_drop(rates: DataFrame, back: str = "1 hour", threshold: float = 0.5, va
 def rate_drop_stream(events: DataFrame, back: str = "1 hour", width: str = "5 minutes", threshold: float = 0.5, late: str = "10 minutes") -> DataFrame:
     """The same on a stream: two window aggregates joined on their window time.
 
-    The earlier side is shifted forward, so both sides carry the time at which they are compared.
+    The earlier side is shifted forward, so both sides carry the time at which they are compared. A window that
+    has an earlier one but no events comes out with 0 once the watermark has passed it.
     """
     now = _watermarked(events, late).groupBy(F.window("ts", width).alias("window")).agg(F.count(F.lit(1)).alias("n_requests"))
     shifted = events.withColumn("ts", F.col("ts") + F.expr(f"interval {back}"))
     past = _watermarked(shifted, late).groupBy(F.window("ts", width).alias("window")).agg(F.count(F.lit(1)).alias("before"))
     a = now.select(F.window_time("window").alias("at"), F.col("window.start").alias("window_start"), "n_requests")
-    b = past.select(F.window_time("window").alias("at_b"), "before")
+    b = past.select(F.window_time("window").alias("at_b"), F.col("window.start").alias("start_b"), "before")
     return (
-        a.join(b, F.col("at") == F.col("at_b"))
+        b.join(a, F.col("at") == F.col("at_b"), "left")
+        .select(F.col("start_b").alias("window_start"), F.coalesce("n_requests", F.lit(0)).alias("n_requests"), "before")
         .select("window_start", "n_requests", "before", F.try_divide(F.col("n_requests"), F.col("before")).alias("ratio"))
         .withColumn("firing", F.col("ratio") < threshold)
     )
 
 
-def absent_windows(events: DataFrame, minutes: int = 2) -> DataFrame:
-    """*batch* Windows between the first and the last event that hold none.
+def absent_windows(events: DataFrame, minutes: int = 2, until: Column | None = None) -> DataFrame:
+    """*batch* Windows from the first event on that hold none, up to the last event or to ``until`` (a time) if that is later.
 
-    The spine is built in two steps, days and then windows of a day, so it spreads over tasks.
-    ``minutes`` divides a day.
+    With ``until`` set to now, a service that has been silent up to now is seen. The spine is built in two steps, days and
+    then windows of a day, dealt out by day in between, so it spreads over tasks. ``minutes`` divides a day.
     """
     start = F.window("ts", f"{minutes} minutes")["start"]
     seen = events.select(start.alias("window_start")).groupBy("window_start").agg(F.count(F.lit(1)).alias("n_requests"))
-    span = seen.agg(F.min("window_start").alias("lo"), F.max("window_start").alias("hi"))
-    days = span.select("lo", "hi", F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"))).alias("day"))
+    last = F.max("window_start") if until is None else F.greatest(F.max("window_start"), until - F.make_dt_interval(mins=F.lit(minutes)))
+    span = seen.agg(F.min("window_start").alias("lo"), last.alias("hi"))
+    days = span.select("lo", "hi", F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"))).alias("day")).repartition("day")
     minute = F.explode(F.sequence(F.lit(0), F.lit(24 * 60 - minutes), F.lit(minutes)))
     spine = days.select("lo", "hi", "day", minute.alias("m")).select(
         "lo", "hi", (F.col("day").cast("timestamp") + F.make_dt_interval(mins=F.col("m"))).alias("window_start")
