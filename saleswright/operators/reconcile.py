@@ -81,28 +81,21 @@ def mint_ols(nodes: DataFrame) -> DataFrame:
     return _coherent(_with_axes(nodes), value)
 
 
-# The solve below is of the size of the aggregated nodes and of the residual days, never of the bottom.
-MAX_AGGREGATES, MAX_DAYS = 2_000, 1_500
-
-
 def mint_shrink(nodes: DataFrame, residuals: DataFrame) -> DataFrame:
     """Minimum-trace reconciliation with a shrunk residual covariance.
 
     ``residuals``: level, node_id, store_nbr, family, ds, e, one value per node and day. With C the matrix
     of constraints (aggregate − sum of its bottom series), ỹ = ŷ − W Cᵀ (C W Cᵀ)⁻¹ C ŷ and
-    W = λ·diag(Ŵ) + (1−λ)·Ŵ. Ŵ is never formed: C Ŵ and the shrinkage λ only need the incoherence of
-    the residuals per day and the day × day Gram matrix of the nodes. What reaches the driver is of the
-    size (aggregates × days) and (aggregates²), which is checked; use :func:`mint_ols` beyond that.
+    W = λ·diag(Ŵ) + (1−λ)·Ŵ. Neither Ŵ nor C W Cᵀ is formed: the system is solved by conjugate gradients,
+    whose products need the incoherence of the residuals (aggregates × days) and, from Spark, sums of the
+    weighted bottom series along the axes. The driver holds what belongs to aggregates (stores, families,
+    total), never the bottom.
     """
     # The panel is read several times below: write it once, so that no step repeats what led to it.
     panel = materialised(_residual_panel(residuals), "residual_panel")
-    n_agg, n_days, fewest = panel.agg(
-        F.count_if(F.col("level") != BOTTOM), F.max(F.size("x")), F.min(F.size("x"))
-    ).first()
+    n_days, fewest = panel.agg(F.max(F.size("x")), F.min(F.size("x"))).first()
     if fewest != n_days:
         raise ValueError("residuals miss days for some nodes")
-    if n_agg > MAX_AGGREGATES or n_days > MAX_DAYS:
-        raise ValueError(f"{n_agg} aggregates over {n_days} days are too many for one solve; use mint_ols")
 
     lam = shrinkage(panel, n_days)
     variance = panel.select("level", "node_id", "store_nbr", "family", "variance")
@@ -113,9 +106,7 @@ def mint_shrink(nodes: DataFrame, residuals: DataFrame) -> DataFrame:
     order = list(gap.index)
     d = gap.to_numpy()
     c_y = _incoherence(nodes).toPandas().pivot(index="node_id", columns="ds", values="gap").reindex(order)
-
-    cwc = lam * _diagonal_part(variance, order) + (1 - lam) / (n_days - 1) * d @ d.T
-    z = np.linalg.lstsq(cwc, c_y.to_numpy(), rcond=None)[0]
+    z = _conjugate_gradients(variance, order, d, lam, n_days, c_y.to_numpy())
     u = d.T @ z
 
     # Corrections go back as tables of aggregates × periods and of one array of days per period.
@@ -189,23 +180,56 @@ def _incoherence(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _diagonal_part(variance: DataFrame, order: list[str]) -> np.ndarray:
-    """C·diag(v)·Cᵀ: own variance plus that of the bottom series two aggregates share."""
-    at = {node: i for i, node in enumerate(order)}
-    out = np.zeros((len(order), len(order)))
-    own = variance.where(F.col("level") != BOTTOM).select("node_id", "variance").toPandas()
-    for node, v in zip(own["node_id"], own["variance"]):
-        out[at[node], at[node]] += v
+def _conjugate_gradients(variance: DataFrame, order: list[str], d: np.ndarray, lam: float, n_days: int, right: np.ndarray, tol: float = 1e-13) -> np.ndarray:
+    """z with (λ C diag(v) Cᵀ + (1−λ)/(days−1) D Dᵀ) z = right, for all periods (columns) at once.
+
+    C diag(v) Cᵀ z is, for an aggregate, its own variance times z plus the sum of v·(z of total, store and family)
+    over the bottom series below it: one pass over the bottom cells, summed by store, family and in all.
+    """
+    spark = variance.sparkSession
     store, family = F.col("store_nbr"), F.col("family")
-    cells = variance.where(F.col("level") == BOTTOM).select(
-        node_key(F.lit(STORE), store, family).alias("s"), node_key(F.lit(FAMILY), store, family).alias("f"), "variance"
-    ).toPandas()
-    s, f, v = cells["s"].map(at).to_numpy(), cells["f"].map(at).to_numpy(), cells["variance"].to_numpy()
-    t = np.full(len(v), at[TOTAL])
-    for a in (s, f, t):
-        for b in (s, f, t):
-            np.add.at(out, (a, b), v)
-    return out
+    own = variance.where(F.col("level") != BOTTOM).select("node_id", "variance").toPandas().set_index("node_id")["variance"].reindex(order).to_numpy()
+    cells = materialised(
+        variance.where(F.col("level") == BOTTOM).select(
+            node_key(F.lit(STORE), store, family).alias("s"), node_key(F.lit(FAMILY), store, family).alias("f"), F.col("variance").alias("v")), "cells")
+    at = {node: i for i, node in enumerate(order)}
+    width = right.shape[1]
+
+    def below(z: np.ndarray) -> np.ndarray:
+        """Σ v·(z_total + z_store + z_family) over the bottom series of each aggregate."""
+        rows = spark.createDataFrame([(node, [float(x) for x in z[i]]) for node, i in at.items()], "node string, z array<double>")
+        total = F.array(*[F.lit(float(x)) for x in z[at[TOTAL]]])
+        spread = cells.join(rows.select(F.col("node").alias("s"), F.col("z").alias("zs")), "s").join(rows.select(F.col("node").alias("f"), F.col("z").alias("zf")), "f")
+        sums = [F.sum(F.col("v") * (total[h] + F.col("zs")[h] + F.col("zf")[h])).alias(f"h{h}") for h in range(width)]
+        out = np.zeros((len(order), width))
+        for r in spread.groupingSets([["s"], ["f"], []], "s", "f").agg(*sums).collect():  # a row for each aggregate
+            out[at[r["s"] or r["f"] or TOTAL]] = [r[f"h{h}"] for h in range(width)]
+        return out
+
+    def product(z: np.ndarray) -> np.ndarray:
+        return lam * (own[:, None] * z + below(z)) + (1 - lam) / (n_days - 1) * (d @ (d.T @ z))
+
+    # Scaled by the diagonal: the variance of each aggregate and of all bottom series below it.
+    sums = {r["s"] or r["f"] or TOTAL: r["v"] for r in cells.groupingSets([["s"], ["f"], []], "s", "f").agg(F.sum("v").alias("v")).collect()}
+    diagonal = lam * (own + np.array([sums[node] for node in order])) + (1 - lam) / (n_days - 1) * (d * d).sum(axis=1)
+    scale = 1 / np.where(diagonal > 0, diagonal, 1)[:, None]
+    z = np.zeros_like(right)
+    rest = right.copy()
+    step = scale * rest
+    direction, size = step, (rest * step).sum(axis=0)
+    first = size.copy()
+    for _ in range(20 * len(order) + 20):
+        moving = size > tol**2 * first
+        if not moving.any():
+            break
+        image = product(direction)
+        length = np.where(moving, size / np.where(moving, (direction * image).sum(axis=0), 1), 0)
+        z, rest = z + length * direction, rest - length * image
+        step = scale * rest
+        new = (rest * step).sum(axis=0)
+        direction = step + np.where(moving, new / np.where(size > 0, size, 1), 0) * direction
+        size = new
+    return z
 
 
 METHODS: dict[str, Callable[..., DataFrame]] = {

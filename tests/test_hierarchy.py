@@ -140,12 +140,14 @@ def test_minimum_trace_equals_a_dense_solve(spark, n_s, n_f, t):
         reconcile.mint_shrink(nodes, residuals.where("NOT (node_id = 'Total' AND ds = '2020-06-01')"))
 
 
-def test_too_many_aggregates_are_refused(spark, monkeypatch):
+def test_minimum_trace_over_a_long_history(spark):
+    """As many days as the original data has: no size is refused, and the result adds up."""
     nodes, _ = noisy_nodes(spark, 2, 2)
-    residuals = nodes.withColumnRenamed("y_hat", "e")
-    monkeypatch.setattr(reconcile, "MAX_AGGREGATES", 3)
-    with pytest.raises(ValueError, match="mint_ols"):
-        reconcile.mint_shrink(nodes, residuals)
+    order = node_order(2, 2)
+    e = np.random.default_rng(3).normal(0, 1, (len(order), 1684))
+    rows = [(node, dt.date(2013, 1, 1) + dt.timedelta(days=k), float(e[i, k])) for i, node in enumerate(order) for k in range(1684)]
+    result = reconcile.mint_shrink(nodes, split_ids(spark, rows, "e"))
+    assert all(r["coherent"] for r in reconcile.check_coherence(result).collect())
 
 
 def test_top_down_and_bottom_up(spark):
