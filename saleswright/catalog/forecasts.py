@@ -78,7 +78,7 @@ def f7_rolling_origin(spark, sf_dir):
 
 
 def f7_rolling_origin_ets(spark, sf_dir):
-    scored = forecast.cv_series(base.series(spark, sf_dir), forecast.ets_forecaster(), H, windows=2)
+    scored = forecast.cv_series(base.series(spark, sf_dir), forecast.ets_forecaster(), H)
     return evaluate.metrics(scored, ["fold"])
 
 

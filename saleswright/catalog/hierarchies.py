@@ -10,7 +10,7 @@ from ..constants import BOTTOM, FAMILY, STORE, TOTAL
 from ..functions.text import series_id
 from ..operators import hierarchy, reconcile, windows
 from ..operators.facts import latest
-from ..sources.stages import staged
+from ..sources.stages import materialised, staged
 from . import base
 from .base import define, r, rounded, sql_table
 
@@ -23,19 +23,25 @@ def nation_fact(spark, sf_dir) -> DataFrame:
 
 
 def base_forecasts(spark, sf_dir) -> DataFrame:
-    """level, node_id, store_nbr, family, ds, y_hat for the 7 days after the data, on the full grid."""
-    return staged(spark, ("base_forecasts", sf_dir), lambda: _base_forecasts(nation_fact(spark, sf_dir)))
+    """level, node_id, store_nbr, family, ds, y_hat for the last 7 days, from the days before them, on the full grid."""
+    return staged(spark, ("base_forecasts", sf_dir), lambda: _base_forecasts(past(spark, sf_dir), nation_fact(spark, sf_dir)))
 
 
-def _base_forecasts(fact: DataFrame) -> DataFrame:
-    last = latest(fact.select("date"))
+def past(spark, sf_dir) -> DataFrame:
+    """All days but the last 7, which are held out."""
+    fact = nation_fact(spark, sf_dir)
+    return fact.where(F.col("date") <= F.date_sub(latest(fact.select("date")), 7))
+
+
+def _base_forecasts(fact: DataFrame, everything: DataFrame) -> DataFrame:
+    last = F.date_sub(latest(everything.select("date")), 7)
     age = F.datediff("_last", "date")
     recent = fact.withColumn("_last", last).where(age < 49).select(
         "store_nbr", "family", (7 - age % 7).alias("k"), (F.floor(age / 7) + 1).alias("week"), "sales"
     )
     means = {n: F.sum(F.when(F.col("week") <= n, F.col("sales")).otherwise(0.0)) / n for n in sorted(set(WEEKS.values()))}
     cells = recent.groupBy("store_nbr", "family", "k").agg(*[v.alias(f"m{n}") for n, v in means.items()])
-    grid = hierarchy.hierarchy_spec(fact).select("store_nbr", "family", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("k"))
+    grid = hierarchy.hierarchy_spec(everything).select("store_nbr", "family", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("k"))
     full = grid.join(cells, ["store_nbr", "family", "k"], "left").withColumn("ds", F.date_add(last, F.col("k")))
     per_level = [
         hierarchy.aggregate_levels(full.withColumn("y_hat", F.coalesce(f"m{n}", F.lit(0.0))), "y_hat").where(
@@ -50,10 +56,9 @@ def _base_forecasts(fact: DataFrame) -> DataFrame:
 
 
 def residuals(spark, sf_dir) -> DataFrame:
-    """One-week errors of every node over the last 28 days; aggregates look two weeks back."""
-    fact = nation_fact(spark, sf_dir)
-    recent = fact.withColumn("_last", latest(fact.select("date"))).where(F.datediff("_last", "date") < 42).drop("_last")
-    nodes = hierarchy.aggregate_levels(hierarchy.complete_grid(recent).withColumnRenamed("date", "ds"), "sales")
+    """One-week errors of every node over all days before the held-out ones; aggregates look two weeks back."""
+    fact = past(spark, sf_dir)
+    nodes = hierarchy.aggregate_levels(hierarchy.complete_grid(fact).withColumnRenamed("date", "ds"), "sales")
     w = Window.partitionBy("node_id").orderBy("ds")
     week, fortnight = F.lag("sales", 7).over(w), F.lag("sales", 14).over(w)
     expected = F.when(F.col("level") == BOTTOM, week).otherwise((week + fortnight) / 2)
@@ -62,11 +67,10 @@ def residuals(spark, sf_dir) -> DataFrame:
 
 
 def actual_nodes(spark, sf_dir) -> DataFrame:
-    """The last 7 days of the data as if they were the days forecast."""
+    """The held-out days as they were."""
     fact = nation_fact(spark, sf_dir)
-    last = latest(fact.select("date"))
-    recent = fact.withColumn("_last", last).where(F.datediff("_last", "date") < 7).withColumn("ds", F.date_add("date", 7))
-    return hierarchy.aggregate_levels(recent, "sales").withColumnRenamed("sales", "y")
+    held = fact.where(F.col("date") > F.date_sub(latest(fact.select("date")), 7)).withColumnRenamed("date", "ds")
+    return hierarchy.aggregate_levels(held, "sales").withColumnRenamed("sales", "y")
 
 
 def _plain(nodes: DataFrame, places: int = 4) -> DataFrame:
@@ -113,6 +117,12 @@ def h8_mint_shrink(spark, sf_dir):
     return _plain(reconcile.mint_shrink(base_forecasts(spark, sf_dir), residuals(spark, sf_dir)))
 
 
+def h8_mint_shrink_levels(spark, sf_dir):
+    """How many published values each level has, and how far they are from the sums of their bottom series."""
+    checked = reconcile.check_coherence(reconcile.mint_shrink(base_forecasts(spark, sf_dir), residuals(spark, sf_dir)), 1e-3)
+    return checked.select("level", "n_nodes", r(F.col("max_gap"), 3).alias("max_gap"), "coherent")
+
+
 SQL_METHODS = ("BottomUp", "TopDown", "MinTrace_ols")
 
 
@@ -136,7 +146,7 @@ def h10_level_evaluation(spark, sf_dir):
 def l4_best_method(spark, sf_dir):
     from ..operators.evaluate import best_method
 
-    evaluation = _evaluation(spark, sf_dir)
+    evaluation = materialised(_evaluation(spark, sf_dir), "evaluation")  # a row for each method and level, read four times
     picks = [best_method(evaluation, "rmse", level).withColumn("level", F.lit(level or "all")) for level in (None, TOTAL, STORE, BOTTOM)]
     out = picks[0]
     for pick in picks[1:]:
@@ -148,7 +158,7 @@ def h11_coherence(spark, sf_dir):
     """Base forecasts are not coherent, reconciled ones are."""
     raw = base_forecasts(spark, sf_dir).select(F.lit("base").alias("method"), "level", "store_nbr", "family", "ds", "y_hat")
     rows = raw.unionByName(reconciled(spark, sf_dir).drop("node_id"))
-    checked = reconcile.check_coherence(rows, tol=1e-3, by=["method"])
+    checked = reconcile.check_coherence(materialised(rows, "published"), tol=1e-3, by=["method"])
     return checked.select("method", "level", "n_nodes", r(F.col("max_gap"), 2).alias("max_gap"), "coherent")
 
 
@@ -191,7 +201,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         h1_hierarchy_spec, h2_summing_edges, h3_validated_edges, h4_aggregated_levels, h4_aggregated_by_edges, h5_bottom_up,
-        h6_top_down, h7_mint_ols, h8_mint_shrink, h9_reconciled_wide, h10_level_evaluation, l4_best_method, h11_coherence,
+        h6_top_down, h7_mint_ols, h8_mint_shrink, h8_mint_shrink_levels, h9_reconciled_wide, h10_level_evaluation, l4_best_method, h11_coherence,
         j5_forecast_actuals, h12_tree_nodes, h12_store_trees, h12_tree_document, h12_yearly_trends, h13_proxy_nodes, h14_children,
     )
 }
@@ -220,12 +230,13 @@ define("edges", " UNION ALL ".join(
     f"SELECT '{level}' AS level, {label} AS node_id, bottom_id, n_stores, n_families, n_bottom FROM spec"
     for level, label in ((TOTAL, "total_label"), (STORE, "store_label"), (FAMILY, "family_label"), (BOTTOM, "bottom_id"))
 ))
+define("fact_past", "SELECT * FROM fact_nation WHERE date <= (SELECT max(date) - 7 FROM fact_nation)")
 define("base_cells", """
 SELECT c.store_nbr, c.family, CAST(l.last + CAST(k AS INTEGER) AS DATE) AS ds,
        coalesce(sum(sales) FILTER (WHERE age // 7 < 3), 0) / 3 AS m3, coalesce(sum(sales) FILTER (WHERE age // 7 < 6), 0) / 6 AS m6,
        coalesce(sum(sales) FILTER (WHERE age // 7 < 7), 0) / 7 AS m7
-FROM cells c CROSS JOIN range(1, 8) t(k) CROSS JOIN (SELECT max(date) AS last FROM fact_nation) l
-LEFT JOIN (SELECT *, (SELECT max(date) FROM fact_nation) - date AS age FROM fact_nation) f
+FROM cells c CROSS JOIN range(1, 8) t(k) CROSS JOIN (SELECT max(date) - 7 AS last FROM fact_nation) l
+LEFT JOIN (SELECT *, (SELECT max(date) - 7 FROM fact_nation) - date AS age FROM fact_past) f
   ON f.store_nbr = c.store_nbr AND f.family = c.family AND f.age < 49 AND 7 - f.age % 7 = k
 GROUP BY c.store_nbr, c.family, l.last, k""")
 define("base_nodes", f"""
@@ -250,7 +261,7 @@ define("nodes_td", _levels("bottom_td", "sum(v)"))
 define("nodes_ols", _levels("bottom_ols", "sum(v)"))
 define("nodes_all", """
 SELECT 'mean/BottomUp' AS method, * FROM nodes_bu UNION ALL SELECT 'mean/TopDown', * FROM nodes_td UNION ALL SELECT 'mean/MinTrace_ols', * FROM nodes_ols""")
-define("week_rows", "SELECT *, date + 7 AS ds FROM fact_nation WHERE date > (SELECT max(date) - 7 FROM fact_nation)")
+define("week_rows", "SELECT *, date AS ds FROM fact_nation WHERE date > (SELECT max(date) - 7 FROM fact_nation)")
 define("actual_nodes", _levels("week_rows", "sum(sales)", out="y"))
 define("evaluation", """
 SELECT method, n.level, avg(abs(y - y_hat) / (abs(y) + 1)) AS mape, sqrt(avg(pow(y - y_hat, 2))) AS rmse, avg(abs(y - y_hat)) AS mae, count(*) AS n_samples
@@ -293,6 +304,7 @@ FROM fact_nation f JOIN edges e ON e.bottom_id = f.store_nbr || '_' || f.family
     h5_bottom_up="SELECT level, node_id, ds, round(y_hat, 6) AS y_hat FROM nodes_bu",
     h6_top_down="SELECT level, node_id, ds, round(y_hat, 4) AS y_hat FROM nodes_td",
     h7_mint_ols="SELECT level, node_id, ds, round(y_hat, 4) AS y_hat FROM nodes_ols",
+    h8_mint_shrink_levels="SELECT level, count(*) AS n_nodes, CAST(0 AS DOUBLE) AS max_gap, true AS coherent FROM base_nodes WHERE level <> 'Bottom' GROUP BY level",
     h9_reconciled_wide=f"SELECT level, node_id, ds, {', '.join(_PICK.format(m='mean/' + m, n=6 if m == 'BottomUp' else 4) for m in SQL_METHODS)} FROM nodes_all GROUP BY level, node_id, ds",
     h10_level_evaluation="SELECT method, level, round(mape, 3) AS mape, round(rmse, 3) AS rmse, round(mae, 3) AS mae, n_samples FROM evaluation",
     l4_best_method="SELECT * FROM (" + ") UNION ALL SELECT * FROM (".join(

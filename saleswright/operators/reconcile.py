@@ -180,7 +180,7 @@ def _incoherence(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _conjugate_gradients(variance: DataFrame, order: list[str], d: np.ndarray, lam: float, n_days: int, right: np.ndarray, tol: float = 1e-13) -> np.ndarray:
+def _conjugate_gradients(variance: DataFrame, order: list[str], d: np.ndarray, lam: float, n_days: int, right: np.ndarray, tol: float = 1e-10) -> np.ndarray:
     """z with (λ C diag(v) Cᵀ + (1−λ)/(days−1) D Dᵀ) z = right, for all periods (columns) at once.
 
     C diag(v) Cᵀ z is, for an aggregate, its own variance times z plus the sum of v·(z of total, store and family)

@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.clean import clip_negative, to_series
+from ..operators.clean import clip_negative
 from ..operators.enrich import enrich
 from ..operators.evaluate import metrics
+from ..operators.facts import latest
 from ..operators.forecast import naive_forecaster
-from ..operators.split import TRAIN, VALID, time_split
+from ..operators.split import TRAIN, VALID
 from .features import build_feature_matrix
 
 
 def holdout_rows(features: DataFrame, days: int) -> DataFrame:
     """Train and valid rows of one time split as a single fold: fold, role, unique_id, ds, y, family."""
-    parts = [
-        to_series(side.withColumn("unique_id", F.col("unique_id"))).withColumns({"fold": F.lit(1), "role": F.lit(role)})
-        for side, role in zip(time_split(features, days), (TRAIN, VALID))
-    ]
-    return parts[0].unionByName(parts[1])
+    border = F.date_sub(latest(features.select("date")), days)
+    role = F.when(F.col("date") < border, TRAIN).otherwise(VALID)
+    return features.select(
+        "unique_id", F.col("date").alias("ds"), F.col("sales").alias("y"), F.lit(1).alias("fold"), role.alias("role"))
 
 
 def naive_holdout(fact: DataFrame, external: dict[str, DataFrame], horizon: int, days: int) -> DataFrame:
