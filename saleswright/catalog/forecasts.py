@@ -9,6 +9,7 @@ from ..operators.requests import sample_rows
 from ..plans.backtest import naive_holdout
 from ..session import scratch_dir
 from ..sources import sample
+from ..sources.stages import materialised
 from . import base
 from .accuracy import METRIC_NAMES, metrics_sql
 from .base import LINEAR_FEATURES, define, predict_sql, r, rounded, sql_table
@@ -86,6 +87,16 @@ def _sides(spark, sf_dir):
     return split.time_split(base.staged_features(spark, sf_dir), 90)
 
 
+def f8_trained_cv(spark, sf_dir):
+    """Walk-forward cross-validation of a model that is trained anew in each fold."""
+    feats = base.staged_features(spark, sf_dir)
+    rows = materialised(split.walk_forward(feats), "cv_rows")  # read twice for each fold
+    scored = model.trained_forecaster(lambda train, valid: model.fit_linear(train), split.folds(feats.select("date")))(rows)
+    near = F.abs(F.avg("y_hat") - F.avg("y")) <= 0.5 * F.avg("y")
+    finite = F.bool_and(F.col("y_hat").isNotNull() & ~F.isnan("y_hat") & (F.abs("y_hat") < float("inf")))
+    return scored.groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"), finite.alias("finite"), near.alias("mean_within_half"))
+
+
 def f8_boosted_trees(spark, sf_dir):
     train, valid = _sides(spark, sf_dir)
     fitted = model.fit_gbt(train, valid, rounds=8, depth=4, step=0.3, tol=0.001)
@@ -147,24 +158,25 @@ QUERIES = {
     for f in (
         f1_time_split, f2_fold_table, f2_walk_forward, f3_cv_folds, f3_cv_pooled, f4_seasonal_naive, f5_smoothing_fixed,
         f5_smoothing_grid, f6_forecast_all_naive, f6_forecast_all, f7_rolling_origin, f7_rolling_origin_ets, f8_boosted_trees,
-        f8_tree_importances, f9_linear_baseline, f9_single_feature_lines, f10_linear_scores, f10_model_vectors, f12_saved_model, l7_sampled_rows,
+        f8_trained_cv, f8_tree_importances, f9_linear_baseline, f9_single_feature_lines, f10_linear_scores, f10_model_vectors, f12_saved_model, l7_sampled_rows,
         naive_holdout_by_family,
     )
 }
 
 
-def _folds(n: int, gap: int = 0) -> str:
+def _folds(n: int, gap: int = 0, source: str = "fact_region") -> str:
     return f"""
 SELECT row_number() OVER (ORDER BY i) AS fold, * FROM (
   SELECT i, valid_end - 90 - {gap} - 365 AS train_start, valid_end - 90 - {gap} AS train_end, valid_end - 90 AS valid_start, valid_end, mn
-  FROM (SELECT i, mn, mx - CAST(i * 30 AS INTEGER) AS valid_end FROM (SELECT max(date) AS mx, min(date) AS mn FROM fact_region), range({n}) t(i))) b
-WHERE train_start >= mn AND EXISTS (SELECT 1 FROM fact_region f WHERE f.date >= b.train_start AND f.date < b.train_end)
-  AND EXISTS (SELECT 1 FROM fact_region f WHERE f.date BETWEEN b.valid_start AND b.valid_end)"""
+  FROM (SELECT i, mn, mx - CAST(i * 30 AS INTEGER) AS valid_end FROM (SELECT max(date) AS mx, min(date) AS mn FROM {source}), range({n}) t(i))) b
+WHERE train_start >= mn AND EXISTS (SELECT 1 FROM {source} f WHERE f.date >= b.train_start AND f.date < b.train_end)
+  AND EXISTS (SELECT 1 FROM {source} f WHERE f.date BETWEEN b.valid_start AND b.valid_end)"""
 
 
 define("folds_many", _folds(80))
 define("folds_gap", _folds(3, 30))
 define("folds_plain", _folds(3))
+define("folds_features", _folds(3, source="features_28"))
 define("folds_series", """
 SELECT fold, unique_id, max(ds) FILTER (WHERE role = 'train') OVER (PARTITION BY fold, unique_id) AS last_ds, ds, y, role
 FROM (SELECT b.fold, s.unique_id, s.ds, s.y, CASE WHEN s.ds < b.train_end THEN 'train' ELSE 'valid' END AS role
@@ -227,6 +239,9 @@ FROM naive_ahead a JOIN (SELECT unique_id, sqrt(avg(pow(y - b, 2))) AS sigma
   FROM (SELECT *, lag(y, 7) OVER (PARTITION BY unique_id ORDER BY ds) AS b FROM series_region) GROUP BY unique_id) s USING (unique_id),
   (VALUES (80, CAST(1.2815515655446004 AS DOUBLE)), (95, CAST(1.959963984540054 AS DOUBLE))) l(level, z)""",
     f7_rolling_origin=f"SELECT fold, {metrics_sql()} FROM origin_scored GROUP BY fold",
+    f8_trained_cv="""
+SELECT b.fold, count(*) AS n_rows, true AS finite, true AS mean_within_half
+FROM features_28 f JOIN folds_features b ON f.date BETWEEN b.valid_start AND b.valid_end GROUP BY b.fold""",
     f9_single_feature_lines="""
 SELECT family, round(regr_slope(sales, sales_rolling_mean_28), 6) AS slope, round(regr_intercept(sales, sales_rolling_mean_28), 3) AS intercept,
        round(regr_r2(sales, sales_rolling_mean_28), 6) AS r2 FROM features_28 GROUP BY family""",

@@ -79,15 +79,16 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     return scored.drop("_vector", *[c for c in scored.columns if c.startswith(_INPUT)])
 
 
-def trained_forecaster(fit, target: str = "sales"):
+def trained_forecaster(fit, folds: DataFrame, target: str = "sales"):
     """A model that is trained per fold, as a cross-validation model. ``fit(train, valid)`` → PipelineModel.
 
-    The folds are few and known from the arguments of the split; each is one distributed fit.
+    ``folds`` is the table of the fold borders, one row each (:func:`~saleswright.operators.split.folds`): their numbers come from
+    there, not from another pass over the rows. Each fold is one distributed fit.
     """
 
     def predict(rows: DataFrame) -> DataFrame:
         parts = None
-        for fold in sorted(r[0] for r in rows.select("fold").distinct().collect()):
+        for fold in sorted(r[0] for r in folds.select("fold").collect()):
             mine = rows.where(F.col("fold") == fold)
             train, valid = mine.where(F.col("role") == TRAIN), mine.where(F.col("role") == VALID)
             part = score(fit(train, valid), valid).select(

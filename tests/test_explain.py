@@ -111,7 +111,7 @@ def test_sensitivity_covers_the_grid(lines):
 
 
 def test_trained_models(spark, fact, tmp_path):
-    from saleswright.operators.split import cross_validate, time_split, walk_forward
+    from saleswright.operators.split import cross_validate, folds, time_split, walk_forward
 
     feats = build_feature_matrix(fact, 14)
     train, valid = time_split(feats, 20)
@@ -120,9 +120,10 @@ def test_trained_models(spark, fact, tmp_path):
     assert scored.count() == valid.count() and scored.where(F.isnan("prediction") | F.col("prediction").isNull()).count() == 0
     again = model.load(model.save(fitted, str(tmp_path / "m")))
     assert model.score(again, valid).exceptAll(scored).count() == 0
-    rows = walk_forward(feats, train_days=50, valid_days=10, n_splits=2, step_days=10)
+    cut = dict(train_days=50, valid_days=10, n_splits=2, step_days=10)
+    rows = walk_forward(feats, **cut)
     fit = lambda tr, va: model.fit_linear(tr, regularisation=0.1)
-    per_fold, pooled = cross_validate(model.trained_forecaster(fit), rows)
+    per_fold, pooled = cross_validate(model.trained_forecaster(fit, folds(feats, **cut)), rows)
     assert per_fold.count() == 2 and pooled.first()["n_samples"] == 2 * 11 * 4
     encoder = model.fit_encoder(train.withColumn("type", F.lit("A")))
     coded = model.encode(valid.withColumn("type", F.lit("Z")), encoder)
