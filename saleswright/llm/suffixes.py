@@ -17,11 +17,13 @@ from .common import bucketed, table
 #: Bytes of text that are handled together (a longer text is alone).
 CHUNK = 4 << 20
 #: Suffixes that one merge should see.
-MERGE = 16_384
+MERGE = 32_768
+#: Grams that are sampled for each such merge, to cut the key space.
+SAMPLE = 16
 #: Length of the strings whose hash selects suffixes: the least of a window is selected.
 GRAM = 32
 #: Positions that are hashed at once.
-STEP = 1 << 20
+STEP = 1 << 19
 MULTIPLIER = 0x9E3779B97F4A7C15
 
 CHUNK_SCHEMA = "chunk long, docs array<long>, rids array<long>, lens array<long>, data binary"
@@ -80,7 +82,7 @@ def anchors(data: np.ndarray, room: np.ndarray, length: int, gram: int = GRAM) -
         most = _sliding(padded, width, np.maximum)[: len(h)]
         place = np.flatnonzero((most == h) & (h != 0))
         place = place[(place + low >= at) & (place + low < at + STEP)]
-        for part in np.array_split(place, len(place) // 65536 + 1):
+        for part in np.array_split(place, len(place) // 16384 + 1):
             if len(part):
                 windows = padded[part[:, None] + np.arange(width)] == h[part, None]
                 first = part - width + 1 + windows.argmax(axis=1)
@@ -125,31 +127,42 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _gram_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(hash, chunk, whether it is there more than once) for each distinct selected gram of a chunk."""
+    """(hash, chunk, whether it is there more than once, gram) for each distinct selected gram of a chunk; the gram itself only for a sample."""
+    sampled = np.uint64(min(SAMPLE / MERGE, 1) * (2.0**64 - 2048))
     for batch in batches:
-        for chunk, lens, data in zip(*(batch.column(c).to_pylist() for c in ("chunk", "lens", "data"))):
+        for chunk, lens, text in zip(*(batch.column(c).to_pylist() for c in ("chunk", "lens", "data"))):
+            data = np.frombuffer(text, np.uint8)
             room, _ = _rooms(np.array(lens, np.int64))
-            found = [h for _, h, _, _ in anchors(np.frombuffer(data, np.uint8), room, length)]
-            h, n = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), chunk)), pa.array(n > 1)], names=["h", "chunk", "again"])
+            found = [(h, place) for place, h, _, _ in anchors(data, room, length)]
+            places = np.concatenate([p for _, p in found] or [np.empty(0, np.int64)])
+            h, at, n = np.unique(np.concatenate([x for x, _ in found] or [np.empty(0, np.uint64)]), return_index=True, return_counts=True)
+            drawn = h * np.uint64(0xD6E8FEB86659FD93) <= sampled
+            grams = [text[p:p + GRAM] if d else None for p, d in zip(places[at].tolist(), drawn.tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h.view(np.int64)), pa.array(np.full(len(h), chunk)), pa.array(n > 1), pa.array(grams, pa.binary())], names=["h", "chunk", "again", "gram"])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows in order of h: those whose h is in several rows or several times in one. Holds the last h's rows only."""
-    held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)]
+    held: pa.Table | None = None
 
-    def pick(h: np.ndarray, chunk: np.ndarray, again: np.ndarray) -> pa.RecordBatch:
-        same = h[1:] == h[:-1]
-        keep = again | np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(h) else again
-        return pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(chunk[keep])], names=["h", "chunk"])
+    def pick(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        h, again = rows["h"].to_numpy(), rows["again"].to_numpy()
+        if len(h):
+            same = h[1:] == h[:-1]
+            keep = again | np.concatenate((same, [False])) | np.concatenate(([False], same))
+            yield from rows.filter(pa.array(keep)).select(["h", "chunk", "gram"]).combine_chunks().to_batches()
 
     for batch in batches:
-        h, chunk, again = (np.concatenate(x) for x in zip(held, (batch.column("h").to_numpy(), batch.column("chunk").to_numpy(), batch.column("again").to_numpy(zero_copy_only=False))))
-        if len(h):
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([held, rows]) if held is not None else rows
+        if len(rows):
+            h = rows["h"].to_numpy()
             cut = int(np.searchsorted(h, h[-1]))
-            held = [h[cut:], chunk[cut:], again[cut:]]
-            yield pick(h[:cut], chunk[:cut], again[:cut])
-    yield pick(*held)
+            held = rows.slice(cut)
+            yield from pick(rows.slice(0, cut))
+    if held is not None:
+        yield from pick(held)
 
 
 def _padded(data: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, step: int = 1) -> np.ndarray:
@@ -181,13 +194,29 @@ def _common(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], lcp))
 
 
-RUN_SCHEMA = "part int, chunk long, n int, cover boolean, lcp binary, rest binary, size binary, before binary, left_size binary, left binary, doc binary, rid binary, index binary, place binary"
-_PACKED = {"lcp": "u1", "size": "u1", "left_size": "u1", "doc": "<i8", "rid": "<i8", "index": "<i4", "place": "<i8", "before": "u1"}
+RUN_SCHEMA = "part int, chunk long, cover boolean, n int, bytes int, packed binary"
+#: Columns of a run in this order; then the strings' own bytes and those to their left.
+COLUMNS = {"lcp": "<u1", "size": "<u1", "left_size": "<u1", "index": "<u4", "place": "<u8", "doc": "<i8", "tie": "<u4"}
+
 
+def _row(part: int, chunk: int, cover: bool, columns: list[np.ndarray], tail: bytes = b"") -> tuple:
+    """A run in a row. Numbers are laid out byte by byte, so that their many zero bytes compress."""
+    names = ("index", "place", "doc") if cover else COLUMNS
+    planes = [np.ascontiguousarray(x.astype(COLUMNS[c])).view(np.uint8).reshape(len(x), -1).T.tobytes() for c, x in zip(names, columns)]
+    data = b"".join([*planes, tail])
+    return part, chunk, cover, len(columns[0]), len(data), pa.compress(data, codec="zstd", asbytes=True)
 
-def _row(part: int, chunk: int, n: int, cover: bool, **columns: np.ndarray | bytes) -> dict:
-    return {"part": part, "chunk": chunk, "n": n, "cover": cover} | {
-        c: (x if isinstance(x, bytes) else x.astype(_PACKED[c]).tobytes()) for c, x in columns.items()}
+
+def _unpack(row) -> tuple[list[np.ndarray], bytes]:
+    data = pa.decompress(row.packed, decompressed_size=row.bytes, codec="zstd", asbytes=True)
+    out, at = [], 0
+    for c in (("index", "place", "doc") if row.cover else COLUMNS):
+        kind = np.dtype(COLUMNS[c])
+        end = at + row.n * kind.itemsize
+        planes = np.frombuffer(data, np.uint8, end - at, at).reshape(kind.itemsize, row.n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel().astype(np.int64))
+        at = end
+    return out, data[at:]
 
 
 def _runs(batches: Iterator[pa.RecordBatch], length: int, borders: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -196,8 +225,8 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int, borders: np.ndarray) -
     Suffixes with equal surroundings in one chunk travel once, as the earliest; the others are known to repeat and
     make ``cover`` rows (index, place of the first byte and number of bytes).
     """
-    names = [c.split()[0] for c in RUN_SCHEMA.split(", ")]
-    types = {"part": pa.int32(), "chunk": pa.int64(), "n": pa.int32(), "cover": pa.bool_()}
+    names, types = zip(*(c.split() for c in RUN_SCHEMA.split(", ")))
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
     for batch in batches:
         for chunk, docs, rids, lens, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("chunk", "docs", "rids", "lens", "data", "wanted"))):
             data, lens = np.frombuffer(text, np.uint8), np.array(lens, np.int64)
@@ -205,7 +234,7 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int, borders: np.ndarray) -
             filled = np.flatnonzero(lens)
             wanted = np.sort(np.array(wanted, np.int64).view(np.uint64))
             numbers = np.array([np.iinfo(np.int64).max if d is None else d for d in docs], np.int64)
-            rids = np.array(rids, np.int64)
+            rids = np.array(rids, np.int64) & 0xFFFFFFFF
             held: list[tuple[np.ndarray, ...]] = []
             rows = []
 
@@ -222,7 +251,7 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int, borders: np.ndarray) -
                 later = same & (own != own[:, head]).any(axis=0)
                 if later.any():
                     at = order[later]
-                    rows.append(_row(-1, chunk, len(at), True, index=index[at], place=inside[at] - left_size[at], doc=left_size[at] + size[at]))
+                    rows.append(_row(-1 - chunk % 1024, chunk, True, [index[at], inside[at] - left_size[at], left_size[at] + size[at]]))
                 keep = order[~later]
                 return tuple(x[keep] for x in found)
 
@@ -248,10 +277,9 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int, borders: np.ndarray) -
                 at = order[parts == p]
                 lcp = _common(right[at], size[at])
                 rest = b"".join([right[i, a:b].tobytes() for i, a, b in zip(at.tolist(), lcp.tolist(), size[at].tolist())])
-                rows.append(_row(int(p), chunk, len(at), False, lcp=lcp, rest=rest, size=size[at], left_size=left_size[at], before=np.empty(0),
-                                 left=b"".join([left[i, :b].tobytes() for i, b in zip(at.tolist(), left_size[at].tolist())]),
-                                 doc=doc[at], rid=rid[at], index=index[at], place=inside[at]))
-            yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], types.get(c, pa.binary())) for c in names], names=names)
+                before = b"".join([left[i, :b].tobytes() for i, b in zip(at.tolist(), left_size[at].tolist())])
+                rows.append(_row(int(p), chunk, False, [lcp, size[at], left_size[at], index[at], inside[at], doc[at], rid[at] & 0xFFFFFFFF], rest + before))
+            yield pa.RecordBatch.from_arrays([pa.array(x, kinds[t]) for x, t in zip(zip(*rows), types)], names=list(names))
 
 
 def _part_of(grams: np.ndarray, borders: np.ndarray) -> np.ndarray:
@@ -322,39 +350,46 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int,
             node >>= 1
 
 
-def _decoded(row) -> tuple[list[bytes], list[int]]:
+def _decoded(lcp: list[int], size: list[int], rest: bytes) -> list[bytes]:
     """A front-coded run's strings."""
-    lcp, size = np.frombuffer(row.lcp, "u1").tolist(), np.frombuffer(row.size, "u1").tolist()
     out, at, last = [], 0, b""
     for a, b in zip(lcp, size):
-        last = last[:a] + row.rest[at:at + b - a]
+        last = last[:a] + rest[at:at + b - a]
         at += b - a
         out.append(last)
-    return out, lcp
+    return out
 
 
 def _merge(runs: pd.DataFrame, length: int) -> pd.DataFrame:
     """Windows of ``length`` bytes that start earlier elsewhere, as (chunk, index, place, bytes) to be removed."""
     rows = list(runs.sort_values("chunk").itertuples(index=False))
-    decoded = [_decoded(r) for r in rows]
+    if rows[0].cover:  # known already
+        found = [np.stack([np.full(r.n, r.chunk), *_unpack(r)[0]]) for r in rows]
+        return pd.DataFrame(np.concatenate(found, axis=1).T, columns=["chunk", "index", "place", "bytes"]).astype({"index": np.int32})
+    unpacked = [_unpack(r) for r in rows]
+    columns = np.concatenate([np.stack(x) for x, _ in unpacked], axis=1)
+    decoded, lefts = [], []
+    for (lcp, size, *_), tail in unpacked:
+        own = int((size - lcp).sum())
+        decoded.append((_decoded(lcp.tolist(), size.tolist(), tail[:own]), lcp.tolist()))
+        lefts.append(tail[own:])
+    del unpacked
     n = sum(r.n for r in rows)
     merged = np.fromiter((x for three in merge_runs(decoded) for x in three), np.int64, 3 * n).reshape(n, 3)
     del decoded
     offset = np.cumsum([0, *[r.n for r in rows]])[:-1]
     at = offset[merged[:, 0]] + merged[:, 1]
     common = merged[:, 2]
-    column = lambda c: np.concatenate([np.frombuffer(getattr(r, c), _PACKED[c]) for r in rows]).astype(np.int64)[at]
-    size, left_size, doc, rid, index, place = (column(c) for c in ("size", "left_size", "doc", "rid", "index", "place"))
+    _, size, left_size, index, place, doc, tie = columns[:, at]
     chunk = np.repeat([r.chunk for r in rows], [r.n for r in rows])[at]
-    lefts = np.frombuffer(b"".join(r.left for r in rows), np.uint8)
-    sizes = np.concatenate([np.frombuffer(r.left_size, "u1") for r in rows]).astype(np.int64)
-    left = _padded(lefts, (np.cumsum(sizes) - sizes)[at], left_size, length - GRAM)
+    sizes = columns[2]
+    left = _padded(np.frombuffer(b"".join(lefts), np.uint8), (np.cumsum(sizes) - sizes)[at], left_size, length - GRAM)
     # Left contexts are compared only among suffixes whose first GRAM bytes agree.
     block = np.cumsum(common < GRAM)
     by_left = _in_order(left, left_size, block)
     left_common = _common(left[by_left], left_size[by_left])
     left_common[np.concatenate(([True], np.diff(block[by_left]) != 0))] = -1
-    _, rank = np.unique(np.stack([doc, rid, place], axis=1), axis=0, return_inverse=True)
+    _, rank = np.unique(np.stack([doc, tie, place], axis=1), axis=0, return_inverse=True)
     rank = rank.reshape(-1)
     by_rank = np.argsort(rank, kind="stable")
     gone = np.zeros((n, length - GRAM + 1), bool)
@@ -398,58 +433,25 @@ def repeated_strings(df: DataFrame, length: int = 100, text: str = "text", key:
     total = df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     chunks = bucketed(source.mapInArrow(_chunks, CHUNK_SCHEMA), "chunks", "chunk", total)
 
-    grams = chunks.select("chunk", "lens", "data").mapInArrow(lambda b: _gram_rows(b, length), "h long, chunk long, again boolean")
-    often = materialised(grams.repartition("h").sortWithinPartitions("h").mapInArrow(_repeated, "h long, chunk long"), "grams")
-    wanted = materialised(often.groupBy("chunk").agg(F.collect_list("h").alias("wanted")), "wanted")
-    n = often.count()
-    parts = max(1, -(-n // MERGE))
-    with_wanted = chunks.join(wanted, "chunk")
-    borders = _borders(with_wanted, length, parts, n)
-    shared = spark.sparkContext.broadcast(borders)
-    runs = materialised(with_wanted.mapInArrow(lambda b: _runs(b, length, shared.value), RUN_SCHEMA), "runs")
-    cover_schema = "chunk long, index int, place long, bytes long"
-    merged = runs.where("not cover").groupBy("part").applyInPandas(lambda x: _merge(x, length), cover_schema)
-    covered = runs.where("cover").select("chunk", "index", "place", F.col("doc").alias("bytes")).mapInArrow(_unpacked, cover_schema)
-    spans = merged.unionByName(covered).groupBy("chunk").agg(F.collect_list(F.struct("index", "place", "bytes")).alias("cover"))
+    grams = chunks.select("chunk", "lens", "data").mapInArrow(lambda b: _gram_rows(b, length), "h long, chunk long, again boolean, gram binary")
+    often = grams.repartition("h").sortWithinPartitions("h").mapInArrow(_repeated, "h long, chunk long, gram binary")
+    wanted = materialised(often.groupBy("chunk").agg(F.collect_list("h").alias("wanted"), F.collect_set("gram").alias("sampled")), "wanted")
+    borders = spark.sparkContext.broadcast(_borders(wanted))
+    runs = chunks.join(wanted.drop("sampled"), "chunk").mapInArrow(lambda b: _runs(b, length, borders.value), RUN_SCHEMA)
+    covered = runs.groupBy("part").applyInPandas(lambda x: _merge(x, length), "chunk long, index int, place long, bytes long")
+    spans = covered.groupBy("chunk").agg(F.collect_list(F.struct("index", "place", "bytes")).alias("cover"))
     return chunks.join(spans, "chunk", "left").mapInArrow(_cut, "key long, text binary, spans array<struct<start:long,end:long>>")
 
 
-def _borders(chunks: DataFrame, length: int, parts: int, n: int, sample: int = 16) -> np.ndarray:
-    """parts - 1 grams that cut the repeated grams about evenly: from a sample, by hash, of ``sample`` for each part."""
-    if parts < 2:
-        return np.empty((0, GRAM), np.uint8)
-    most = np.uint64(min(1.0, sample * parts / max(n, 1)) * (2.0**64 - 2048))
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lens, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("lens", "data", "wanted"))):
-                data = np.frombuffer(text, np.uint8)
-                room, _ = _rooms(np.array(lens, np.int64))
-                wanted = np.array(wanted, np.int64).view(np.uint64)
-                mixed = lambda h: h * np.uint64(0xD6E8FEB86659FD93)
-                wanted = np.sort(wanted[mixed(wanted) <= most])
-                if not len(wanted):
-                    continue
-                out = []
-                for place, h, _, _ in anchors(data, room, length):
-                    at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-                    out += [data[p:p + GRAM].tobytes() for p in place[wanted[at] == h]]
-                yield pa.RecordBatch.from_arrays([pa.array(sorted(set(out)), pa.binary())], names=["gram"])
-
-    found = sorted(r[0] for r in chunks.select("lens", "data", "wanted").mapInArrow(draw, "gram binary").collect())
-    if not found:
-        return np.empty((0, GRAM), np.uint8)
-    chosen = sorted({found[len(found) * i // parts] for i in range(1, parts)})
+def _borders(wanted: DataFrame) -> np.ndarray:
+    """Grams that cut the repeated grams about evenly into merges. As for any range partitioning, ``SAMPLE`` keys for each part reach the driver."""
+    n = wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0]
+    parts = -(-n // MERGE)
+    found = sorted(r[0] for r in wanted.select(F.explode("sampled")).collect()) if parts > 1 else []
+    chosen = sorted({bytes(found[len(found) * i // parts]) for i in range(1, parts)}) if found else []
     return np.frombuffer(b"".join(chosen), np.uint8).reshape(-1, GRAM)
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for chunk, index, place, size in zip(*(batch.column(c).to_pylist() for c in ("chunk", "index", "place", "bytes"))):
-            index = np.frombuffer(index, "<i4")
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(index), chunk)), pa.array(index), pa.array(np.frombuffer(place, "<i8")), pa.array(np.frombuffer(size, "<i8"))], names=["chunk", "index", "place", "bytes"])
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The chunks' documents with the union of their spans."""
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
