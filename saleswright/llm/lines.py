@@ -126,8 +126,9 @@ def dedup_lines(df: DataFrame, run: int = RUN, text: str = "text", key: str = "d
     kept = [c for c in df.columns if c.lower() not in new]
     runs = repeated_runs(df, run, text, key)
     rid = free_name(df, "_rid")
-    joined = df.select(*kept, row_id(df, key, text).alias(rid)).join(
-        materialised(runs.select(F.col("rid").alias(rid), F.col("starts").alias("_starts")), "runs"), rid, "left").select(*kept, "_starts")
+    # The runs grow with the input: a merge join at every size, so that no broadcast turns into a shuffle of all texts later.
+    found = materialised(runs.select(F.col("rid").alias(rid), F.col("starts").alias("_starts")), "runs").hint("merge")
+    joined = df.select(*kept, row_id(df, key, text).alias(rid)).join(found, rid, "left").select(*kept, "_starts")
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*kept).schema)
     return joined.mapInArrow(lambda b: _without(b, run, kept, text), schema + "n_lines long, n_removed long, removed array<struct<start:int,end:int>>")
 
