@@ -1,6 +1,6 @@
 """Headline queries at ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]``; prints one JSON line.
 
-Each query runs to its end into a no-op sink, so nothing is collected. Stage tables (the daily fact, the
+Each query runs to its end into a no-op sink, twice, so nothing is collected; the total counts the first runs. Stage tables (the daily fact, the
 feature matrix) are written once, as in a job of several steps, and timed on their own.
 """
 
@@ -10,7 +10,7 @@ import json
 import os
 import time
 
-from saleswright.session import get_session
+from saleswright.session import clear_scratch, get_session
 
 
 def timed(run) -> float:
@@ -39,15 +39,18 @@ def main() -> None:
         "stage_features": timed(lambda: base.staged_features(spark, sf_dir)),
     }
     headline = (
-        "w6_feature_matrix", "f3_cv_pooled", "h4_aggregated_levels", "h7_mint_ols", "x4_waterfall", "e1_request_rates",
+        "w6_feature_matrix", "h8_mint_shrink_levels", "f8_trained_cv", "f3_cv_pooled", "h4_aggregated_levels", "h7_mint_ols", "x4_waterfall", "e1_request_rates",
         "j6_feature_lookup", "a6_interval_offsets", "f11_batch_prediction", "naive_holdout_by_family",
     )
+    again = {}
     for name in headline:
-        seconds[name] = timed(lambda: registered[name](spark, sf_dir).write.format("noop").mode("overwrite").save())
+        run = lambda: registered[name](spark, sf_dir).write.format("noop").mode("overwrite").save()  # noqa: B023, E731
+        seconds[name], again[name] = timed(run), timed(run)
     print(json.dumps({
-        "metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
+        "metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "second_run": again,
         "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
     }))
+    clear_scratch(spark)
     spark.stop()
 
 

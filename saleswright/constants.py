@@ -79,11 +79,9 @@ FAMILIES = (
     "SEAFOOD",
 )
 
-# Upper bounds of the request-latency, batch-size, tree and explanation histograms.
+# Upper bounds of the request-latency and batch-size histograms.
 LATENCY_BOUNDS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0)
 BATCH_SIZE_BOUNDS = (1.0, 5.0, 10.0, 25.0, 50.0, 100.0)
-TREE_BOUNDS = (0.01, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5)
-EXPLAIN_BOUNDS = (0.01, 0.05, 0.1, 0.25, 0.5, 1.0)
 
 # Residual percentiles behind the 80 % and 95 % bands, and normal quantiles per level.
 BAND_PERCENTILES = {
@@ -95,4 +93,3 @@ BAND_PERCENTILES = {
 LEVEL_Z = {80: 1.2815515655446004, 95: 1.959963984540054}
 
 TOTAL, STORE, FAMILY, BOTTOM = "Total", "Store", "Family", "Bottom"
-LEVELS = (TOTAL, STORE, FAMILY, BOTTOM)

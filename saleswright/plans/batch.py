@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import FAMILIES
+from ..constants import FAMILIES, MAX_STORE
 from ..operators.intervals import BANDS, apply_intervals
 from ..operators.requests import lookup_features, validate_requests
+from ..sources.files import read_requests, write_batch_results
+from ..sources.stages import materialised
 
 RESULT = ("row_id", "store_nbr", "family", "date", "horizon", "prediction", *BANDS, "source", "status", "error")
 
@@ -32,3 +34,16 @@ def batch_predict(
     return done.withColumn("date", F.col("date").cast("string")).select(*RESULT).unionByName(
         failed.select(*[c for c in RESULT if c in failed.columns]), allowMissingColumns=True
     )
+
+
+def batch_predict_files(
+    spark: SparkSession, source: str, target: str, features: DataFrame, columns: Sequence[str],
+    score: Callable[[DataFrame], DataFrame], offsets: DataFrame, families: Sequence[str] | Column = FAMILIES, max_store: int = MAX_STORE,
+) -> DataFrame:
+    """Requests from CSV files to a CSV of the results that succeeded; returns all results, failures as rows.
+
+    Stores beyond ``max_store`` are invalid on this path.
+    """
+    results = materialised(batch_predict(read_requests(spark, source), features, columns, score, offsets, families, max_store), "batch_results")
+    write_batch_results(results, target)
+    return results

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from saleswright.constants import FAMILIES
 from saleswright.functions import text
 from saleswright.operators import requests as ops
-from saleswright.plans.batch import batch_predict
+from saleswright.plans.batch import batch_predict, batch_predict_files
 from saleswright.sources import files, stages
 
 
@@ -95,6 +95,17 @@ def test_batch_prediction_keeps_every_row(spark, feats):
     assert files.batch_export(out).count() == 2 and files.batch_export(out).columns[4:] == list(files.BAND_COLUMNS)
 
 
+def test_batch_from_file_to_file(spark, feats, tmp_path):
+    (tmp_path / "in.csv").write_text("store_nbr,family,date,horizon\n1,BOOKS,2017-01-02,30\n55,BOOKS,2017-01-02,30\n")
+    offsets = spark.createDataFrame([(-5.0, 5.0, -9.0, 9.0)], "lower_80_offset double, upper_80_offset double, lower_95_offset double, upper_95_offset double")
+    score = lambda df: df.withColumn("prediction", F.col("sales_lag_7") * 2)
+    out = batch_predict_files(spark, str(tmp_path / "in.csv"), str(tmp_path / "out"), feats, ["year", "sales_lag_7"], score, offsets)
+    assert [(r["row_id"], r["status"], r["error"]) for r in out.orderBy("row_id").collect()] == [
+        (1, "success", None), (2, "error", "store_nbr must be between 1 and 54")]
+    written = spark.read.option("header", True).csv(str(tmp_path / "out")).collect()
+    assert [(r["store_nbr"], r["prediction"]) for r in written] == [("1", "8.00")]
+
+
 def test_external_files_are_optional(spark, tmp_path):
     (tmp_path / "oil.csv").write_text("date,dcoilwtico\n2017-01-01,\n2017-01-02,52.5\n")
     found = files.read_external(spark, str(tmp_path))
