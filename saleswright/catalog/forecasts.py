@@ -196,9 +196,10 @@ def _naive(rows: str, columns: str = "v.fold, v.unique_id, v.ds, v.y") -> str:
     """Seasonal naive predictions of the valid rows of a fold frame."""
     return f"""
 SELECT {columns}, t.y AS y_hat FROM {rows} v JOIN (
-  SELECT *, row_number() OVER (PARTITION BY fold, unique_id ORDER BY ds DESC) AS back, count(*) OVER (PARTITION BY fold, unique_id) AS n
-  FROM {rows} WHERE role = 'train') t
-ON v.fold = t.fold AND v.unique_id = t.unique_id AND t.n >= 7 AND t.back = 7 - (v.ds - v.last_ds - 1) % 7
+  SELECT *, row_number() OVER (PARTITION BY fold, unique_id, phase ORDER BY ds DESC) AS back, max(k) OVER (PARTITION BY fold, unique_id) AS n
+  FROM (SELECT *, dense_rank() OVER (PARTITION BY fold, unique_id ORDER BY phase) AS k
+        FROM (SELECT *, (ds - DATE '1970-01-01') % 7 AS phase FROM {rows} WHERE role = 'train'))) t
+ON v.fold = t.fold AND v.unique_id = t.unique_id AND t.n = 7 AND t.back = 1 AND (v.ds - DATE '1970-01-01') % 7 = t.phase
 WHERE v.role = 'valid'"""
 
 
@@ -207,9 +208,11 @@ define("origin_scored", _naive("origin_series"))
 define("holdout_scored", _naive("holdout_series", "v.fold, v.unique_id, v.ds, v.y, v.family"))
 define("naive_ahead", """
 SELECT t.unique_id, CAST(t.last_ds + CAST(step AS INTEGER) AS DATE) AS ds, CAST(step AS INTEGER) AS step, t.y AS y_hat
-FROM (SELECT *, row_number() OVER (PARTITION BY unique_id ORDER BY ds DESC) AS back, max(ds) OVER (PARTITION BY unique_id) AS last_ds,
-             count(*) OVER (PARTITION BY unique_id) AS n FROM series_region) t
-JOIN range(1, 22) s(step) ON t.back = 7 - (step - 1) % 7 WHERE n >= 7""")
+FROM (SELECT *, row_number() OVER (PARTITION BY unique_id, phase ORDER BY ds DESC) AS back, max(ds) OVER (PARTITION BY unique_id) AS last_ds,
+             max(k) OVER (PARTITION BY unique_id) AS n
+      FROM (SELECT *, dense_rank() OVER (PARTITION BY unique_id ORDER BY phase) AS k
+            FROM (SELECT *, (ds - DATE '1970-01-01') % 7 AS phase FROM series_region))) t
+JOIN range(1, 22) s(step) ON t.back = 1 AND (t.last_ds + CAST(step AS INTEGER) - DATE '1970-01-01') % 7 = t.phase WHERE n = 7""")
 
 SQL = sql_table(
     f1_time_split="""

@@ -24,18 +24,19 @@ def _steps(h: int) -> Column:
 
 
 def last_season(train: DataFrame, by: Sequence[str] = ("unique_id",), m: int = SEASON) -> DataFrame:
-    """The last m values of each series, oldest first, with the last date.
+    """The last known value of each phase of the season, and the last date of each series.
 
-    ``row_number <= m`` is applied on both sides of the shuffle, so m rows per series and task travel.
+    ``season`` stands for the m days up to the last date, oldest first. A day that is missing there takes the
+    latest value of its phase, so gaps do not shift weekdays. Series that do not hold every phase are left out.
+    Two aggregates, both combined before the shuffle; no order over a series.
     """
-    recent = Window.partitionBy(*by).orderBy(F.desc("ds"))
-    kept = train.withColumn("_back", F.row_number().over(recent)).where(F.col("_back") <= m)
-    return (
-        kept.groupBy(*by)
-        .agg(F.max("ds").alias("last_ds"), F.sort_array(F.collect_list(F.struct("ds", "y"))).alias("_tail"))
-        .where(F.size("_tail") == m)
-        .select(*by, "last_ds", F.transform("_tail", lambda r: r["y"]).alias("season"))
-    )
+    phase = F.pmod(F.unix_date(F.col("ds").cast("date")), F.lit(m))
+    known = train.groupBy(*by, phase.alias("_phase")).agg(F.max("ds").alias("_ds"), F.max_by("y", "ds").alias("y"))
+    series = known.groupBy(*by).agg(
+        F.max("_ds").alias("last_ds"), F.map_from_entries(F.collect_list(F.struct("_phase", "y"))).alias("_known"))
+    day = lambda i: F.pmod(F.unix_date(F.col("last_ds").cast("date")) - (m - 1) + i, F.lit(m))
+    season = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.element_at("_known", day(i)))
+    return series.where(F.size("_known") == m).select(*by, "last_ds", season.alias("season"))
 
 
 def _phase(step: Column, m: int) -> Column:

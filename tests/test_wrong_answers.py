@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from saleswright import session
-from saleswright.operators import facts, requests
+from saleswright.operators import facts, forecast, requests
 from saleswright.sources import files, stages
 from saleswright.streaming import slo
 
@@ -63,6 +63,14 @@ def test_nan_counts_as_missing_in_quantiles(spark):
     assert facts.exact_quantiles(rows, "v", {"p50": 0.5}).first()["p50"] == 2.0
 
 
+def test_gaps_do_not_shift_weekdays(spark):
+    """Two days of the last week are missing: each forecast still is the last value of its weekday."""
+    first = dt.date(2024, 1, 1)
+    rows = [("a", first + dt.timedelta(days=i), float(i)) for i in range(21) if i not in (16, 18)]
+    found = forecast.seasonal_naive(spark.createDataFrame(rows, "unique_id string, ds date, y double"), 7).orderBy("ds").collect()
+    assert [r["y_hat"] for r in found] == [14.0, 15.0, 9.0, 17.0, 11.0, 19.0, 20.0]
+
+
 def events(spark, hours):
     start = dt.datetime(2024, 1, 1)
     return spark.createDataFrame([(start + dt.timedelta(hours=h, minutes=m),) for h, n in hours.items() for m in range(n)], "ts timestamp")
