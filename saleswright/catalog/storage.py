@@ -19,15 +19,24 @@ def s1_csv_fact(spark, sf_dir):
 
 
 def s2_external_tables(spark, sf_dir):
+    """All four side tables, written and read again: name, key, label and value of every row."""
     folder = scratch_dir(spark, "external")
-    for name, df in sample.external(spark, sf_dir).items():
+    visits = base.fact(spark, sf_dir).groupBy("date", "store_nbr").agg(F.sum("onpromotion").alias("transactions"))
+    for name, df in {**sample.external(spark, sf_dir), "transactions": visits}.items():
         files.write_csv(df, f"{folder}/{files.EXTERNAL_FILES.get(name, name)}.csv")
     found = files.read_external(spark, folder)
-    counts = [
-        df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("name"), F.lit(len(df.columns)).alias("n_columns"), "n_rows")
-        for name, df in found.items()
+    day, none = F.col("date").cast("string"), F.lit(None)
+    shown = {
+        "oil": (day, none, "dcoilwtico"), "holidays": (day, F.concat_ws("/", "type", "locale"), none),
+        "stores": (F.col("store_nbr").cast("string"), F.concat_ws("/", "city", "type"), "cluster"),
+        "transactions": (F.concat_ws("/", day, "store_nbr"), none, "transactions"),
+    }
+    column = lambda x: F.col(x) if isinstance(x, str) else x
+    parts = [
+        found[name].select(F.lit(name).alias("name"), key.alias("key"), label.cast("string").alias("label"), column(value).cast("double").alias("value"))
+        for name, (key, label, value) in shown.items()
     ]
-    return counts[0].union(counts[1]).union(counts[2])
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 def s3_feature_scan(spark, sf_dir):
@@ -125,8 +134,10 @@ _TEXT = ", ".join(
 SQL = sql_table(
     s1_csv_fact="SELECT * FROM fact_region",
     s2_external_tables="""
-SELECT 'oil' AS name, 2 AS n_columns, count(*) AS n_rows FROM oil_quotes UNION ALL
-SELECT 'holidays', 3, count(*) FROM holiday_list UNION ALL SELECT 'stores', 4, count(*) FROM store_list""",
+SELECT 'oil' AS name, CAST(date AS VARCHAR) AS key, CAST(NULL AS VARCHAR) AS label, CAST(dcoilwtico AS DOUBLE) AS value FROM oil_quotes
+UNION ALL SELECT 'holidays', CAST(date AS VARCHAR), type || '/' || locale, NULL FROM holiday_list
+UNION ALL SELECT 'stores', CAST(store_nbr AS VARCHAR), city || '/' || type, CAST(cluster AS DOUBLE) FROM store_list
+UNION ALL SELECT 'transactions', CAST(date AS VARCHAR) || '/' || store_nbr, NULL, CAST(sum(onpromotion) AS DOUBLE) FROM fact_region GROUP BY date, store_nbr""",
     s3_feature_scan="SELECT unique_id, date, sales, sales_lag_7 FROM features_28",
     s4_stage_by_year="""
 SELECT CAST(year(date) AS INTEGER) AS year, count(*) AS n_rows, round(sum(sales), 2) AS sales
