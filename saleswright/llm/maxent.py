@@ -29,11 +29,13 @@ CHUNK, TASK, BATCH = 1 << 20, 8 << 20, 1 << 14
 BLOCK = 1 << 14
 #: What stands for the end of a text; no word holds a newline.
 END = b"\n"
-TOKEN_SCHEMA = "chunk long, docs array<long>, train array<boolean>, lens array<int>, ids binary, hashes binary, cells binary, counts binary"
+TOKEN_SCHEMA = "chunk long, docs array<long>, train array<boolean>, lens array<int>, ids binary, hashes binary, counts binary"
 
 
-def word_cell(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word[-2:], 1) % CLASSES * MEMBERS + xxhash.xxh64_intdigest(word[-3:], 2) % MEMBERS
+def word_hash(word: bytes) -> int:
+    """Stands for the word; its lowest bits are the word's cell, class by class."""
+    cell = xxhash.xxh64_intdigest(word[-2:], 1) % CLASSES * MEMBERS + xxhash.xxh64_intdigest(word[-3:], 2) % MEMBERS
+    return xxhash.xxh64_intdigest(word) & ~(CELLS - 1) | cell
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,10 +53,9 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = pa.RecordBatch.from_arrays([
             pa.array([(part << 24) + seq]), pa.array([docs], pa.list_(pa.int64())), pa.array([train], pa.list_(pa.bool_())), pa.array([lens], pa.list_(pa.int32())),
             pa.array([numbers.tobytes()], pa.binary()),
-            pa.array([np.fromiter((xxhash.xxh64_intdigest(w) for w in known), "<u8", len(known)).tobytes()], pa.binary()),
-            pa.array([np.fromiter(map(word_cell, known), "<u2", len(known)).tobytes()], pa.binary()),
+            pa.array([np.fromiter(map(word_hash, known), "<u8", len(known)).tobytes()], pa.binary()),
             pa.array([np.bincount(learned, minlength=len(known)).astype("<u4").tobytes()], pa.binary())],
-            names=["chunk", "docs", "train", "lens", "ids", "hashes", "cells", "counts"])
+            names=["chunk", "docs", "train", "lens", "ids", "hashes", "counts"])
         seq, held = seq + 1, 0
         for x in (words, docs, train, lens, ids):
             x.clear()
@@ -96,15 +97,19 @@ class Model:
 class Chunk:
     """The token sequences of a chunk with their features."""
 
-    def __init__(self, lens: list[int], ids: bytes, hashes: bytes, cells: bytes):
+    def __init__(self, lens: list[int], ids: bytes, hashes: bytes):
         self.lens = np.array(lens, np.int64)
         self.ids = np.frombuffer(ids, "<u4")
-        self.cells = np.frombuffer(cells, "<u2").astype(np.int32)
         h = np.frombuffer(hashes, "<u8")
+        self.cells = (h & np.uint64(CELLS - 1)).astype(np.int32)
         self.one, self.two = (_salted(h, k) for k in (1, 2))
         self.starts = np.cumsum(self.lens) - self.lens
         self.inside = np.arange(len(self.ids)) - np.repeat(self.starts, self.lens)
 
+    def last_row(self, at: np.ndarray) -> np.ndarray:
+        """Row of the class table for the last word."""
+        return (np.where(self.inside[at] >= 1, self.one[self.ids[at - 1]], np.uint64(0)) & np.uint64(CLASS_ROWS - 1)).astype(np.uint16)
+
     def features(self, at: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
         """Rows of the class table and of the member table that are on at the places, and the cells there.
 
@@ -123,8 +128,8 @@ class Chunk:
         cls = (cell // MEMBERS).astype(np.uint64)
         rows, members = np.uint64(CLASS_ROWS - 1), np.uint64(MEMBER_ROWS - 1)
         return (
-            [(x & rows).astype(np.int32) for x in (a, b, _mixed(a + (b << np.uint64(1))), _salted(c1 * np.uint64(CELLS + 1) + c2, 3))],
-            [(x & members).astype(np.int32) for x in (_mixed(a ^ ((cls + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))), _salted(c1 * np.uint64(CLASSES) + cls, 4))],
+            [(x & rows).astype(np.uint16) for x in (a, b, _mixed(a + (b << np.uint64(1))), _salted(c1 * np.uint64(CELLS + 1) + c2, 3))],
+            [(x & members).astype(np.uint16) for x in (_mixed(a ^ ((cls + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))), _salted(c1 * np.uint64(CLASSES) + cls, 4))],
             cell)
 
 
@@ -139,11 +144,14 @@ def _softmax(start: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) ->
 
 
 def _add_rows(total: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """total[rows] += values, with repeated rows summed first."""
-    order = np.argsort(rows, kind="stable")
-    own = rows[order]
+    """total[rows] += values, with repeated rows summed first. 16-bit rows are sorted by radix."""
+    if (rows[1:] >= rows[:-1]).all():
+        own, ordered = rows, values
+    else:
+        order = np.argsort(rows, kind="stable")
+        own, ordered = rows[order], values[order]
     first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-    total[own[first]] += np.add.reduceat(values[order], first, axis=0)
+    total[own[first]] += np.add.reduceat(ordered, first, axis=0)
 
 
 SIZES = (CLASS_ROWS * CLASSES, CLASS_ROWS, MEMBER_ROWS * MEMBERS, MEMBER_ROWS * MEMBERS)
@@ -151,32 +159,33 @@ SIZES = (CLASS_ROWS * CLASSES, CLASS_ROWS, MEMBER_ROWS * MEMBERS, MEMBER_ROWS *
 
 def _gradients(batches: Iterator[pa.RecordBatch], model: Model, turn: int) -> Iterator[pa.RecordBatch]:
     """Sums over one round's training texts: observed minus expected, and what scales them, in blocks that are not zero."""
-    g, n = np.zeros((CLASS_ROWS, CLASSES), np.float32), np.zeros(CLASS_ROWS, np.float32)
-    u, e = np.zeros((MEMBER_ROWS, MEMBERS), np.float32), np.zeros((MEMBER_ROWS, MEMBERS), np.float32)
+    seen, expected = np.zeros(CLASS_ROWS * CLASSES), np.zeros((CLASS_ROWS, CLASSES), np.float32)
+    member_seen, e = np.zeros(MEMBER_ROWS * MEMBERS), np.zeros((MEMBER_ROWS, MEMBERS), np.float32)
     for batch in batches:
-        for number, train, lens, ids, hashes, cells in zip(*(batch.column(c).to_pylist() for c in ("chunk", "train", "lens", "ids", "hashes", "cells"))):
-            chunk = Chunk(lens, ids, hashes, cells)
+        for number, train, lens, ids, hashes in zip(*(batch.column(c).to_pylist() for c in ("chunk", "train", "lens", "ids", "hashes"))):
+            chunk = Chunk(lens, ids, hashes)
             use = np.array(train) & ((np.arange(len(lens)) + number) % ROUNDS == turn)
             places = np.flatnonzero(np.repeat(use, chunk.lens))
+            # In order of the last word: its row is then the same for many tokens in a row.
+            places = places[np.argsort(chunk.last_row(places), kind="stable")]
+            observed: list[list[np.ndarray]] = [[], []]
             for low in range(0, len(places), BATCH):
                 rows, members, cell = chunk.features(places[low:low + BATCH])
-                at, cls = np.arange(len(cell)), cell // MEMBERS
+                cls = cell // MEMBERS
                 p = _softmax(model.class_prior, model.class_weights, rows)
-                p[at, cls] -= 1
-                np.negative(p, out=p)
                 for r in rows:
-                    _add_rows(g, r, p)
-                    n += np.bincount(r, minlength=CLASS_ROWS).astype(np.float32)
+                    _add_rows(expected, r, p)
+                    observed[0].append(r.astype(np.int32) * CLASSES + cls)
                 q = _softmax(model.member_prior[cls], model.member_weights, members)
-                both = np.concatenate((-q, q), axis=1)
-                both[at, cell % MEMBERS] += 1
                 for r in members:
-                    order = np.argsort(r, kind="stable")
-                    own = r[order]
-                    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                    summed = np.add.reduceat(both[order], first, axis=0)
-                    u[own[first]] += summed[:, :MEMBERS]
-                    e[own[first]] += summed[:, MEMBERS:]
+                    _add_rows(e, r, q)
+                    observed[1].append(r.astype(np.int32) * MEMBERS + cell % MEMBERS)
+            for total, found in zip((seen, member_seen), observed):
+                if found:
+                    total += np.bincount(np.concatenate(found), minlength=len(total))
+    seen = seen.reshape(CLASS_ROWS, CLASSES)
+    g, n = (seen - expected).astype(np.float32), seen.sum(axis=1).astype(np.float32)
+    u = (member_seen.reshape(MEMBER_ROWS, MEMBERS) - e).astype(np.float32)
     flat = np.concatenate([x.ravel() for x in (g, n, u, e)]).reshape(-1, BLOCK)
     some = np.flatnonzero(flat.any(axis=1))
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([flat[i].tobytes() for i in some], pa.binary())], names=["block", "x"])
@@ -199,7 +208,7 @@ def train(chunks: DataFrame, cells: pd.DataFrame, tokens: int) -> Model:
     model = Model(np.log(prior).astype(np.float32), np.log(mass / mass.sum(axis=1, keepdims=True)).astype(np.float32),
                   np.zeros((CLASS_ROWS, CLASSES), np.float32), np.zeros((MEMBER_ROWS, MEMBERS), np.float32))
     seen, expected = np.zeros(CLASS_ROWS), np.zeros((MEMBER_ROWS, MEMBERS))
-    source = chunks.select("chunk", "train", "lens", "ids", "hashes", "cells").coalesce(max(1, -(-tokens // TASK)))
+    source = chunks.select("chunk", "train", "lens", "ids", "hashes").coalesce(max(1, -(-tokens // TASK)))
     for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model)
         blocks = source.mapInArrow(lambda b, turn=turn, shared=shared: _gradients(b, shared.value, turn), "block int, x binary")
@@ -219,9 +228,9 @@ def train(chunks: DataFrame, cells: pd.DataFrame, tokens: int) -> Model:
 
 def _scores(batches: Iterator[pa.RecordBatch], model: Model, cells: np.ndarray, total: int, distinct: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns = ("docs", "train", "lens", "ids", "hashes", "cells", "known")
-        for docs, learned, lens, ids, hashes, own, known in zip(*(batch.column(c).to_pylist() for c in columns)):
-            chunk = Chunk(lens, ids, hashes, own)
+        columns = ("docs", "train", "lens", "ids", "hashes", "known")
+        for docs, learned, lens, ids, hashes, known in zip(*(batch.column(c).to_pylist() for c in columns)):
+            chunk = Chunk(lens, ids, hashes)
             count = np.zeros(len(chunk.cells))
             if known:
                 place, n = np.frombuffer(known, "<i8").reshape(2, -1)
@@ -229,10 +238,11 @@ def _scores(batches: Iterator[pa.RecordBatch], model: Model, cells: np.ndarray,
             base = np.log10(count + 1) - np.log10(total + distinct + 1)
             word = np.log10(count + 1) - np.log10(cells[chunk.cells])
             score = np.empty(len(chunk.ids))
+            order = np.argsort(chunk.last_row(np.arange(len(score))), kind="stable")
             for low in range(0, len(score), BATCH):
-                at = np.arange(low, min(low + BATCH, len(score)))
+                at = order[low:low + BATCH]
                 rows, members, cell = chunk.features(at)
-                line = at - low
+                line = np.arange(len(at))
                 p = _softmax(model.class_prior, model.class_weights, rows)[line, cell // MEMBERS]
                 q = _softmax(model.member_prior[cell // MEMBERS], model.member_weights, members)[line, cell % MEMBERS]
                 score[at] = np.log10(np.maximum(p, 1e-30)) + np.log10(np.maximum(q, 1e-30))
@@ -265,15 +275,14 @@ def score_texts(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for hashes, own, counts in zip(*(batch.column(c).to_pylist() for c in ("hashes", "cells", "counts"))):
+            for hashes, counts in zip(*(batch.column(c).to_pylist() for c in ("hashes", "counts"))):
                 n = np.frombuffer(counts, "<u4")
                 some = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.frombuffer(hashes, "<i8")[some]), pa.array(np.frombuffer(own, "<u2")[some].astype(np.int32)), pa.array(n[some].astype(np.int64))], names=["h", "cell", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(hashes, "<i8")[some]), pa.array(n[some].astype(np.int64))], names=["h", "n"])
 
-    counted = chunks.select("hashes", "cells", "counts").mapInArrow(vocabulary, "h long, cell int, n long")
-    words = materialised(counted.groupBy("h").agg(F.sum("n").alias("n"), F.min("cell").alias("cell")), "words")
-    cells = words.groupBy("cell").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()  # CELLS rows at most
+    counted = chunks.select("hashes", "counts").mapInArrow(vocabulary, "h long, n long")
+    words = materialised(counted.groupBy("h").agg(F.sum("n").alias("n")), "words")
+    cells = words.groupBy(F.col("h").bitwiseAND(F.lit(CELLS - 1)).alias("cell")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()  # CELLS rows at most
     total, distinct = int(cells["n"].sum()), int(cells["v"].sum())
     model = train(chunks, cells, total)
 
@@ -286,12 +295,12 @@ def score_texts(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "
     def gathered(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"chunk": [key[0]], "known": [np.stack([group["at"].to_numpy(np.int64), group["n"].to_numpy(np.int64)]).tobytes()]})
 
-    known = chunks.select("chunk", "hashes").mapInArrow(places, "chunk long, at int, h long").join(words.select("h", "n"), "h").select("chunk", "at", "n") \
+    known = chunks.select("chunk", "hashes").mapInArrow(places, "chunk long, at int, h long").join(words, "h").select("chunk", "at", "n") \
         .groupBy("chunk").applyInPandas(gathered, "chunk long, known binary")
     in_cell = np.ones(CELLS)
     in_cell[cells["cell"].to_numpy(int)] += cells["n"].to_numpy() + cells["v"].to_numpy()
     shared = spark.sparkContext.broadcast((model, in_cell))
-    joined = chunks.join(known, "chunk", "left").select("docs", "train", "lens", "ids", "hashes", "cells", "known")
+    joined = chunks.join(known, "chunk", "left").select("docs", "train", "lens", "ids", "hashes", "known")
     return joined.mapInArrow(lambda b: _scores(b, *shared.value, total, distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

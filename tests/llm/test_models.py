@@ -68,7 +68,7 @@ def test_probabilities_add_up_to_one():
                          draw.standard_normal((maxent.CLASS_ROWS, maxent.CLASSES)).astype(np.float32), draw.standard_normal((maxent.MEMBER_ROWS, maxent.MEMBERS)).astype(np.float32))
     total = 0.0
     for cell in range(maxent.CELLS):  # the last token varies over the cells, the words before stay
-        chunk = maxent.Chunk([3], np.array([1, 2, 0], "<u4").tobytes(), np.array([5, 6, 7], "<u8").tobytes(), np.array([cell, 3, 9], "<u2").tobytes())
+        chunk = maxent.Chunk([3], np.array([1, 2, 0], "<u4").tobytes(), np.array([1024 + cell, 2048 + 3, 4096 + 9], "<u8").tobytes())
         rows, members, own = chunk.features(np.array([2]))
         p = maxent._softmax(model.class_prior, model.class_weights, rows)[0, cell // maxent.MEMBERS]
         total += p * maxent._softmax(model.member_prior[own // maxent.MEMBERS], model.member_weights, members)[0, cell % maxent.MEMBERS]
