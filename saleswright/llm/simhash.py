@@ -198,8 +198,9 @@ def keep_one(
             found = [shingle_set(x, shingle, seed) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["t", "own"])
 
-    texts = rows.select(F.col(tie).alias("t"), text).join(materialised(involved, "involved"), "t", "left_semi")
+    texts = rows.select(F.col(tie).alias("t"), text).join(materialised(involved, "involved").hint("merge"), "t", "left_semi")
     shingles = materialised(texts.mapInArrow(sets, "t long, own binary").dropDuplicates(["t"]), "shingles")
+    # Merge joins at every size: a broadcast that ends at some size would turn into a shuffle of texts.
     pairs = materialised(members.join(shingles, "t"), "pairs").join(shingles.select(F.col("t").alias("lead"), F.col("own").alias("other")), "lead")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +208,7 @@ def keep_one(
             near = [_jaccard(a, b) >= similarity for a, b in zip(batch.column("own").to_pylist(), batch.column("other").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("t").filter(pa.array(near, pa.bool_()))], names=["t"])
 
-    gone = materialised(pairs.select("t", "own", "other").mapInArrow(alike, "t long").select(F.col("t").alias(tie)), "gone")
+    gone = materialised(pairs.select("t", "own", "other").mapInArrow(alike, "t long").select(F.col("t").alias(tie)), "gone").hint("merge")
     again = materialised(groups.groupBy(tie).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(tie), "again")
     kept = rows.join(gone, tie, "left_anti")
     if again.isEmpty():
