@@ -35,9 +35,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     rank = Window.orderBy("_ratio", F.col("source").isNull(), "source")
     before = rank.rowsBetween(Window.unboundedPreceding, -1)
     after = rank.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    levels = capped.withColumn("_level", (F.col("_all") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_w").over(after))
+    levels = capped.withColumn("_rank", F.row_number().over(rank)).withColumn("_level", (F.col("_all") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_w").over(after))
     # The first source in this order whose cap is above the level, and all after it, are not capped.
-    chosen = levels.withColumn("_level", F.min(F.when(F.col("_level") <= F.col("_ratio"), F.struct("_ratio", "_level"))).over(everything)["_level"])
+    chosen = levels.withColumn("_level", F.min(F.when(F.col("_level") <= F.col("_ratio"), F.struct("_rank", "_level"))).over(everything)["_level"])
     target = F.when(F.col("_level").isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), F.col("_level") * F.col("_w")))
     return chosen.select("source", "n", "source_size", target.alias("target"))
 
