@@ -93,7 +93,17 @@ def anchors(data: np.ndarray, room: np.ndarray, length: int, gram: int = GRAM) -
 def _rooms(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes to the end of the document for each byte, and the documents' starts."""
     ends = np.cumsum(lens)
-    return np.repeat(ends, lens) - np.arange(ends[-1] if len(ends) else 0), ends - lens
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 1 << 31 else np.int64
+    room = np.repeat(ends.astype(kind), lens)
+    room -= np.arange(total, dtype=kind)
+    return room, ends - lens
+
+
+def _each(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
+    """The rows of a batch one by one: chunks are large."""
+    for i in range(batch.num_rows):
+        yield tuple(batch.column(c)[i].as_py() for c in columns)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +140,7 @@ def _gram_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Re
     """(hash, chunk, whether it is there more than once, gram) for each distinct selected gram of a chunk; the gram itself only for a sample."""
     sampled = np.uint64(min(SAMPLE / MERGE, 1) * (2.0**64 - 2048))
     for batch in batches:
-        for chunk, lens, text in zip(*(batch.column(c).to_pylist() for c in ("chunk", "lens", "data"))):
+        for chunk, lens, text in _each(batch, "chunk", "lens", "data"):
             data = np.frombuffer(text, np.uint8)
             room, _ = _rooms(np.array(lens, np.int64))
             found = [(h, place) for place, h, _, _ in anchors(data, room, length)]
@@ -228,7 +238,7 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int, borders: np.ndarray) -
     names, types = zip(*(c.split() for c in RUN_SCHEMA.split(", ")))
     kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
     for batch in batches:
-        for chunk, docs, rids, lens, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("chunk", "docs", "rids", "lens", "data", "wanted"))):
+        for chunk, docs, rids, lens, text, wanted in _each(batch, "chunk", "docs", "rids", "lens", "data", "wanted"):
             data, lens = np.frombuffer(text, np.uint8), np.array(lens, np.int64)
             room, starts = _rooms(lens)
             filled = np.flatnonzero(lens)
