@@ -17,7 +17,7 @@ from .common import free_name, table
 # Fixed value: the pattern by which byte-level BPE splits a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A worker forgets its words beyond so many, to bound its memory; they are then encoded again.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -55,6 +55,7 @@ class ByteBPE:
         #: Ends of tokens: no token ends with anything else.
         self.ends = {t[i:] for t in self.reached for i in range(len(t))}
         self.pairs: dict[bytes, dict[bytes, bool]] = {}
+        self.known_pairs = 0
         self.words: dict[str, bytes] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
@@ -72,11 +73,13 @@ class ByteBPE:
         """Whether the merges keep the border between two tokens."""
         known = self.pairs.get(before)
         if known is None:
-            if len(self.pairs) > CACHED_WORDS:
+            if self.known_pairs > CACHED_WORDS:
                 self.pairs.clear()
+                self.known_pairs = 0
             known = self.pairs[before] = {}
         found = known.get(token)
         if found is None:
+            self.known_pairs += 1
             found = known[token] = self.merged(before + token) == [before, token]
         return found
 
@@ -164,7 +167,7 @@ def encoder(definition: str) -> ByteBPE:
     return _BUILT[key]
 
 
-def encode_decode(df: DataFrame, tokenizer: str, text: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
+def encode_decode(df: DataFrame, tokenizer: str, text: str = "text", batch_bytes: int = 1 << 20) -> DataFrame:
     """``df`` with ``ids`` (binary: little-endian unsigned 32-bit), ``n_tokens`` and ``decoded``, the text the ids stand for.
 
     tokenizer: path of a byte-level BPE definition; the driver reads it once and sends it to the executors
