@@ -5,18 +5,21 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.stages import materialised
-from .common import LOWER, free_name, local_roots, smallest_reachable, table
+from .common import LOWER, components, free_name, local_roots, smallest_reachable, table
 
 #: Fingerprints with one variant in common are compared in groups of at most about twice this many.
 BLOCK = 4096
 #: So many links are folded into components at once, to bound memory.
 LINKS = 1 << 20
+#: Bytes of shingle sets that a block of texts holds when they are compared exactly.
+ROOM = 8 << 20
 
 
 def fingerprint_of(text: bytes | None, shingle: int, seed: int) -> int:
@@ -32,6 +35,11 @@ def fingerprint_of(text: bytes | None, shingle: int, seed: int) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - shingle + 1].tolist()
         digest = xxhash.xxh64_intdigest
         hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1:].tolist())), "<u8", len(starts))
+    return fingerprint_of_hashes(hashes)
+
+
+def fingerprint_of_hashes(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of hashes (<u8); of none: zero."""
     count, at = np.zeros(64, np.int64), 0
     while at < len(hashes):  # in steps, so that a very long text needs no more memory
         part = hashes[at:at + 65536]
@@ -170,12 +178,86 @@ def shingle_set(text: str | None, shingle: int, seed: int) -> bytes:
     return np.unique(np.fromiter((digest(b" ".join(words[i:i + shingle]), seed) for i in range(many)), "<u8", many)).tobytes()
 
 
-def _jaccard(a: bytes, b: bytes) -> float:
-    """Of two sets of hashes; two empty sets are alike."""
-    if a == b:
-        return 1.0
-    both = len(np.intersect1d(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), assume_unique=True))
-    return both / (len(a) // 8 + len(b) // 8 - both)
+def _alike(one: np.ndarray, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, n: int, similarity: float) -> np.ndarray:
+    """Which of the sets in ``codes`` (numbers below ``n``, set by set, none empty) have that Jaccard similarity to ``one``."""
+    flag = np.zeros(n, np.int64)
+    flag[one] = 1
+    both = np.add.reduceat(flag[codes], starts)
+    return both >= similarity * (len(one) + sizes - both)
+
+
+def verified(sets: list[bytes], similarity: float, joined: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links of a spanning forest over all pairs of sets of hashes at ``similarity`` or more; two empty sets are alike.
+
+    Those marked in ``joined`` are known to hang together and start as one. A set that is reached is not compared again
+    with those reached before, so a heap of like sets takes one pass, and only sets that are not alike make pairs.
+    """
+    sizes = np.array([len(x) // 8 for x in sets])
+    values, codes = np.unique(np.frombuffer(b"".join(sets), "<u8"), return_inverse=True)
+    borders = np.concatenate(([0], np.cumsum(sizes)))
+    links = []
+    empty = np.flatnonzero(sizes == 0)
+    links += [(int(empty[0]), int(x)) for x in empty[1:]]
+    todo = list(np.flatnonzero(joined & (sizes > 0))) if joined is not None else []
+    left = np.setdiff1d(np.flatnonzero(sizes > 0), todo)
+    while len(left):
+        if not todo:
+            todo, left = [left[0]], left[1:]
+        held = np.concatenate([codes[borders[i]:borders[i + 1]] for i in left]) if len(left) else codes[:0]
+        found = np.zeros(len(left), bool)
+        starts = np.concatenate(([0], np.cumsum(sizes[left])[:-1])).astype(np.int64)
+        while todo and len(left) and not found.any():
+            at = todo.pop()
+            found = _alike(codes[borders[at]:borders[at + 1]], held, starts, sizes[left], len(values), similarity)
+        if found.any():
+            links += [(int(at), int(x)) for x in left[found]]
+            todo += list(left[found])
+            left = left[~found]
+    return links
+
+
+def verified_links(nodes: DataFrame, sets: DataFrame, similarity: float, room: int = ROOM) -> DataFrame:
+    """Links (a, b) that connect the same nodes as all pairs of one ``team`` at Jaccard ``similarity`` or more do.
+
+    ``nodes``: id (long, unique), team, value (its order); ``sets``: id, own (hashes). A team whose sets take up to ``room`` bytes
+    is compared in one task. The sets of a larger one are compared with the set of its least value first; those that are
+    alike hang together already, and only the others are compared with them and with each other, in pairs of blocks of about ``room`` bytes.
+    """
+    members = materialised(nodes.join(sets, "id").select("team", "id", "value", "own"), "members")
+    size = F.length("own") + F.lit(64)
+    large = materialised(members.groupBy("team").agg(F.sum(size).alias("bytes"), F.min_by("id", "value").alias("lead"))
+                         .where(F.col("bytes") > room).select("team", "lead"), "large_teams")
+    out = "a long, b long"
+
+    def inside(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        ids, hung = group["id"].to_numpy(), group["hung"].to_numpy(bool)
+        found = np.array(verified(group["own"].tolist(), similarity, hung), int).reshape(-1, 2)
+        return pd.DataFrame({"a": ids[found[:, 0]], "b": ids[found[:, 1]]})
+
+    zero = [F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("hung")]
+    if large.isEmpty():
+        return members.select("team", "id", "own", *zero).groupBy("team", "i", "j").applyInPandas(inside, out)
+    small = members.join(large.select("team"), "team", "left_anti").select("team", "id", "own", *zero)
+    first = large.join(members.select(F.col("id").alias("lead"), F.col("own").alias("other")), "lead").select("team", "lead", "other")
+
+    def like_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [x == y or bool(verified([x, y], similarity)) for x, y in zip(batch.column("own").to_pylist(), batch.column("other").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("team", "id", "lead", "own")], pa.array(near, pa.bool_())], names=["team", "id", "lead", "own", "hung"])
+
+    kind = members.schema["team"].dataType.simpleString()
+    star = materialised(members.join(first, "team").select("team", "id", "lead", "own", "other").mapInArrow(
+        like_first, f"team {kind}, id long, lead long, own binary, hung boolean"), "star")
+    blocks = star.groupBy("team").agg(*[F.ceil(F.coalesce(F.sum(F.when(c, size)), F.lit(0)) / F.lit(room)).cast("int").alias(n) for c, n in ((F.col("hung"), "near"), (~F.col("hung"), "far"))])
+    dealt = star.join(blocks.where("far > 0"), "team")
+    draw = F.xxhash64(F.lit(5), "id")
+    own = F.when(F.col("hung"), F.pmod(draw, F.col("near"))).otherwise(F.col("near") + F.pmod(draw, F.greatest("far", F.lit(1)))).cast("int")
+    other = F.sequence(F.when(F.col("hung"), F.col("near")).otherwise(F.lit(0)), F.col("near") + F.col("far") - 1)
+    pairs = dealt.withColumn("block", own).withColumn("with", F.explode(other)).select(
+        "team", "id", "own", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "hung")
+    return (small.groupBy("team", "i", "j").applyInPandas(inside, out)
+            .unionByName(pairs.groupBy("team", "i", "j").applyInPandas(inside, out))
+            .unionByName(star.where("hung and id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b"))))
 
 
 def keep_one(
@@ -183,33 +265,48 @@ def keep_one(
 ) -> DataFrame:
     """``df`` without near-duplicates: of each group the row of least key stays (null keys last, ties by a hash of the row).
 
-    Groups are those of :func:`simhash_groups`. A member goes if the Jaccard similarity of its distinct word shingles
-    to the group's first row is at least ``similarity``; a member that only chance or a chain of others has put there stays.
+    Texts of equal sets of distinct word shingles are one node. Nodes whose fingerprints a chain of links at ``distance`` or
+    fewer bits connects are compared with each other, all pairs (:func:`verified_links`), and groups are the components over those pairs
+    whose Jaccard similarity is at least ``similarity``. So what only chance has put near stays, and copies go whatever else is near them.
     Wordless and null texts are alike, so one of them stays. Of rows equal in all columns one stays. Columns are unchanged.
     """
     tie = free_name(df, "_tie")
     rows = df.withColumn(tie, F.xxhash64(*df.columns))
-    groups = materialised(simhash_groups(rows, text, key, tie, shingle, distance, seed), "groups")
-    members = groups.where(~F.col("first")).select(F.col(tie).alias("t"), "lead").distinct()
-    involved = members.select("t").unionByName(members.select(F.col("lead").alias("t"))).distinct()
+    brief = rows.select(F.col(key).alias("key"), F.col(tie).alias("t"), F.col(text).cast("string").alias("text"))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(x, shingle, seed) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["t", "own"])
+            digests, prints = [], []
+            for x in batch.column("text").to_pylist():
+                found = shingle_set(x, shingle, seed)
+                digests.append(xxhash.xxh3_128_digest(found))
+                prints.append(fingerprint_of_hashes(np.frombuffer(found, "<u8")))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("t"), pa.array(digests, pa.binary()), pa.array(prints, pa.int64())], names=["key", "t", "digest", "print"])
+
+    kind = df.schema[key].dataType.simpleString()
+    order = F.struct(F.col("key").isNull().alias("none"), "key", "t")
+    marked = materialised(brief.mapInArrow(marks, f"key {kind}, t long, digest binary, print long"), "marks")
+    nodes = materialised(marked.groupBy("digest").agg(F.min(order).alias("value"), F.first("print").alias("print"))
+                         .withColumn("id", F.monotonically_increasing_id()), "nodes")
+    near = components(near_links(nodes.select(F.col("print").alias("id")).distinct(), distance))
+    near = materialised(near.select(F.col("id").alias("print"), F.col("root").alias("near")), "near")
+    teams = nodes.join(near, "print", "left").withColumn("team", F.coalesce("near", "print"))
+    many = materialised(teams.groupBy("team").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("team"), "many")
+    involved = materialised(teams.join(many, "team").select("team", "id", "value"), "involved")
 
-    texts = rows.select(F.col(tie).alias("t"), text).join(materialised(involved, "involved").hint("merge"), "t", "left_semi")
-    shingles = materialised(texts.mapInArrow(sets, "t long, own binary").dropDuplicates(["t"]), "shingles")
-    # Merge joins at every size: a broadcast that ends at some size would turn into a shuffle of texts.
-    pairs = materialised(members.join(shingles, "t"), "pairs").join(shingles.select(F.col("t").alias("lead"), F.col("own").alias("other")), "lead")
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [_jaccard(a, b) >= similarity for a, b in zip(batch.column("own").to_pylist(), batch.column("other").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("t").filter(pa.array(near, pa.bool_()))], names=["t"])
+            found = [shingle_set(x, shingle, seed) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], names=["id", "own"])
 
-    gone = materialised(pairs.select("t", "own", "other").mapInArrow(alike, "t long").select(F.col("t").alias(tie)), "gone").hint("merge")
-    again = materialised(groups.groupBy(tie).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(tie), "again")
+    # Merge joins at every size: a broadcast that ends at some size would turn into a shuffle of texts.
+    texts = brief.join(involved.select("id", F.col("value.t").alias("t")).hint("merge"), "t").select("id", "text")
+    shingles = texts.mapInArrow(sets, "id long, own binary").dropDuplicates(["id"])
+    links = verified_links(involved, shingles, similarity)
+    reached = materialised(smallest_reachable(nodes.select("id", "value", "digest"), links).select("digest", "component"), "reached")
+    lost = marked.join(reached, "digest").where(~order.eqNullSafe(F.col("component")))
+    gone = materialised(lost.select(F.col("t").alias(tie)).distinct(), "gone").hint("merge")
+    again = materialised(marked.groupBy(F.col("t").alias(tie)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(tie), "again")
     kept = rows.join(gone, tie, "left_anti")
     if again.isEmpty():
         return kept.select(*df.columns)

@@ -122,6 +122,33 @@ def test_keep_one(spark, docs):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def words_of(*parts):
+    return " ".join(f"w{p}" for part in parts for p in part)
+
+
+@pytest.mark.parametrize("room", [8 << 20, 700])
+def test_copies_go_whatever_leads_their_fingerprints(spark, monkeypatch, room):
+    # All fingerprints are as near as chance could bring them; 1 leads and is like none of the others.
+    monkeypatch.setattr(simhash, "fingerprint_of_hashes", lambda hashes: 7)
+    monkeypatch.setattr(simhash.verified_links, "__defaults__", (room,))
+    a, b, c = range(0, 40), range(100, 140), range(200, 260)
+    rows = [(1, words_of(a)), (2, words_of(b)), (3, words_of(b)), (4, words_of(c)), (5, words_of(c, [1])), (6, words_of([2], c, [1])),
+            (7, words_of(range(300, 340))), (8, words_of(a, [3])), (9, words_of(a, [4, 5]))]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 2, 4, 7]
+
+
+def test_verified_links_connect_what_all_pairs_do():
+    draw = np.random.default_rng(6)
+    base = [set(draw.integers(0, 2**60, 30).tolist()) for _ in range(8)]
+    sets = [set(list(base[i % 8])[: 30 - i % 5]) | set(draw.integers(0, 2**60, i % 7).tolist()) for i in range(80)] + [set(), set()]
+    held = [np.sort(np.array(list(x), "<u8")).tobytes() for x in sets]
+    like = lambda i, j: sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    pairs = set(simhash.verified(held, 0.8))
+    assert all(like(a, b) for a, b in pairs)
+    assert cases.groups(len(sets), like) == cases.groups(len(sets), lambda i, j: (i, j) in pairs or (j, i) in pairs)
+
+
 # --- lines --------------------------------------------------------------------------------------
 
 def plain_lines(rows, run):
