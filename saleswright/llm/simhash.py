@@ -18,6 +18,8 @@ from .common import LOWER, components, free_name, local_roots, smallest_reachabl
 BLOCK = 4096
 #: So many links are folded into components at once, to bound memory.
 LINKS = 1 << 20
+#: Two texts at a Jaccard similarity of 0.8 differ in 19 of the 128 bits of two fingerprints on average (deviation 4), strangers in 64.
+WITHIN = 30
 #: Bytes of shingle sets that a block of texts holds when they are compared exactly.
 ROOM = 8 << 20
 
@@ -49,6 +51,14 @@ def fingerprint_of_hashes(hashes: np.ndarray) -> int:
     return int(bits.view("<i8")[0])
 
 
+def two_fingerprints(hashes: np.ndarray) -> tuple[int, int]:
+    """The SimHash of hashes (<u8), and that of the hashes mixed once more."""
+    mixed = hashes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed = (mixed ^ mixed >> np.uint64(shift)) * np.uint64(factor)
+    return fingerprint_of_hashes(hashes), fingerprint_of_hashes((mixed ^ mixed >> np.uint64(31)).astype("<u8"))
+
+
 def with_fingerprints(df: DataFrame, columns: Sequence[str], text: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
     """``columns`` of ``df`` and ``fingerprint`` (long) of each whole text. Null or no words: zero."""
     work = free_name(df, "_bytes")
@@ -90,6 +100,23 @@ def near_links(prints: DataFrame, distance: int, block: int = BLOCK) -> DataFram
     than one link for each member, never all pairs.
     """
     keyed = prints.select("id", F.explode(variants(F.col("id"), distance)).alias("k"))
+    return _dealt(keyed, block).mapInArrow(lambda batches: _compare(batches, distance), "a long, b long")
+
+
+def wide_links(nodes: DataFrame, distance: int = 8, within: int = WITHIN, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between ids of ``nodes`` (id long, unique; f and g, two independent fingerprints) that may be alike.
+
+    A pair is a candidate if f or g have a variant for ``distance`` in common (whatever the bits elsewhere), and
+    is linked if f and g together differ in ``within`` or fewer of their 128 bits. Else as :func:`near_links`.
+    """
+    keys = F.concat(variants(F.col("f"), distance), F.transform(variants(F.col("g"), distance), lambda k: k.bitwiseXOR(F.lit(-1 << 63))))
+    keyed = nodes.select("id", "f", "g", F.explode(keys).alias("k"))
+    return _dealt(keyed, block).mapInArrow(lambda batches: _compare(batches, within, ("f", "g")), "a long, b long")
+
+
+def _dealt(keyed: DataFrame, block: int) -> DataFrame:
+    """``keyed`` (id, k and more) with i and j, in groups of (k, i, j) that lie together."""
+    columns = [c for c in keyed.columns if c != "k"]
     large = materialised(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
                          .select(F.col("k").alias("hot"), F.ceil(F.col("n") / F.lit(block)).cast("int").alias("parts")), "large")
     own = F.pmod(F.xxhash64(F.lit(3), "id"), F.col("parts")).cast("int")
@@ -98,13 +125,13 @@ def near_links(prints: DataFrame, distance: int, block: int = BLOCK) -> DataFram
         grouped = keyed.withColumns({"i": F.lit(0), "j": F.lit(0)})
     else:
         joined = keyed.join(large, F.col("k") == F.col("hot"), "left").withColumn("own", own)
-        grouped = joined.withColumn("g", F.explode(F.when(F.col("hot").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(pairs))).select("id", "k", "g.i", "g.j")
-    ordered = grouped.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").select("k", "i", "j", "id")
-    return ordered.mapInArrow(lambda batches: _compare(batches, distance), "a long, b long")
+        grouped = joined.withColumn("g_", F.explode(F.when(F.col("hot").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(pairs))).select(*columns, "k", "g_.i", "g_.j")
+    return grouped.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").select("k", "i", "j", *columns)
 
 
-def _compare(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    held: list[np.ndarray] = [np.empty(0, np.int64) for _ in range(3)]
+def _compare(batches: Iterator[pa.RecordBatch], distance: int, prints: Sequence[str] = ("id",)) -> Iterator[pa.RecordBatch]:
+    """Links between ids of one group whose ``prints`` together differ in ``distance`` or fewer bits."""
+    held: list[np.ndarray] = [np.empty(0, np.int64) for _ in range(3 + len(prints))]
     links: list[np.ndarray] = []
     found = 0
 
@@ -116,14 +143,14 @@ def _compare(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Re
         other = roots != nodes
         return pa.RecordBatch.from_arrays([pa.array(nodes[other]), pa.array(roots[other])], names=["a", "b"])
 
-    def compare(key: np.ndarray, group: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def compare(key: np.ndarray, group: np.ndarray, ids: np.ndarray, *bits: np.ndarray) -> Iterator[pa.RecordBatch]:
         nonlocal found
         at, step = np.arange(len(ids)), 0
         while len(at):  # each with the one that is ``step`` further on, while that is in the same group
             step += 1
             at = at[at + step < len(ids)]
             at = at[(key[at] == key[at + step]) & (group[at] == group[at + step])]
-            near = at[np.bitwise_count((ids[at] ^ ids[at + step]).view(np.uint64)) <= distance]
+            near = at[sum(np.bitwise_count((x[at] ^ x[at + step]).view(np.uint64)) for x in bits) <= distance]
             if len(near):
                 links.append(np.stack([ids[near], ids[near + step]]))
                 found += len(near)
@@ -133,14 +160,14 @@ def _compare(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Re
                 found = 0
 
     for batch in batches:
-        new = [batch.column("k").to_numpy(), (batch.column("i").to_numpy().astype(np.int64) << 32) + batch.column("j").to_numpy(), batch.column("id").to_numpy()]
-        key, group, ids = (np.concatenate(x) for x in zip(held, new))
+        new = [batch.column("k").to_numpy(), (batch.column("i").to_numpy().astype(np.int64) << 32) + batch.column("j").to_numpy(), *[batch.column(c).to_numpy() for c in ("id", *prints)]]
+        key, group, *rest = (np.concatenate(x) for x in zip(held, new))
         if not len(key):
             continue
         # The last group may go on in the next batch.
         cut = int(np.flatnonzero((key != key[-1]) | (group != group[-1]))[-1]) + 1 if (key[0] != key[-1] or group[0] != group[-1]) else 0
-        held = [key[cut:], group[cut:], ids[cut:]]
-        yield from compare(key[:cut], group[:cut], ids[:cut])
+        held = [key[cut:], group[cut:], *[x[cut:] for x in rest]]
+        yield from compare(key[:cut], group[:cut], *[x[:cut] for x in rest])
     yield from compare(*held)
     if links:
         yield folded()
@@ -265,8 +292,8 @@ def keep_one(
 ) -> DataFrame:
     """``df`` without near-duplicates: of each group the row of least key stays (null keys last, ties by a hash of the row).
 
-    Texts of equal sets of distinct word shingles are one node. Nodes whose fingerprints a chain of links at ``distance`` or
-    fewer bits connects are compared with each other, all pairs (:func:`verified_links`), and groups are the components over those pairs
+    Texts of equal sets of distinct word shingles are one node with two fingerprints. Nodes that a chain of :func:`wide_links`
+    connects are compared with each other, all pairs (:func:`verified_links`), and groups are the components over those pairs
     whose Jaccard similarity is at least ``similarity``. So what only chance has put near stays, and copies go whatever else is near them.
     Wordless and null texts are alike, so one of them stays. Of rows equal in all columns one stays. Columns are unchanged.
     """
@@ -280,19 +307,18 @@ def keep_one(
             for x in batch.column("text").to_pylist():
                 found = shingle_set(x, shingle, seed)
                 digests.append(xxhash.xxh3_128_digest(found))
-                prints.append(fingerprint_of_hashes(np.frombuffer(found, "<u8")))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("t"), pa.array(digests, pa.binary()), pa.array(prints, pa.int64())], names=["key", "t", "digest", "print"])
+                prints.append(two_fingerprints(np.frombuffer(found, "<u8")))
+            f, g = (pa.array([p[n] for p in prints], pa.int64()) for n in range(2))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("t"), pa.array(digests, pa.binary()), f, g], names=["key", "t", "digest", "f", "g"])
 
     kind = df.schema[key].dataType.simpleString()
     order = F.struct(F.col("key").isNull().alias("none"), "key", "t")
-    marked = materialised(brief.mapInArrow(marks, f"key {kind}, t long, digest binary, print long"), "marks")
-    nodes = materialised(marked.groupBy("digest").agg(F.min(order).alias("value"), F.first("print").alias("print"))
+    marked = materialised(brief.mapInArrow(marks, f"key {kind}, t long, digest binary, f long, g long"), "marks")
+    nodes = materialised(marked.groupBy("digest").agg(F.min(order).alias("value"), F.first("f").alias("f"), F.first("g").alias("g"))
                          .withColumn("id", F.monotonically_increasing_id()), "nodes")
-    near = components(near_links(nodes.select(F.col("print").alias("id")).distinct(), distance))
-    near = materialised(near.select(F.col("id").alias("print"), F.col("root").alias("near")), "near")
-    teams = nodes.join(near, "print", "left").withColumn("team", F.coalesce("near", "print"))
-    many = materialised(teams.groupBy("team").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("team"), "many")
-    involved = materialised(teams.join(many, "team").select("team", "id", "value"), "involved")
+    near = components(wide_links(nodes.select("id", "f", "g"), distance))
+    teams = materialised(nodes.join(near.withColumnRenamed("root", "team"), "id"), "teams")
+    involved = teams.select("team", "id", "value")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

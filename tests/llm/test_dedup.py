@@ -138,6 +138,19 @@ def test_copies_go_whatever_leads_their_fingerprints(spark, monkeypatch, room):
     assert sorted(r["doc_id"] for r in kept) == [1, 2, 4, 7]
 
 
+@pytest.mark.parametrize("block", [4096, 16])
+def test_wide_links_find_pairs_at_the_least_similarity(spark, block):
+    draw = np.random.default_rng(12)
+    rows = []
+    for i in range(300):  # two sets of 100 with 89 in common: Jaccard 0.80
+        both, one, two = (draw.integers(0, 2**63, n).astype("<u8") for n in (89, 11, 11))
+        rows += [(2 * i + k, *simhash.two_fingerprints(np.concatenate([both, x]))) for k, x in enumerate((one, two))]
+    links = simhash.wide_links(spark.createDataFrame(rows, "id long, f long, g long"), block=block)
+    found = {tuple(sorted(r)) for r in links.collect()}
+    assert sum((2 * i, 2 * i + 1) in found for i in range(300)) >= 0.95 * 300
+    assert sum(a // 2 != b // 2 for a, b in found) < 10
+
+
 def test_verified_links_connect_what_all_pairs_do():
     draw = np.random.default_rng(6)
     base = [set(draw.integers(0, 2**60, 30).tolist()) for _ in range(8)]
