@@ -23,6 +23,14 @@ SPILL = 0.16
 LEAF_ROWS = 1024
 #: Fewest sampled vectors of a leaf: with them, size of the sample bounds the number of leaves and the broadcast.
 LEAF_SAMPLE = 8
+#: A node's close pairs are counted among so many of its sampled vectors; with fewer such pairs than this no heap is seen.
+PROBES = 512
+PROBE_PAIRS = 64
+#: A split should part at most this share of the close pairs; where none does and so many of all pairs are close, the branch ends.
+PARTED = 0.05
+HEAP = 0.25
+#: So many directions are tried where a node has a heap.
+TRIES = 8
 
 
 @dataclass
@@ -54,11 +62,17 @@ class Tree:
         return np.concatenate(found_rows), np.concatenate(found)
 
 
-def grow(sample: np.ndarray, leaf: int, seed: int, spill: float = SPILL) -> Tree:
-    """Splits the sample at the median along random directions until at most ``leaf`` rows are left.
+def _close_pairs(rows: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    return np.nonzero(np.triu(rows @ rows.T >= cosine, 1))
 
-    A split whose two sides would not both be clearly smaller (a dense heap of nearly equal vectors) ends the
-    branch: such a leaf is compared whole, in blocks.
+
+def grow(sample: np.ndarray, leaf: int, seed: int, spill: float = SPILL, cosine: float = 0.95) -> Tree:
+    """Splits the sample (unit rows) at the median along random directions until at most ``leaf`` rows are left.
+
+    A split whose two sides would not both be clearly smaller ends the branch. Where a large part of a node is close
+    (a heap of vectors at ``cosine`` or more, seen in a probe of the node), several directions and thresholds are tried and the one
+    that parts the fewest close pairs is taken; if the node is mostly one heap, which any split would cut, the
+    branch ends. Such a leaf is compared whole, in blocks.
     """
     draw = np.random.default_rng(seed)
     direction, low, high, left, right = [], [], [], [], []
@@ -74,12 +88,26 @@ def grow(sample: np.ndarray, leaf: int, seed: int, spill: float = SPILL) -> Tree
         at, place = todo.pop()
         child = None
         if len(at) > leaf:
-            u = draw.standard_normal(sample.shape[1])
-            u /= np.linalg.norm(u) or 1
-            x = sample[at] @ u
-            a, b = np.quantile(x, [0.5 - spill / 2, 0.5 + spill / 2])
-            go_left, go_right = at[x < b], at[x >= a]
-            if max(len(go_left), len(go_right)) <= 0.8 * len(at) and b - a < 0.3:
+            probe = at[np.linspace(0, len(at) - 1, min(len(at), PROBES)).astype(int)]
+            one, two = _close_pairs(sample[probe], cosine)
+            heap = len(one) >= PROBE_PAIRS
+            best = None
+            for _ in range(TRIES if heap else 1):
+                u = draw.standard_normal(sample.shape[1])
+                u /= np.linalg.norm(u) or 1
+                x, y = sample[at] @ u, sample[probe] @ u
+                for middle in (0.5, 0.4, 0.6, 0.3, 0.7) if heap else (0.5,):
+                    a, b = np.quantile(x, [middle - spill / 2, middle + spill / 2])
+                    if max((x < b).sum(), (x >= a).sum()) <= 0.8 * len(at) and b - a < 0.3:
+                        under, over = np.minimum(y[one], y[two]) < a, np.maximum(y[one], y[two]) >= b
+                        parted = (under & over).mean() if heap else 0.0
+                        if best is None or parted < best[0]:
+                            best = parted, u, a, b, at[x < b], at[x >= a]
+                if best and best[0] == 0:
+                    break
+            whole = heap and best and best[0] > PARTED and len(one) >= HEAP * len(probe) * (len(probe) - 1) / 2
+            if best and not whole:
+                _, u, a, b, go_left, go_right = best
                 child = len(direction)
                 direction.append(u)
                 low.append(a)
@@ -115,7 +143,8 @@ def forest_links(vectors: DataFrame, cosine: float = 0.95, trees: int = TREES, s
     sample = np.array(sampled.tolist(), float).reshape(len(sampled), -1)
     sample = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-300)
     leaf = max(LEAF_SAMPLE, round(LEAF_ROWS * min(1.0, sample_rows / max(n, 1))))
-    built = [grow(sample, leaf, seed + i) for i in range(trees)] if len(sample) else [Tree(np.empty((0, 0)), *[np.empty(0)] * 4, 1)]
+    built = [grow(sample, leaf, seed + i, cosine=cosine) for i in range(trees)] if len(sample) else [Tree(np.empty((0, 0)), *[np.empty(0)] * 4, 1)]
+    built = next(([t] for t in built if t.leaves == 1), built)  # a tree of one leaf compares all pairs
     first = np.cumsum([0, *[t.leaves for t in built]])
     shared = spark.sparkContext.broadcast((built, first))
 

@@ -72,6 +72,24 @@ def test_forest_links_what_brute_force_links(spark, monkeypatch, leaf):
     assert all(v[2] == (k == v[1] and k is not None) for k, v in found.items())
 
 
+@pytest.mark.parametrize("heap,others", [(16_000, 0), (10_000, 20_000)])
+def test_trees_do_not_cut_a_large_heap(heap, others):
+    draw = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = unit(np.concatenate([unit(draw.standard_normal((1, 64))) + 0.018 * draw.standard_normal((heap, 64)), draw.standard_normal((others, 64))]))
+    order = draw.permutation(len(rows))
+    trees = [forest.grow(rows[order], 1024, 17 + i) for i in range(forest.TREES)]
+    a, b = draw.integers(0, heap, (2, 4000))
+    met = np.zeros(4000, bool)
+    for t in trees:
+        leaves = np.zeros((heap, t.leaves), bool)
+        leaves[t.leaves_of(rows[:heap])] = True
+        met |= (leaves[a] & leaves[b]).any(axis=1)
+    assert ((rows[a] * rows[b]).sum(axis=1) >= 0.95).mean() > 0.99
+    assert met.mean() >= 0.99
+    assert others == 0 or min(t.leaves for t in trees) > 8  # the rest is still split
+
+
 def test_forest_of_nothing(spark):
     assert forest.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, kept string")).count() == 0
     only = spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
