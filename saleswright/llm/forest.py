@@ -123,6 +123,47 @@ def grow(sample: np.ndarray, leaf: int, seed: int, spill: float = SPILL, cosine:
     return Tree(stacked, np.array(low), np.array(high), np.array(left, int), np.array(right, int), leaves)
 
 
+def _compared(dealt: DataFrame, cosine: float) -> DataFrame:
+    """(id, links, root) for all pairs inside each (leaf, i, j) that have not met in an earlier leaf."""
+
+    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        leaf_here, i, j = key
+        group = group.sort_values("id", ignore_index=True)
+        ids, copies = group["id"].to_numpy(), group["copies"].to_numpy()
+        rows = np.array(group["v"].tolist(), float).reshape(len(ids), -1)
+        norm = np.sqrt((rows * rows).sum(axis=1))
+        earlier = group["leaves"].explode().astype(np.int64)
+        earlier = earlier[earlier < leaf_here]
+        names, column = np.unique(earlier.to_numpy(), return_inverse=True)
+        member = np.zeros((len(ids), len(names)), np.float32)
+        member[earlier.index.to_numpy(), column] = 1
+        own = group["own"].to_numpy()
+        links, ends = np.zeros(len(ids), np.int64), []
+        for at in range(0, len(ids), 512):
+            part = slice(at, at + 512)
+            close = (rows[part] @ rows.T) / np.outer(norm[part], norm) >= cosine
+            close &= member[part] @ member.T == 0
+            if i != j:
+                close &= own[part, None] != own[None, :]
+            close[np.arange(len(close)), np.arange(at, at + len(close))] = False
+            links[part] = close @ copies
+            a, b = np.nonzero(close)
+            later = b > a + at
+            ends.append(np.stack([a[later] + at, b[later]]))
+        a, b = np.concatenate(ends, axis=1)
+        root = local_roots(len(ids), a, b)
+        has = links > 0
+        return pd.DataFrame({"id": ids[has], "links": links[has], "root": ids[root[has]]})
+
+    return dealt.groupBy("leaf", "i", "j").applyInPandas(compare, "id long, links long, root long")
+
+
+def few_links(vectors: DataFrame, cosine: float) -> DataFrame:
+    """As :func:`forest_links`, for vectors of any lengths of which few are of one length: each length is a leaf, without trees."""
+    zero = [F.lit(0).cast("long").alias(c) for c in ("i", "j", "own")]
+    return _compared(vectors.select(F.size("v").cast("long").alias("leaf"), *zero, "id", "copies", F.array(F.size("v")).alias("leaves"), "v"), cosine)
+
+
 def forest_links(vectors: DataFrame, cosine: float = 0.95, trees: int = TREES, sample_rows: int = SAMPLE_ROWS, seed: int = 17) -> DataFrame:
     """(id, links, root) for distinct vectors (id long, v array<double>, copies long) of one length that are close.
 
@@ -197,36 +238,7 @@ def forest_links(vectors: DataFrame, cosine: float = 0.95, trees: int = TREES, s
     dealt = vectors.select("id", "copies", "v").mapInArrow(
         deal, "leaf long, i long, j long, own long, id long, copies long, leaves array<int>, v array<double>")
 
-    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        leaf_here, i, j = key
-        group = group.sort_values("id", ignore_index=True)
-        ids, copies = group["id"].to_numpy(), group["copies"].to_numpy()
-        rows = np.array(group["v"].tolist(), float).reshape(len(ids), -1)
-        norm = np.sqrt((rows * rows).sum(axis=1))
-        earlier = group["leaves"].explode().astype(np.int64)
-        earlier = earlier[earlier < leaf_here]
-        names, column = np.unique(earlier.to_numpy(), return_inverse=True)
-        member = np.zeros((len(ids), len(names)), np.float32)
-        member[earlier.index.to_numpy(), column] = 1
-        own = group["own"].to_numpy()
-        links, ends = np.zeros(len(ids), np.int64), []
-        for at in range(0, len(ids), 512):
-            part = slice(at, at + 512)
-            close = (rows[part] @ rows.T) / np.outer(norm[part], norm) >= cosine
-            close &= member[part] @ member.T == 0
-            if i != j:
-                close &= own[part, None] != own[None, :]
-            close[np.arange(len(close)), np.arange(at, at + len(close))] = False
-            links[part] = close @ copies
-            a, b = np.nonzero(close)
-            later = b > a + at
-            ends.append(np.stack([a[later] + at, b[later]]))
-        a, b = np.concatenate(ends, axis=1)
-        root = local_roots(len(ids), a, b)
-        has = links > 0
-        return pd.DataFrame({"id": ids[has], "links": links[has], "root": ids[root[has]]})
-
-    return dealt.groupBy("leaf", "i", "j").applyInPandas(compare, "id long, links long, root long")
+    return _compared(dealt, cosine)
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.95, **forest) -> DataFrame:
@@ -244,12 +256,11 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     distinct = materialised(
         rows.where(F.col("v").isNotNull()).groupBy("v").agg(F.min("key").alias("value"), F.count(F.lit(1)).alias("copies"))
         .withColumn("id", F.monotonically_increasing_id()), "vectors")
-    found = None
-    for (length,) in distinct.select(F.size("v")).distinct().limit(1000).collect():
-        part = forest_links(distinct.where(F.size("v") == length), cosine, **forest)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = df.sparkSession.createDataFrame([], "id long, links long, root long")
+    sizes = distinct.groupBy(F.size("v").alias("length")).agg(F.count(F.lit(1)).alias("n"))
+    many = [r["length"] for r in sizes.where(F.col("n") > 2 * LEAF_ROWS).collect()]  # at most one in 2 x LEAF_ROWS vectors
+    found = few_links(distinct.where(~F.size("v").isin(many)), cosine)
+    for length in many:
+        found = found.unionByName(forest_links(distinct.where(F.size("v") == length), cosine, **forest))
     found = materialised(found, "close")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     reached = smallest_reachable(distinct.select("id", "value"), found.select(F.col("id").alias("a"), F.col("root").alias("b")))

@@ -90,6 +90,12 @@ def test_trees_do_not_cut_a_large_heap(heap, others):
     assert others == 0 or min(t.leaves for t in trees) > 8  # the rest is still split
 
 
+def test_every_length_has_its_links(spark):
+    rows = [(2 * n + k, [1.0 + k / 100] + [1.0] * n) for n in range(1100) for k in (0, 1) if n]
+    found = forest.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(found) == len(rows) and all(r["n_links"] == 1 and r["component_id"] == r["vec_id"] // 2 * 2 for r in found)
+
+
 def test_forest_of_nothing(spark):
     assert forest.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, kept string")).count() == 0
     only = spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
