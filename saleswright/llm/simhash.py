@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,7 +71,7 @@ def with_fingerprints(df: DataFrame, columns: Sequence[str], text: str = "text",
     return df.select(*columns, df[text].cast("binary").alias(work)).mapInArrow(run, schema)
 
 
-def variants(fingerprint: Column, distance: int) -> Column:
+def _variant_keys(fingerprint: Column, distance: int) -> list[Column]:
     """Keys that two fingerprints at ``distance`` or fewer bits have at least one of in common.
 
     The 64 bits are cut into distance // 2 + 1 segments, so the bits that differ leave one segment with at
@@ -87,7 +86,12 @@ def variants(fingerprint: Column, distance: int) -> Column:
             mask -= (1 << 64) * (mask >> 63)
             rest = F.shiftrightunsigned(fingerprint.bitwiseAND(F.lit(mask).cast("long")), low)
             keys.append(F.xxhash64(F.lit(bit), rest) if high - low > 32 else rest + F.lit(bit << 32))
-    return F.array(*keys)
+    return keys
+
+
+def variants(fingerprint: Column, distance: int) -> Column:
+    """The keys of :func:`_variant_keys` as one array."""
+    return F.array(*_variant_keys(fingerprint, distance))
 
 
 def near_links(prints: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
@@ -109,7 +113,7 @@ def wide_links(nodes: DataFrame, distance: int = 8, within: int = WITHIN, block:
     A pair is a candidate if f or g have a variant for ``distance`` in common (whatever the bits elsewhere), and
     is linked if f and g together differ in ``within`` or fewer of their 128 bits. Else as :func:`near_links`.
     """
-    keys = F.concat(variants(F.col("f"), distance), F.transform(variants(F.col("g"), distance), lambda k: k.bitwiseXOR(F.lit(-1 << 63))))
+    keys = F.array(*_variant_keys(F.col("f"), distance), *[k.bitwiseXOR(F.lit(-1 << 63)) for k in _variant_keys(F.col("g"), distance)])
     keyed = nodes.select("id", "f", "g", F.explode(keys).alias("k"))
     return _dealt(keyed, block).mapInArrow(lambda batches: _compare(batches, within, ("f", "g")), "a long, b long")
 
@@ -243,6 +247,23 @@ def verified(sets: list[bytes], similarity: float, joined: np.ndarray | None = N
     return links
 
 
+def _teams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
+    """(ids, hung, own) of each group (team, i, j) of rows that come in order of it; single rows are left out."""
+    now, held = None, ([], [], [])
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            for *group, id_, hung, own in zip(*[part.column(c).to_pylist() for c in ("team", "i", "j", "id", "hung", "own")]):
+                if group != now:
+                    if len(held[0]) > 1:
+                        yield held
+                    now, held = group, ([], [], [])
+                for x, v in zip(held, (id_, hung, own)):
+                    x.append(v)
+    if len(held[0]) > 1:
+        yield held
+
+
 def verified_links(nodes: DataFrame, sets: DataFrame, similarity: float, room: int = ROOM) -> DataFrame:
     """Links (a, b) that connect the same nodes as all pairs of one ``team`` at Jaccard ``similarity`` or more do.
 
@@ -256,14 +277,19 @@ def verified_links(nodes: DataFrame, sets: DataFrame, similarity: float, room: i
                          .where(F.col("bytes") > room).select("team", "lead"), "large_teams")
     out = "a long, b long"
 
-    def inside(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        ids, hung = group["id"].to_numpy(), group["hung"].to_numpy(bool)
-        found = np.array(verified(group["own"].tolist(), similarity, hung), int).reshape(-1, 2)
-        return pd.DataFrame({"a": ids[found[:, 0]], "b": ids[found[:, 1]]})
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, hung, own in _teams(batches):
+            found = np.array(verified(own, similarity, np.array(hung, bool)), int).reshape(-1, 2)
+            ids = np.array(ids, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[found[:, 0]]), pa.array(ids[found[:, 1]])], names=["a", "b"])
+        pa.default_memory_pool().release_unused()  # the worker stays while stages without Python run
+
+    def compared(groups: DataFrame) -> DataFrame:
+        return groups.repartition("team", "i", "j").sortWithinPartitions("team", "i", "j").select("team", "i", "j", "id", "hung", "own").mapInArrow(inside, out)
 
     zero = [F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("hung")]
     if large.isEmpty():
-        return members.select("team", "id", "own", *zero).groupBy("team", "i", "j").applyInPandas(inside, out)
+        return compared(members.select("team", "id", "own", *zero))
     small = members.join(large.select("team"), "team", "left_anti").select("team", "id", "own", *zero)
     first = large.join(members.select(F.col("id").alias("lead"), F.col("own").alias("other")), "lead").select("team", "lead", "other")
 
@@ -282,9 +308,7 @@ def verified_links(nodes: DataFrame, sets: DataFrame, similarity: float, room: i
     other = F.sequence(F.when(F.col("hung"), F.col("near")).otherwise(F.lit(0)), F.col("near") + F.col("far") - 1)
     pairs = dealt.withColumn("block", own).withColumn("with", F.explode(other)).select(
         "team", "id", "own", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "hung")
-    return (small.groupBy("team", "i", "j").applyInPandas(inside, out)
-            .unionByName(pairs.groupBy("team", "i", "j").applyInPandas(inside, out))
-            .unionByName(star.where("hung and id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b"))))
+    return (compared(small).unionByName(compared(pairs)).unionByName(star.where("hung and id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b"))))
 
 
 def keep_one(
