@@ -133,3 +133,14 @@ def smallest_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     lowest = materialised(members.groupBy("root").agg(F.min("value").alias("component")), "lowest")
     found = materialised(members.join(lowest, "root").select("id", "component"), "found")
     return nodes.join(found, "id", "left").withColumn("component", F.coalesce("component", "value"))
+
+
+#: For SQL twins: a table of one row, crc, with what the CRC-32 of each byte does; and the checksum of ASCII text.
+CRC_TABLE = """crc_table AS (
+  SELECT list(v ORDER BY i) AS crc FROM (
+    SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384)) AS v FROM range(256) r(i)))"""
+
+
+def crc32_sql(text: str) -> str:
+    return f"""xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length({text}) + 1), lambda i: CAST(ord(substr({text}, i, 1)) AS BIGINT))),
+    lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"""

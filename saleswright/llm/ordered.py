@@ -16,14 +16,14 @@ def turn_order(conv: str, turn: str, role: str, text: str) -> list[Column]:
     return [F.col(conv).asc(), F.col(turn).asc(), F.col(role).asc(), F.substring(text, 1, 64).asc(), F.xxhash64(text).asc()]
 
 
-def in_order(rows: DataFrame, by: list[Column], keep: list[str], name: str, part_rows: int = PART_ROWS) -> DataFrame:
+def in_order(rows: DataFrame, by: list[Column], keep: list[str], name: str, part_rows: int | None = None) -> DataFrame:
     """``rows`` sorted over all partitions and written, with ``place`` (rising in that order) and ``part``.
 
     Parts are ranges of the whole order, so a long sequence is spread over several, and a place tells where a
     row stands without any group being gathered. Rows that agree in all of ``by`` are spread as well.
     """
     spark = rows.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, -(-rows.count() // part_rows))
+    parts = max(spark.sparkContext.defaultParallelism, -(-rows.count() // (part_rows or PART_ROWS)))
     dealt = rows.withColumn("_any", F.monotonically_increasing_id())
     by = [*by, F.col("_any").asc()]
     placed = dealt.repartitionByRange(parts, *by).sortWithinPartitions(*by).select(*keep, F.monotonically_increasing_id().alias("place"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_dir
 from ..sources.stages import materialised, write_stage
-from .common import table
+from .common import CRC_TABLE, crc32_sql, table
 from .ordered import in_order
 
 #: Depths at which bands begin; from the last on, each band has BAND levels.
@@ -255,3 +255,29 @@ def rebuilt_trie(turns: DataFrame, group_turns: int = GROUP_TURNS) -> DataFrame:
 
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = f"""
+WITH {CRC_TABLE},
+own AS (
+  SELECT conv_id, list({{r: coalesce(role, ''), x: coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+heads AS (SELECT conv_id, own, conv_id - conv_id % 5 AS base, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM own, crc_table),
+built AS (
+  SELECT c.conv_id, list_concat(coalesce(b.own[:c.h], []), c.own[c.h + 1:]) AS turns
+  FROM heads c LEFT JOIN own b ON b.conv_id = c.base),
+members AS (SELECT conv_id, turns, turns[:d] AS node, d FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM built)),
+nodes AS (
+  SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CASE WHEN d = len(turns) THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM members GROUP BY node, d),
+children AS (SELECT node[:d - 1] AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+sized AS (
+  SELECT n.*, coalesce(c.n_children, 0) AS n_children, CASE WHEN n.d > 0 THEN (n.n_convs - 1) * octet_length(encode(n.node[n.d].x)) ELSE 0 END AS own_saved
+  FROM nodes n LEFT JOIN children c ON c.node = n.node),
+below AS (
+  SELECT node[:a] AS node, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(own_saved) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM sized) GROUP BY 1)
+SELECT s.conv_id, s.d AS depth, p.conv_id AS parent_conv_id, s.n_convs, s.n_children, CAST(b.n_leaves AS BIGINT) AS n_leaves,
+  CAST(b.saved_tokens AS BIGINT) AS saved_tokens, s.ends_sha256
+FROM sized s JOIN below b ON b.node = s.node LEFT JOIN nodes p ON s.d > 0 AND p.node = s.node[:s.d - 1]"""

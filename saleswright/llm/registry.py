@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, forest, langid, lines, maxent, mixing, sharding, simhash, suffixes, topk
+from . import bpe, forest, langid, lines, maxent, mixing, prefixtrie, repair, sharding, simhash, suffixes, topk, vptree
 
 QUERIES = {
     "op1_projection_forest": forest.op1,
@@ -19,11 +19,17 @@ QUERIES = {
     "op8_suffix_merge": suffixes.op8,
     "op9_trie_bpe": bpe.op9,
     "op10_pivotal_mix": mixing.op10,
+    "op11_block_repair": repair.op11,
+    "op12_vantage_point": vptree.op12,
+    "op13_truncation_peeling": prefixtrie.op13,
 }
 SQL = {
     "op3_line_winnowing": lines.OP3_SQL,
     "op1_projection_forest": forest.OP1_SQL,
     "op6_uniform_threshold": topk.OP6_SQL,
+    "op11_block_repair": repair.OP11_SQL,
+    "op12_vantage_point": vptree.OP12_SQL,
+    "op13_truncation_peeling": prefixtrie.OP13_SQL,
 }
 
 

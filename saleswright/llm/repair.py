@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.stages import materialised
-from .common import table
+from .common import CRC_TABLE, crc32_sql, table
 from .ordered import in_order, turn_order
 
 #: Symbols of a block; the table has 10 ** BLOCK columns.
@@ -347,3 +347,58 @@ def damaged(turns: DataFrame) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = damaged(table(spark, sf_dir, "conversations"))
     return repair(rows, F.col("present"))
+
+
+def _sql() -> str:
+    """The same by recursion over the rows of a conversation: of each state the least (cost, edits) and its text."""
+    none = "{c: 1000000, a: '', t: ''}"
+
+    def edit(state: str, letter: str, cost: str, line: str | None = None) -> str:
+        return f"{{c: {state}.c + {cost}, a: {state}.a || '{letter}', t: {state}.t" + (f" || chr(10) || {line}}}" if line else "}")
+
+    def least(*options: str) -> str:
+        return f"list_sort([{', '.join(options)}])[1]"
+
+    def keep(state: str, first: str) -> str:
+        return f"CASE WHEN sym = '{first}' THEN {edit(state, 'K', 'cut', 'role || chr(58) || text')} ELSE {none} END"
+
+    def rerole(state: str, role: str) -> str:
+        return f"CASE WHEN sym <> 'd' THEN {edit(state, 'R', '2 + cut', f"'{role}:' || text")} ELSE {none} END"
+
+    drop = [edit(f"s{q}", "D", "3") for q in range(4)]
+    return f"""
+WITH RECURSIVE {CRC_TABLE},
+raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32_sql("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS fault FROM conversations, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM raw WHERE fault <> 0
+  UNION ALL SELECT conv_id, turn, role, text FROM raw WHERE fault = 3),
+told AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged)),
+marked AS (
+  SELECT *, CASE WHEN bare = '' OR seen > 1 THEN 'd' WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'o' END AS sym,
+    CASE WHEN right(bare, 1) IN ('.', '!', '?') THEN 0 ELSE 1 END AS cut, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair FROM told),
+counted AS (
+  SELECT conv_id, CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps, count(*) FILTER (bare = '') AS blank,
+    count(*) FILTER (bare <> '' AND seen > 1) AS duplicate, count(*) FILTER (bare <> '' AND seen = 1 AND cut = 1) AS truncated,
+    count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY conv_id),
+rowed AS (
+  SELECT conv_id, 0 AS i, {{c: 0, a: '', t: ''}} AS s0, {none} AS s1, {{c: 2, a: 'I', t: chr(10) || 'user:'}} AS s2,
+    {{c: 4, a: 'II', t: chr(10) || 'user:' || chr(10) || 'assistant:'}} AS s3 FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, n0, n1, c2, {least("n3", edit("c2", "I", "2", "'assistant:'"))} FROM (
+    SELECT *, {least("n2", *[edit(n, "I", "2", "'user:'") for n in ("n0", "n1", "n3")])} AS c2 FROM (
+      SELECT w.conv_id, m.i, {drop[0]} AS n0, {least(drop[1], keep("s0", "s"))} AS n1,
+        {least(drop[2], *[f(s, x) for s in ("s0", "s1", "s3") for f, x in ((keep, "u"), (rerole, "user"))])} AS n2,
+        {least(drop[3], keep("s2", "a"), rerole("s2", "assistant"))} AS n3
+      FROM rowed w JOIN marked m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.i = w.i + 1))),
+done AS (SELECT conv_id, {least("s0", "s3")} AS best FROM rowed QUALIFY i = max(i) OVER (PARTITION BY conv_id))
+SELECT d.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(best.c AS BIGINT) AS cost, best.a AS audit, sha256(substr(best.t, 2)) AS repaired_sha256
+FROM done d LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM d.conv_id"""
+
+
+OP11_SQL = _sql()
