@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import accuracy, cleaning, events, explanations, features, forecasts, hierarchies, lookups, storage
+from . import accuracy, calendars, cleaning, events, explanations, features, forecasts, hierarchies, lookups, storage
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (storage, cleaning, features, accuracy, forecasts, hierarchies, explanations, lookups, events)
+_MODULES = (storage, cleaning, features, calendars, accuracy, forecasts, hierarchies, explanations, lookups, events)
 
 
 def queries() -> dict[str, Query]:

@@ -23,13 +23,24 @@ def _steps(h: int) -> Column:
     return F.explode(F.sequence(F.lit(1), F.lit(h)))
 
 
-def last_season(train: DataFrame, by: Sequence[str] = ("unique_id",), m: int = SEASON) -> DataFrame:
+def last_season(train: DataFrame, by: Sequence[str] = ("unique_id",), m: int = SEASON, absent: str | None = None) -> DataFrame:
     """The last known value of each phase of the season, and the last date of each series.
 
     ``season`` stands for the m days up to the last date, oldest first. A day that is missing there takes the
-    latest value of its phase, so gaps do not shift weekdays. Series that do not hold every phase are left out.
-    Two aggregates, both combined before the shuffle; no order over a series.
+    latest value of its phase, so gaps do not shift weekdays; with ``absent`` it is taken as it stands in the
+    calendar, 0 for ``zero`` and null for ``skip``. Series that do not hold every phase are left out, by the
+    calendar those that began less than m days before their last date. Two aggregates, both combined before the
+    shuffle; no order over a series.
     """
+    if absent:
+        recent = train.groupBy(*by).agg(F.max("ds").alias("last_ds"), F.min("ds").alias("_first"))
+        recent = recent.where(F.datediff("last_ds", "_first") >= m - 1)
+        back = F.datediff("last_ds", "ds")
+        days = train.join(recent.drop("_first"), list(by)).where(back < m).groupBy(*by, "last_ds").agg(
+            F.map_from_entries(F.collect_list(F.struct(back, "y"))).alias("_known"))
+        value = lambda i: F.try_element_at("_known", F.lit(m - 1) - i)
+        held = (lambda i: F.coalesce(value(i), F.lit(0.0))) if absent == "zero" else value
+        return days.select(*by, "last_ds", F.transform(F.sequence(F.lit(0), F.lit(m - 1)), held).alias("season"))
     phase = F.pmod(F.unix_date(F.col("ds").cast("date")), F.lit(m))
     known = train.groupBy(*by, phase.alias("_phase")).agg(F.max("ds").alias("_ds"), F.max_by("y", "ds").alias("y"))
     series = known.groupBy(*by).agg(
@@ -44,10 +55,10 @@ def _phase(step: Column, m: int) -> Column:
     return F.element_at("season", (F.pmod(step - 1, F.lit(m)) + 1).cast("int"))
 
 
-def seasonal_naive(train: DataFrame, h: int, m: int = SEASON, by: Sequence[str] = ("unique_id",)) -> DataFrame:
-    """Repeat the last season for h steps. Series shorter than a season have no forecast."""
+def seasonal_naive(train: DataFrame, h: int, m: int = SEASON, by: Sequence[str] = ("unique_id",), absent: str | None = None) -> DataFrame:
+    """Repeat the last season for h steps. Series shorter than a season have no forecast; see :func:`last_season` for ``absent``."""
     return (
-        last_season(train, by, m)
+        last_season(train, by, m, absent)
         .withColumn("step", _steps(h))
         .select(*by, F.date_add("last_ds", F.col("step")).alias("ds"), "step", _phase(F.col("step"), m).alias("y_hat"))
     )

@@ -18,9 +18,13 @@ from ..functions.numbers import pct_change
 SERIES = ("store_nbr", "family")
 
 
-def daily_fact(df: DataFrame, keys: Sequence[str] = SERIES, date: str = "date", sums: Sequence[str] = ("sales",)) -> DataFrame:
-    """One row per series and day. Sums combine before the shuffle, so a hot series stays small."""
-    return df.groupBy(date, *keys).agg(*[F.sum(c).alias(c) for c in sums])
+def daily_fact(
+    df: DataFrame, keys: Sequence[str] = SERIES, date: str = "date", sums: Sequence[str] = ("sales",), firsts: Sequence[str] = ()
+) -> DataFrame:
+    """One row per series and day. Sums combine before the shuffle, so a hot series stays small.
+
+    ``firsts`` are columns that agree on all rows of a series and day."""
+    return df.groupBy(date, *keys).agg(*[F.sum(c).alias(c) for c in sums], *[F.first(c).alias(c) for c in firsts])
 
 
 def _ordered(keys: Sequence[str], order: str) -> WindowSpec:
