@@ -135,17 +135,24 @@ def _compared(dealt: DataFrame, cosine: float) -> DataFrame:
         earlier = group["leaves"].explode().astype(np.int64)
         earlier = earlier[earlier < leaf_here]
         names, column = np.unique(earlier.to_numpy(), return_inverse=True)
-        member = np.zeros((len(ids), len(names)), np.float32)
-        member[earlier.index.to_numpy(), column] = 1
+        member = np.zeros((len(ids), len(names)), bool)
+        member[earlier.index.to_numpy(), column] = True
+        bits = np.packbits(member, axis=1)
         own = group["own"].to_numpy()
         links, ends = np.zeros(len(ids), np.int64), []
         for at in range(0, len(ids), 512):
             part = slice(at, at + 512)
             close = (rows[part] @ rows.T) / np.outer(norm[part], norm) >= cosine
-            close &= member[part] @ member.T == 0
             if i != j:
                 close &= own[part, None] != own[None, :]
             close[np.arange(len(close)), np.arange(at, at + len(close))] = False
+            # Only close pairs are asked whether they met in an earlier leaf; where most are close, by a product of the lists.
+            if np.count_nonzero(close) > close.size / 16:
+                close &= member[part].astype(np.float32) @ member.T.astype(np.float32) == 0
+            else:
+                a, b = np.nonzero(close)
+                met = np.concatenate([np.zeros(0, bool), *[(bits[a[n:n + 8192] + at] & bits[b[n:n + 8192]]).any(axis=1) for n in range(0, len(a), 8192)]])
+                close[a[met], b[met]] = False
             links[part] = close @ copies
             a, b = np.nonzero(close)
             later = b > a + at
@@ -246,13 +253,15 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
 
     Vectors of one length link at ``cosine`` or more; those of different lengths do not compare. A vector that is null, empty, zero, or has null
     or non-finite components links with nothing, nor does a row with a null key: its n_links is 0 and its
-    component its own key. Equal vectors are one node that stands for all of them, so copies cost nothing.
-    kept: the key is that of its component. Other columns are left out.
+    component its own key. Finite vectors of any length count. Equal vectors are one node that stands for all of them, so copies cost nothing.
+    kept: the key is that of its component. Other columns are left out. An empty table gives no rows.
     """
     double = F.transform(vector, lambda x: x.cast("double"))
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     given = df.select(F.col(key).cast("long").alias("key"), F.when(F.col(key).isNotNull() & usable(F.col(vector)), double).alias("v"))
-    rows = given.withColumn("v", F.when((square > 0) & (square < float("inf")), F.col("v")))
+    most = given.withColumn("most", F.array_max(F.transform("v", F.abs)))
+    # Squares of extreme components would leave the range of doubles: such vectors are scaled, which no cosine notices.
+    scaled = F.when(F.col("most").between(1e-100, 1e100), F.col("v")).otherwise(F.transform("v", lambda x: x / F.col("most")))
+    rows = most.select("key", F.when(F.col("most") > 0, scaled).alias("v"))
     distinct = materialised(
         rows.where(F.col("v").isNotNull()).groupBy("v").agg(F.min("key").alias("value"), F.count(F.lit(1)).alias("copies"))
         .withColumn("id", F.monotonically_increasing_id()), "vectors")

@@ -96,6 +96,12 @@ def test_every_length_has_its_links(spark):
     assert len(found) == len(rows) and all(r["n_links"] == 1 and r["component_id"] == r["vec_id"] // 2 * 2 for r in found)
 
 
+def test_vectors_of_extreme_length(spark):
+    rows = [(1, [1e160, 1e160]), (2, [1e160, 1.01e160]), (3, [1e-170, 1e-170]), (4, [5e-324, 0.0]), (5, [0.0, 3e-320]), (6, [1.0, 1.0]), (7, [0.0, 0.0]), (8, [1.7e308, -1.7e308])]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in forest.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert found == {1: (3, 1), 2: (3, 1), 3: (3, 1), 6: (3, 1), 4: (0, 4), 5: (0, 5), 7: (0, 7), 8: (0, 8)}
+
+
 def test_forest_of_nothing(spark):
     assert forest.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, kept string")).count() == 0
     only = spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
