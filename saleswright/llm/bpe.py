@@ -16,7 +16,7 @@ from .common import free_name, table
 
 # Fixed value: the pattern by which byte-level BPE splits a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A worker forgets its words beyond so many, to bound its memory; they are then encoded again.
+#: A worker keeps the words of two generations of at most so many: those that recur move on, the others are forgotten.
 CACHED_WORDS = 200_000
 
 
@@ -49,39 +49,57 @@ class ByteBPE:
         self.rank = {(to_bytes(a), to_bytes(b)): i for i, (a, b) in enumerate(pairs)}
         self.split = regex.compile(PATTERN)
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        whole = lambda t: len(t) == 1 or self.merged(t) == [t]
+        #: Of each token the rank of its last merge and the two parts it joined; bytes have no merge.
+        self.born: dict[bytes, int] = {}
+        self.parts: dict[bytes, tuple[bytes, bytes]] = {}
         #: Tokens that the merges give for their own bytes; others never occur.
-        self.reached = {t for t in self.ids if whole(t)}
+        self.reached = {t for t in self.ids if self.learn_history(t)}
         #: Ends of tokens: no token ends with anything else.
         self.ends = {t[i:] for t in self.reached for i in range(len(t))}
-        self.pairs: dict[bytes, dict[bytes, bool]] = {}
-        self.known_pairs = 0
         self.words: dict[str, bytes] = {}
-
-    def merged(self, data: bytes) -> list[bytes]:
-        """The merges applied one by one, lowest rank first, leftmost first."""
+        self.older: dict[str, bytes] = {}
+
+    def learn_history(self, token: bytes) -> bool:
+        """Whether the merges give the token for its bytes; keeps its last merge."""
+        if len(token) == 1:
+            self.born[token] = -1
+            return True
+        *_, last = self.merges_of(token)
+        if len(last) != 2 or (last[0], last[1]) not in self.rank:
+            return False
+        self.born[token], self.parts[token] = self.rank[last[0], last[1]], (last[0], last[1])
+        return True
+
+    def merges_of(self, data: bytes) -> Iterator[list[bytes]]:
+        """The parts before each merge, lowest rank first, leftmost first, and what is left before the last one or without any."""
         parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best = min((self.rank.get(p, len(self.rank)), i) for i, p in enumerate(zip(parts, parts[1:])))
-            if best[0] == len(self.rank):
-                break
+        while True:
+            best = min(((self.rank.get(p, len(self.rank)), i) for i, p in enumerate(zip(parts, parts[1:]))), default=(len(self.rank), 0))
+            yield parts
+            if best[0] == len(self.rank) or len(parts) == 2:
+                return
             at = best[1]
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+            parts = [*parts[:at], parts[at] + parts[at + 1], *parts[at + 2:]]
 
     def fits(self, before: bytes, token: bytes) -> bool:
-        """Whether the merges keep the border between two tokens."""
-        known = self.pairs.get(before)
-        if known is None:
-            if self.known_pairs > CACHED_WORDS:
-                self.pairs.clear()
-                self.known_pairs = 0
-            known = self.pairs[before] = {}
-        found = known.get(token)
-        if found is None:
-            self.known_pairs += 1
-            found = known[token] = self.merged(before + token) == [before, token]
-        return found
+        """Whether the merges keep the border between two tokens.
+
+        Backward in time, the later of the two last merges beside the border is undone. In between, the two parts at
+        the border stood side by side; had their own merge come before the one undone, the border would be gone. Of
+        equal ranks the leftmost merge comes first: the border's before one on its right, but behind one on its left.
+        """
+        rank, born, parts = self.rank, self.born, self.parts
+        limit = len(rank)
+        while True:
+            if rank.get((before, token), limit) < limit:
+                return False
+            left, right = born[before], born[token]
+            if left > right:
+                limit, before = left, parts[before][1]
+            elif right >= 0:
+                limit, token = right + 1, parts[token][0]
+            else:
+                return True
 
     def walk(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, list[int]]]:
         """Each distinct word with its ids, from a depth-first walk of the trie of all words.
@@ -118,12 +136,15 @@ class ByteBPE:
                 at -= len(last[at])
             yield word, tokens[::-1]
 
-    def learn(self, words: Iterable[str]) -> None:
-        new = {w.encode() for w in words if w not in self.words}
+    def learn(self, words: set[str]) -> None:
+        """Makes all of ``words`` known; those of the last generation that recur are taken over."""
+        new = words.difference(self.words)
         if len(self.words) + len(new) > CACHED_WORDS:
-            self.words.clear()
-            new = {w.encode() for w in words}
-        for word, ids in self.walk(new):
+            self.older, self.words = self.words, {}
+            new = words
+        for w in new.intersection(self.older):
+            self.words[w] = self.older[w]
+        for word, ids in self.walk(w.encode() for w in new.difference(self.older)):
             self.words[word.decode()] = np.array(ids, "<u4").tobytes()
 
     def pieces(self, text: str) -> list[str | int]:
@@ -141,8 +162,8 @@ class ByteBPE:
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers, one after the other."""
         split = [self.pieces(t) for t in texts]
-        known = self.words
         self.learn({w for pieces in split for w in pieces if w.__class__ is str})
+        known = self.words
         special = {i: np.array([i], "<u4").tobytes() for i in self.special.values()}
         return [b"".join([known[w] if w.__class__ is str else special[w] for w in pieces]) for pieces in split]
 
