@@ -14,7 +14,7 @@ from .common import table
 CANDIDATE_BLOCK = 4096
 QUERY_BLOCK = 1024
 BLOCK_KEYS = ("d", "seg", "cb", "qb")
-LIST_SCHEMA = "query_id long, at long, d int, seg int, cb int, qb int, part long"
+LIST_SCHEMA = "ask long, at long, d int, seg int, cb int, qb int, part long"
 
 
 def usable(vector: Column) -> Column:
@@ -45,7 +45,9 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 5, segme
     """(query_id, rank, vec_id, score): the k rows of highest integer inner product for each query.
 
     ``vectors`` and ``queries`` have vec_id long and v array<long>, usable and not null; only vectors as long as
-    the query's take part, and none is its own candidate. Ties go to the smaller vec_id.
+    the query's take part. Rows with the query's vec_id are not its candidates, whatever their vectors. Ties go to
+    the smaller vec_id. A query row that is repeated, or a vec_id with several vectors, is answered once for each row; a
+    candidate row that is repeated is an answer as often as it occurs. Other columns are left out; empty tables give no rows.
 
     A vector is cut into ``segments``; its score is the sum of the segments' parts. (1) For each query and
     segment, the k highest parts are gathered, and the rows they belong to are scored in full: the k-th best
@@ -57,10 +59,11 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 5, segme
     """
     # The limit by row number is taken in each map task before the shuffle, so a hot vector sends k + 1 rows from each.
     same = Window.partitionBy("v").orderBy("vec_id")
-    few = vectors.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k + 1).drop("_n")
-    rows = materialised(few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    each = vectors.groupBy("v", "vec_id").agg(F.count(F.lit(1)).alias("n"))
+    few = each.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k + 1).drop("_n")
+    rows = materialised(few.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("vec_id", "n"))).alias("ids"))
                         .withColumn("at", F.monotonically_increasing_id()).withColumn("d", F.size("v")), "candidates")
-    asked = materialised(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.size("v").alias("d")), "queries")
+    asked = materialised(queries.select(F.monotonically_increasing_id().alias("ask"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.size("v").alias("d")), "queries")
     n, m = rows.count(), asked.count()
     cuts, query_cuts = max(1, -(-n // block)), max(1, -(-m // QUERY_BLOCK))
 
@@ -74,8 +77,8 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 5, segme
         .select("d", "s.seg", "cb", F.explode(F.sequence(F.lit(0), F.lit(query_cuts - 1))).alias("qb"), F.col("at").alias("id"), F.col("s.x").alias("x"))
 
     def right(frame: DataFrame) -> DataFrame:
-        return frame.select("query_id", "d", "cut", F.pmod(F.xxhash64(F.lit(6), "query_id"), F.lit(query_cuts)).cast("int").alias("qb"), F.explode(segment("q")).alias("s")) \
-            .select("d", "s.seg", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))).alias("cb"), "qb", F.col("query_id").alias("id"), F.col("s.x").alias("x"), "cut")
+        return frame.select("ask", "d", "cut", F.pmod(F.xxhash64(F.lit(6), "ask"), F.lit(query_cuts)).cast("int").alias("qb"), F.explode(segment("q")).alias("s")) \
+            .select("d", "s.seg", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))).alias("cb"), "qb", F.col("ask").alias("id"), F.col("s.x").alias("x"), "cut")
 
     def compare(key: tuple, a: pd.DataFrame, b: pd.DataFrame, pick) -> pd.DataFrame:
         c, q = _matrix(a["x"]), _matrix(b["x"])
@@ -100,40 +103,42 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 5, segme
         if not len(pairs):
             return _list(key, *[np.empty(0, np.int64)] * 3)
         sides = []
-        for query, ids in ((False, pairs["at"]), (True, pairs["query_id"])):
+        for query, ids in ((False, pairs["at"]), (True, pairs["ask"])):
             own = both[both["query"] == query].sort_values("id")
             sides.append((_matrix(own["x"]), np.searchsorted(own["id"].to_numpy(), ids.to_numpy())))
         (c, j), (q, i) = sides
         part = np.concatenate([_paired(q[i[n:n + 65536]], c[j[n:n + 65536]]) for n in range(0, len(i), 65536)])
-        return _list(key, pairs["query_id"].to_numpy(), pairs["at"].to_numpy(), part)
+        return _list(key, pairs["ask"].to_numpy(), pairs["at"].to_numpy(), part)
 
     def complete(given: DataFrame) -> DataFrame:
-        """(query_id, at, score) of all pairs in the lists: the parts that are missing are looked up, block by block."""
-        seen = materialised(given.groupBy("query_id", "at", "d", "cb", "qb").agg(
-            F.sum("part").alias("part"), F.sum(F.pow(F.lit(2), F.col("seg")).cast("long")).alias("segs")), "seen")
+        """(ask, at, score) of all pairs in the lists: the parts that are missing are looked up, block by block."""
+        seen = materialised(given.groupBy("ask", "at", "d", "cb", "qb").agg(
+            F.sum("part").alias("part"), F.bit_or(F.expr("shiftleft(1L, seg)")).alias("segs")), "seen")
         open_ = F.filter(F.sequence(F.lit(0), F.lit(segments - 1)), lambda s: F.getbit("segs", s) == 0)
-        missing = seen.select("query_id", "at", "d", F.explode(open_).alias("seg"), "cb", "qb")
+        missing = seen.select("ask", "at", "d", F.explode(open_).alias("seg"), "cb", "qb")
         sides = left.withColumn("query", F.lit(False)).unionByName(right(nothing).drop("cut").withColumn("query", F.lit(True)))
         found = sides.groupBy(*BLOCK_KEYS).cogroup(missing.groupBy(*BLOCK_KEYS)).applyInPandas(lookup, LIST_SCHEMA)
-        return seen.select("query_id", "at", "part").unionByName(found.select("query_id", "at", "part")).groupBy("query_id", "at").agg(F.sum("part").alias("score"))
+        return seen.select("ask", "at", "part").unionByName(found.select("ask", "at", "part")).groupBy("ask", "at").agg(F.sum("part").alias("score"))
 
     def ranked(totals: DataFrame) -> DataFrame:
-        each = totals.join(rows.select("at", "ids"), "at").select("query_id", F.explode("ids").alias("vec_id"), "score").where("query_id <> vec_id")
-        order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+        named = totals.join(rows.select("at", "ids"), "at").join(asked.select("ask", "query_id"), "ask")
+        each = named.select("ask", "query_id", F.explode("ids").alias("id"), "score").where("query_id <> id.vec_id")
+        each = each.select("ask", "query_id", F.col("id.vec_id").alias("vec_id"), F.explode(F.sequence(F.lit(1), F.least("id.n", F.lit(k)).cast("int"))).alias("copy"), "score")
+        order = Window.partitionBy("ask").orderBy(F.col("score").desc(), "vec_id", "copy")
         return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    by_part = Window.partitionBy("query_id", "seg").orderBy(F.col("part").desc(), "at")
+    by_part = Window.partitionBy("ask", "seg").orderBy(F.col("part").desc(), "at")
     lists = blocks(nothing, best).withColumn("_n", F.row_number().over(by_part)).where(F.col("_n") <= k + 1).drop("_n")
     first = ranked(complete(lists))
-    cutoff = first.groupBy("query_id").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    cutoff = first.groupBy("ask").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
     # The greatest integer below low / segments; parts from there on are given, a little more than needed.
     below = F.col("low") - 1
     share = ((below - F.pmod(below, F.lit(segments))) / F.lit(segments)).cast("long")
     # Where fewer than k rows were found, nothing may be left out.
-    cut = materialised(asked.join(cutoff, "query_id", "left").select(
-        "query_id", "q", "d", "low", F.coalesce(share, F.lit(-(1 << 63)).cast("long")).alias("cut")), "cutoffs")
+    cut = materialised(asked.join(cutoff, "ask", "left").select(
+        "ask", "q", "d", "low", F.coalesce(share, F.lit(-(1 << 63)).cast("long")).alias("cut")), "cutoffs")
     totals = complete(blocks(cut, enough))
-    hopeful = totals.join(cut.select("query_id", "low"), "query_id").where(F.col("low").isNull() | (F.col("score") >= F.col("low")))
+    hopeful = totals.join(cut.select("ask", "low"), "ask").where(F.col("low").isNull() | (F.col("score") >= F.col("low")))
     return ranked(hopeful).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -143,7 +148,7 @@ def _matrix(x: pd.Series) -> np.ndarray:
 
 def _list(key: tuple, query: np.ndarray, at: np.ndarray, part: np.ndarray) -> pd.DataFrame:
     d, seg, cb, qb = (np.int32(x) for x in key)
-    return pd.DataFrame({"query_id": query, "at": at, "d": d, "seg": seg, "cb": cb, "qb": qb, "part": part})
+    return pd.DataFrame({"ask": query, "at": at, "d": d, "seg": seg, "cb": cb, "qb": qb, "part": part})
 
 
 def _paired(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -160,10 +165,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  SELECT row_number() OVER () AS ask, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  SELECT q.ask, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+FROM (SELECT *, row_number() OVER (PARTITION BY ask ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""

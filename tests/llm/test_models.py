@@ -102,6 +102,17 @@ def test_top_inner_products(spark, segments, block):
     assert sorted(tuple(r) for r in found.collect()) == plain_top(rows, queries, 5)
 
 
+def test_repeated_rows_are_asked_and_answered_each(spark):
+    draw = np.random.default_rng(14)
+    rows = [(i, draw.integers(-9, 10, 6).tolist()) for i in range(120)]
+    rows += [(0, rows[0][1]), (0, rows[0][1]), (0, rows[5][1]), (20, rows[7][1]), (33, rows[33][1]), (33, rows[33][1])] + [(40, rows[i][1]) for i in range(30)]
+    queries = [r for r in rows if r[0] % 20 == 0]
+    frame = lambda x: spark.createDataFrame(x, "vec_id long, v array<long>").repartition(3)
+    for segments, block in ((2, 4096), (3, 40)):
+        found = topk.top_inner_products(frame(rows), frame(queries), 5, segments, block)
+        assert sorted(tuple(r) for r in found.collect()) == plain_top(rows, queries, 5)
+
+
 def test_large_components_and_bad_vectors(spark):
     big = 1 << 30
     rows = [(i, [big - i, 3, -(i**2)]) for i in range(20)]
