@@ -21,8 +21,8 @@ CLASSES, MEMBERS = 32, 16
 CELLS = CLASSES * MEMBERS
 #: Rows of the weight tables that features are hashed into: for classes, and for members of a class.
 CLASS_ROWS = MEMBER_ROWS = 1 << 15
-#: Each training text is in one of so many gradient updates.
-ROUNDS = 3
+#: Passes over all training texts; in each, a task takes a gradient step for every chunk, and the tasks' weights are averaged.
+PASSES = 1
 RATE, SMOOTH, LARGEST = 0.4, 20.0, 6.0
 #: Tokens of a chunk of texts (a longer text is alone), of a task that sums gradients, and of a numpy batch.
 CHUNK, TASK, BATCH = 1 << 20, 8 << 20, 1 << 14
@@ -154,20 +154,28 @@ def _add_rows(total: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     total[own[first]] += np.add.reduceat(ordered, first, axis=0)
 
 
-SIZES = (CLASS_ROWS * CLASSES, CLASS_ROWS, MEMBER_ROWS * MEMBERS, MEMBER_ROWS * MEMBERS)
+SIZES = (CLASS_ROWS * CLASSES, CLASS_ROWS, MEMBER_ROWS * MEMBERS, MEMBER_ROWS)
 
 
-def _gradients(batches: Iterator[pa.RecordBatch], model: Model, turn: int) -> Iterator[pa.RecordBatch]:
-    """Sums over one round's training texts: observed minus expected, and what scales them, in blocks that are not zero."""
-    seen, expected = np.zeros(CLASS_ROWS * CLASSES), np.zeros((CLASS_ROWS, CLASSES), np.float32)
-    member_seen, e = np.zeros(MEMBER_ROWS * MEMBERS), np.zeros((MEMBER_ROWS, MEMBERS), np.float32)
+def _steps(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """A task's gradient steps, one for the training texts of each chunk; then its weights, times how often each row was on.
+
+    A step is what was observed less what was expected, over the mass of all the task has seen, so steps grow smaller.
+    Both tables come out in blocks, of which those that are zero are left out.
+    """
+    model = Model(model.class_prior, model.member_prior, model.class_weights.copy(), model.member_weights.copy())
+    prior = np.exp(model.class_prior)
+    rows_on, members_on = np.zeros(CLASS_ROWS, np.float32), np.zeros(MEMBER_ROWS, np.float32)
+    mass = np.zeros((MEMBER_ROWS, MEMBERS), np.float32)
     for batch in batches:
-        for number, train, lens, ids, hashes in zip(*(batch.column(c).to_pylist() for c in ("chunk", "train", "lens", "ids", "hashes"))):
+        for learned, lens, ids, hashes in zip(*(batch.column(c).to_pylist() for c in ("train", "lens", "ids", "hashes"))):
             chunk = Chunk(lens, ids, hashes)
-            use = np.array(train) & ((np.arange(len(lens)) + number) % ROUNDS == turn)
-            places = np.flatnonzero(np.repeat(use, chunk.lens))
+            places = np.flatnonzero(np.repeat(np.array(learned, bool), chunk.lens))
+            if not len(places):
+                continue
             # In order of the last word: its row is then the same for many tokens in a row.
             places = places[np.argsort(chunk.last_row(places), kind="stable")]
+            expected, e = np.zeros((CLASS_ROWS, CLASSES), np.float32), np.zeros((MEMBER_ROWS, MEMBERS), np.float32)
             observed: list[list[np.ndarray]] = [[], []]
             for low in range(0, len(places), BATCH):
                 rows, members, cell = chunk.features(places[low:low + BATCH])
@@ -180,13 +188,15 @@ def _gradients(batches: Iterator[pa.RecordBatch], model: Model, turn: int) -> It
                 for r in members:
                     _add_rows(e, r, q)
                     observed[1].append(r.astype(np.int32) * MEMBERS + cell % MEMBERS)
-            for total, found in zip((seen, member_seen), observed):
-                if found:
-                    total += np.bincount(np.concatenate(found), minlength=len(total))
-    seen = seen.reshape(CLASS_ROWS, CLASSES)
-    g, n = (seen - expected).astype(np.float32), seen.sum(axis=1).astype(np.float32)
-    u = (member_seen.reshape(MEMBER_ROWS, MEMBERS) - e).astype(np.float32)
-    flat = np.concatenate([x.ravel() for x in (g, n, u, e)]).reshape(-1, BLOCK)
+            seen, member_seen = (np.bincount(np.concatenate(found), minlength=x.size).reshape(x.shape) for found, x in zip(observed, (expected, e)))
+            rows_on += seen.sum(axis=1, dtype=np.float32)
+            members_on += member_seen.sum(axis=1, dtype=np.float32)
+            mass += e
+            step = RATE * (seen - expected) / (rows_on[:, None] * prior + SMOOTH)
+            model.class_weights = np.clip(model.class_weights + step, -LARGEST, LARGEST).astype(np.float32)
+            step = RATE * (member_seen - e) / (mass + SMOOTH)
+            model.member_weights = np.clip(model.member_weights + step, -LARGEST, LARGEST).astype(np.float32)
+    flat = np.concatenate([(model.class_weights * rows_on[:, None]).ravel(), rows_on, (model.member_weights * members_on[:, None]).ravel(), members_on]).reshape(-1, BLOCK)
     some = np.flatnonzero(flat.any(axis=1))
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([flat[i].tobytes() for i in some], pa.binary())], names=["block", "x"])
 
@@ -199,7 +209,9 @@ def _summed(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
 
 
 def train(chunks: DataFrame, cells: pd.DataFrame, tokens: int) -> Model:
-    """Gradient updates, each summed over the executors; only tables of fixed size (weights, gradients) reach the driver."""
+    """Passes of gradient steps on the executors; only tables of fixed size (weights) reach the driver.
+
+    The weights of a row are averaged over the tasks, each counting as often as it had the row on."""
     spark = chunks.sparkSession
     mass = np.ones(CELLS)
     mass[cells["cell"].to_numpy(int)] += cells["n"].to_numpy() + cells["v"].to_numpy()
@@ -207,21 +219,16 @@ def train(chunks: DataFrame, cells: pd.DataFrame, tokens: int) -> Model:
     prior = mass.sum(axis=1) / mass.sum()
     model = Model(np.log(prior).astype(np.float32), np.log(mass / mass.sum(axis=1, keepdims=True)).astype(np.float32),
                   np.zeros((CLASS_ROWS, CLASSES), np.float32), np.zeros((MEMBER_ROWS, MEMBERS), np.float32))
-    seen, expected = np.zeros(CLASS_ROWS), np.zeros((MEMBER_ROWS, MEMBERS))
-    source = chunks.select("chunk", "train", "lens", "ids", "hashes").coalesce(max(1, -(-tokens // TASK)))
-    for turn in range(ROUNDS):
+    source = chunks.select("train", "lens", "ids", "hashes").coalesce(max(1, -(-tokens // TASK)))
+    for _ in range(PASSES):
         shared = spark.sparkContext.broadcast(model)
-        blocks = source.mapInArrow(lambda b, turn=turn, shared=shared: _gradients(b, shared.value, turn), "block int, x binary")
+        blocks = source.mapInArrow(lambda b, shared=shared: _steps(b, shared.value), "block int, x binary")
         flat = np.zeros((sum(SIZES) // BLOCK, BLOCK), np.float32)
         for r in blocks.groupBy("block").applyInPandas(_summed, "block int, x binary").collect():
             flat[r["block"]] = np.frombuffer(r["x"], np.float32)
-        g, n, u, e = np.split(flat.ravel(), np.cumsum(SIZES)[:-1])
-        seen += n
-        expected += e.reshape(MEMBER_ROWS, MEMBERS)
-        step = RATE * g.reshape(CLASS_ROWS, CLASSES) / (seen[:, None] * prior + SMOOTH)
-        model.class_weights = np.clip(model.class_weights + step, -LARGEST, LARGEST).astype(np.float32)
-        step = RATE * u.reshape(MEMBER_ROWS, MEMBERS) / (expected + SMOOTH)
-        model.member_weights = np.clip(model.member_weights + step, -LARGEST, LARGEST).astype(np.float32)
+        w, n, u, m = np.split(flat.ravel(), np.cumsum(SIZES)[:-1])
+        model.class_weights = w.reshape(CLASS_ROWS, CLASSES) / np.maximum(n, 1)[:, None]
+        model.member_weights = u.reshape(MEMBER_ROWS, MEMBERS) / np.maximum(m, 1)[:, None]
         shared.unpersist()
     return model
 
@@ -266,7 +273,8 @@ def score_texts(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "
 
     Texts become token numbers once, in chunk rows with a vocabulary each; these are written, bucketed by chunk.
     Counts are summed over all chunks' vocabularies and joined back by word: a frequent word is there once for
-    each chunk, not for each occurrence. Training takes ``ROUNDS`` updates over all learned texts.
+    each chunk, not for each occurrence. Training goes over all learned texts
+    ``PASSES`` times, a gradient step for each chunk. The rows of hashed features are of a fixed number, whatever the corpus.
     """
     spark = df.sparkSession
     source = df.select(F.col(key).cast("long").alias("doc"), F.coalesce(learn, F.lit(False)).alias("train"), F.col(text).cast("binary").alias("text"))
