@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import accuracy, calendars, cleaning, events, explanations, features, forecasts, hierarchies, lookups, storage, timers
+from . import accuracy, calendars, cleaning, events, explanations, features, forecasts, hierarchies, lookups, observed, storage, timers
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (storage, cleaning, features, calendars, accuracy, forecasts, hierarchies, explanations, lookups, events, timers)
+_MODULES = (storage, cleaning, features, calendars, accuracy, forecasts, hierarchies, explanations, lookups, events, timers, observed)
 
 
 def queries() -> dict[str, Query]:

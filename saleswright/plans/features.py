@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_HORIZON, LAGS, WINDOWS
@@ -33,13 +33,15 @@ def calendar_features(df: DataFrame, horizon: int, absent: str, keys: Sequence[s
 
 
 def build_feature_matrix(
-    df: DataFrame, horizon: int = DEFAULT_HORIZON, year_blocks: bool = False, calendar: str | None = None, merge_days: bool = False
+    df: DataFrame, horizon: int = DEFAULT_HORIZON, year_blocks: bool = False, calendar: str | None = None, merge_days: bool = False,
+    counted: Observation | None = None,
 ) -> DataFrame:
     """Feature matrix of a fact with one row per series and day.
 
     ``merge_days`` first adds up the rows of a series and day, for facts that have many; combined before the
     shuffle. ``year_blocks`` splits long series over tasks at the price of a second shuffle. ``calendar`` makes windows and lags go by day
-    instead of by row; it says what a day without a row counts as, ``zero`` or ``skip``. Rows without the longest lag go.
+    instead of by row; it says what a day without a row counts as, ``zero`` or ``skip``. Rows without the longest lag go;
+    ``counted`` observes n_rows and n_dropped of that rule.
     """
     if merge_days:
         sums = [c for c in ("sales", "onpromotion") if c in df.columns]
@@ -55,5 +57,7 @@ def build_feature_matrix(
         windowed = in_year_blocks(df, reach, lambda part, keys: window_features(part, horizon, keys))
     else:
         windowed = window_features(df, horizon)
+    if counted:
+        windowed = windowed.observe(counted, F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(f"sales_lag_{horizon}").isNull()).alias("n_dropped"))
     kept = drop_warmup(windowed, horizon)
     return date_features(kept).withColumn("unique_id", series_id(F.col("store_nbr"), F.col("family")))
