@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.stages import materialised
-from .common import free_name, table
+from .common import WORD, free_name, table
 
-#: Shortest run of lines that counts as repeated.
+#: A run of so many lines counts as repeated, whatever they hold.
 RUN = 3
+#: A run of fewer lines counts if it holds so many words.
+WORDS = 50
 
 
 def line_hashes(text: str) -> np.ndarray:
@@ -39,37 +41,57 @@ def window_hashes(hashes: np.ndarray, run: int) -> np.ndarray:
     return h
 
 
-def _positions(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
-    """A row for each selected place: document, place, line hash, and the windows (start, hash) that selected it."""
+def counted_windows(text: str, run: int, words: int) -> tuple[np.ndarray, ...]:
+    """The line hashes, then place, start, size and hash of the windows that count: ``run`` lines, or fewer with ``words`` words; by place.
+
+    The place is that of the line the window selects; windows of each size are winnowed on their own.
+    """
+    hashes = line_hashes(text)
+    held = np.cumsum([0, *(len(x.split()) for x in text.encode().split(b"\n"))])  # bytes are split at ASCII space alone
+    parts = []
+    for size in range(1, min(run, len(hashes)) + 1):
+        start = np.arange(len(hashes) - size + 1)
+        if size < run:
+            start = np.flatnonzero(held[size:] - held[:-size] >= words)
+        if len(start):
+            parts.append((winnow(hashes, size)[start], start, np.full(len(start), size), window_hashes(hashes, size)[start]))
+    if not parts:
+        return (hashes, *[np.empty(0, np.int64)] * 4)
+    columns = [np.concatenate(c) for c in zip(*parts)]
+    by_place = np.argsort(columns[0], kind="stable")
+    return hashes, *[c[by_place] for c in columns]
+
+
+def _positions(batches: Iterator[pa.RecordBatch], run: int, words: int) -> Iterator[pa.RecordBatch]:
+    """A row for each selected place: document, place, line hash, and the windows (start, size, hash) that selected it."""
     for batch in batches:
-        columns: list[list] = [[], [], [], [], []]
+        columns: list[list] = [[], [], [], [], [], []]
         sizes = [0]
         for at, text in enumerate(batch.column("text").to_pylist()):
-            hashes = line_hashes(text or "")
-            chosen = winnow(hashes, run)
+            hashes, chosen, start, size, window = counted_windows(text or "", run, words)
             if not len(chosen):
                 continue
-            places, first = np.unique(chosen, return_index=True)  # places never go back as windows move on
-            columns[0].append(np.full(len(places), at))
-            columns[1].append(places)
-            columns[2].append(hashes[places])
-            columns[3].append(np.arange(len(chosen)))
-            columns[4].append(window_hashes(hashes, run))
+            places, first = np.unique(chosen, return_index=True)
+            for column, values in zip(columns, (np.full(len(places), at), places, hashes[places], start, size, window)):
+                column.append(values)
             sizes += np.diff([*first, len(chosen)]).tolist()
-        doc, place, fp, start, window = (np.concatenate(c) if c else np.empty(0, np.int64) for c in columns)
-        windows = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(window.astype(np.uint64).view(np.int64))], names=["start", "window"])
+        doc, place, fp, start, size, window = (np.concatenate(c) if c else np.empty(0, np.int64) for c in columns)
+        windows = pa.StructArray.from_arrays(
+            [pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(window.astype(np.uint64).view(np.int64))], names=["start", "size", "window"])
         rows = pa.array(doc.astype(np.int64))
         yield pa.RecordBatch.from_arrays([
             batch.column("rid").take(rows), batch.column("doc").take(rows), pa.array(place.astype(np.int32)), pa.array(fp.astype(np.uint64).view(np.int64)),
             pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), windows)], names=["rid", "doc", "place", "fp", "windows"])
 
 
-def repeated_runs(df: DataFrame, run: int = RUN, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(rid, starts): for each text with repeats, the sorted places of its windows of ``run`` lines that occur earlier.
+def repeated_runs(df: DataFrame, run: int = RUN, words: int = WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(rid, runs): for each text with repeats, the sorted (start, size) of its windows that occur earlier.
 
     rid is :func:`row_id`. Earlier: in a document of smaller key (null keys last, ties by the text's hash), or before in the same text.
+    Windows are of ``run`` lines, or of fewer with ``words`` words: a run of equal lines that has either is
+    covered by them, so one line of that many words is enough.
 
-    Every window of ``run`` lines selects the line of least hash in it (winnowing), so two equal runs of that length or more
+    Every window selects the line of least hash in it (winnowing; a line alone selects itself), so two equal runs
     always select equal lines at equal places. Selected lines that occur once are dropped. From the others,
     matches are extended to both sides, over the windows that selected the line, by comparing the windows' hashes; the earliest place of
     each window is found by a minimum (combined before the shuffle) and joined back, so a line in a third of
@@ -77,14 +99,14 @@ def repeated_runs(df: DataFrame, run: int = RUN, text: str = "text", key: str =
     """
     source = df.select(row_id(df, key, text).alias("rid"), F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     places = materialised(source.mapInArrow(
-        lambda b: _positions(b, run), "rid long, doc long, place int, fp long, windows array<struct<start:int,window:long>>"), "places")
+        lambda b: _positions(b, run, words), "rid long, doc long, place int, fp long, windows array<struct<start:int,size:int,window:long>>"), "places")
     shared = materialised(places.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"), "shared")
     order = F.struct(F.col("doc").isNull().alias("none"), "doc", "rid", "start")
-    found = materialised(
-        places.join(shared, "fp").select("rid", "doc", "fp", F.explode("windows").alias("w")).select("rid", "doc", "fp", "w.start", "w.window"), "windows")
-    first = materialised(found.groupBy("fp", "window").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last").drop("last"), "first")
-    later = found.join(first, ["fp", "window"]).where(order > F.col("first"))
-    return later.groupBy("rid").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    same = ["fp", "size", "window"]
+    found = materialised(places.join(shared, "fp").select("rid", "doc", "fp", F.explode("windows").alias("w")).select("rid", "doc", "fp", "w.*"), "windows")
+    first = materialised(found.groupBy(same).agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last").drop("last"), "first")
+    later = found.join(first, same).where(order > F.col("first"))
+    return later.groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("start", "size"))).alias("runs"))
 
 
 def row_id(df: DataFrame, key: str, text: str):
@@ -92,18 +114,18 @@ def row_id(df: DataFrame, key: str, text: str):
     return F.xxhash64(df[key].cast("long"), df[text])
 
 
-def _without(batches: Iterator[pa.RecordBatch], run: int, kept: list[str], text: str) -> Iterator[pa.RecordBatch]:
+def _without(batches: Iterator[pa.RecordBatch], kept: list[str], text: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out, spans = [], []
-        for t, starts in zip(batch.column(text).to_pylist(), batch.column("_starts").to_pylist()):
-            if not starts:
+        for t, runs in zip(batch.column(text).to_pylist(), batch.column("_runs").to_pylist()):
+            if not runs:
                 out.append(t)
                 spans.append([])
                 continue
             lines = t.split("\n")
             gone = np.zeros(len(lines) + 2, np.int8)
-            for s in starts:
-                gone[s + 1:s + run + 1] = 1
+            for r in runs:
+                gone[r["start"] + 1:r["start"] + r["size"] + 1] = 1
             edge = np.flatnonzero(np.diff(gone))
             spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])])
             out.append("\n".join([x for x, g in zip(lines, gone[1:]) if not g]))
@@ -113,24 +135,24 @@ def _without(batches: Iterator[pa.RecordBatch], run: int, kept: list[str], text:
         yield pa.RecordBatch.from_arrays([*columns, lines_in, removed, pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=[*kept, "n_lines", "n_removed", "removed"])
 
 
-def dedup_lines(df: DataFrame, run: int = RUN, text: str = "text", key: str = "doc_id") -> DataFrame:
+def dedup_lines(df: DataFrame, run: int = RUN, words: int = WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``df`` with repeated lines cut out of ``text``; n_lines, n_removed and removed (spans of lines, end excluded) are added.
 
-    Lines are what newlines separate, compared as they are. A line goes if it lies in ``run`` or more consecutive lines that
-    also occur earlier (see :func:`repeated_runs`); the first occurrence stays. Judged on the input, not on
-    what is left. No row is dropped: a text of which nothing is left is empty. Null texts stay null with no lines;
-    texts of fewer than ``run`` lines stay as they are. Rows that agree in key and text are one document and do not
+    Lines are what newlines separate, compared as they are. A line goes if it lies in consecutive lines that also occur earlier and are
+    ``run`` or more, or hold ``words`` words (what is not ASCII space) or more (see :func:`repeated_runs`); the first occurrence
+    stays. Judged on the input, not on what is left. No row is dropped: a text of which nothing is left is empty. Null texts stay
+    null with no lines; an empty table gives an empty one; a text of any length is read whole, in one piece. Rows that agree in key and text are one document and do not
     delete each other. Columns called like the new ones are replaced.
     """
-    new = ("n_lines", "n_removed", "removed", "_starts")
+    new = ("n_lines", "n_removed", "removed", "_runs")
     kept = [c for c in df.columns if c.lower() not in new]
-    runs = repeated_runs(df, run, text, key)
+    runs = repeated_runs(df, run, words, text, key)
     rid = free_name(df, "_rid")
     # The runs grow with the input: a merge join at every size, so that no broadcast turns into a shuffle of all texts later.
-    found = materialised(runs.select(F.col("rid").alias(rid), F.col("starts").alias("_starts")), "runs").hint("merge")
-    joined = df.select(*kept, row_id(df, key, text).alias(rid)).join(found, rid, "left").select(*kept, "_starts")
+    found = materialised(runs.select(F.col("rid").alias(rid), F.col("runs").alias("_runs")), "runs").hint("merge")
+    joined = df.select(*kept, row_id(df, key, text).alias(rid)).join(found, rid, "left").select(*kept, "_runs")
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*kept).schema)
-    return joined.mapInArrow(lambda b: _without(b, run, kept, text), schema + "n_lines long, n_removed long, removed array<struct<start:int,end:int>>")
+    return joined.mapInArrow(lambda b: _without(b, kept, text), schema + "n_lines long, n_removed long, removed array<struct<start:int,end:int>>")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,15 +161,24 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def _window_sql(size: int) -> str:
+    """Windows of so many lines, and what they must hold to count."""
+    block = " || chr(10) || ".join(f"lead(line, {k}) OVER o" for k in range(size))
+    words = " + ".join(f"lead(words, {k}) OVER o" for k in range(size))
+    return f"""
+  SELECT doc_id, i, {size} AS size, block FROM (
+    SELECT doc_id, i, {block} AS block, {words} AS words FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY i))
+  WHERE block IS NOT NULL AND words >= {WORDS if size < RUN else 0}"""
+
+
 OP3_SQL = f"""
 WITH l AS (
-  SELECT doc_id, i, ls[i] AS line FROM (
+  SELECT doc_id, i, ls[i] AS line, len(regexp_extract_all(ls[i], '{WORD}')) AS words FROM (
     SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))),
-w AS (
-  SELECT doc_id, i, {" || chr(10) || ".join(f"lead(line, {k}) OVER (PARTITION BY doc_id ORDER BY i)" for k in range(RUN))} AS block FROM l),
+w AS ({" UNION ALL ".join(_window_sql(size) for size in range(1, RUN + 1))}),
 later AS (
-  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY block ORDER BY doc_id, i) AS k FROM w WHERE block IS NOT NULL) WHERE k > 1),
-gone AS (SELECT DISTINCT doc_id, i + k AS i FROM later, (SELECT unnest(range({RUN})) AS k)),
+  SELECT doc_id, i, size FROM (SELECT doc_id, i, size, row_number() OVER (PARTITION BY size, block ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM (SELECT doc_id, i, unnest(range(size)) AS k FROM later)),
 marked AS (
   SELECT l.*, g.i IS NOT NULL AS gone, coalesce(lag(g.i IS NOT NULL) OVER (PARTITION BY l.doc_id ORDER BY l.i), false) AS before
   FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i),

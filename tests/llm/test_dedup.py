@@ -194,28 +194,51 @@ def test_verified_links_connect_what_all_pairs_do():
 
 # --- lines --------------------------------------------------------------------------------------
 
-def plain_lines(rows, run):
-    seen, out = {}, []
-    for r in ordered(rows):
-        text = [] if r[1] is None else r[1].split("\n")
-        gone = set()
-        for p in range(len(text) - run + 1):
-            key = tuple(text[p:p + run])
-            if key in seen and seen[key] != (r[0], r[1], p):
-                gone.update(range(p, p + run))
-            seen.setdefault(key, (r[0], r[1], p))
-        out.append((r[0], None if r[1] is None else "\n".join(x for i, x in enumerate(text) if i not in gone), len(gone)))
+def plain_lines(rows, run, words):
+    """Maximal runs of lines that follow each other at an earlier place too, from each line on."""
+    at, out = {}, []
+    texts = list(dict.fromkeys(r[:2] for r in ordered(rows)))
+    split = [[] if t is None else t.split("\n") for _, t in texts]
+    gone = {t: set() for t in texts}
+    for d, text in enumerate(split):
+        for p, line in enumerate(text):
+            for e, q in at.get(line, ()):
+                n = 0
+                while p + n < len(text) and q + n < len(split[e]) and text[p + n] == split[e][q + n]:
+                    n += 1
+                if n >= run or sum(len(x.encode().split()) for x in text[p:p + n]) >= words:
+                    gone[texts[d]].update(range(p, p + n))
+            at.setdefault(line, []).append((d, p))
+    for r in rows:
+        cut = gone[r[:2]]
+        out.append((r[0], None if r[1] is None else "\n".join(x for i, x in enumerate(r[1].split("\n")) if i not in cut), len(cut)))
     return out
 
 
-@pytest.mark.parametrize("run", [1, 2, 3, 5])
-def test_lines(docs, run):
-    wanted = sorted(map(str, plain_lines(cases.documents(), run)))
-    found = lines.dedup_lines(docs.withColumn("n_removed", F.lit("x")).withColumn("_STARTS", F.lit(1)), run)
+def line_cases():
+    one, a, b = cases.prose(31, 55), cases.prose(32, 28), cases.prose(33, 22)
+    short = cases.prose(34, 49)
+    return cases.documents() + [
+        (300, "\n".join(["top", one, a, b, "end"]), "en", "a", 1), (301, one, "en", "a", 1), (302, one + "\n" + one, "en", "a", 1),
+        (303, "\n".join([cases.prose(35, 9), a, b]), "en", "a", 1), (304, a, "en", "a", 1), (305, b + "\n" + a, "en", "a", 1),
+        (306, short, "en", "a", 1), (307, short + "\nnew", "en", "a", 1), (308, short + "\nnew", "en", "a", 1), (None, one + "\u00a0x\n" + one, "en", "a", 1)]
+
+
+@pytest.mark.parametrize("run,words", [(1, 50), (2, 50), (3, 50), (5, 50), (3, 12), (4, 10 ** 9)])
+def test_lines(spark, run, words):
+    docs = spark.createDataFrame(line_cases(), cases.DOCUMENTS)
+    wanted = sorted(map(str, plain_lines(line_cases(), run, words)))
+    found = lines.dedup_lines(docs.withColumn("n_removed", F.lit("x")).withColumn("_RUNS", F.lit(1)), run, words)
     assert sorted(str((r["doc_id"], r["text"], r["n_removed"])) for r in found.collect()) == wanted
     assert "lang" in found.columns and found.columns.count("n_removed") == 1
 
 
+def test_a_repeated_line_of_fifty_words_goes_and_a_shorter_one_stays(spark):
+    docs = spark.createDataFrame(line_cases(), cases.DOCUMENTS)
+    cut = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(docs).collect() if r["doc_id"] and r["doc_id"] >= 300}
+    assert cut == {300: 0, 301: 1, 302: 2, 303: 2, 304: 0, 305: 0, 306: 0, 307: 0, 308: 2}
+
+
 def test_winnowing_keeps_one_place_of_each_window():
     draw = np.random.default_rng(1)
     h = draw.integers(0, 9, 300).astype(np.uint64)
