@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, forecast, linear, model, split
+from ..operators import evaluate, foldmodels, forecast, linear, model, split
 from ..operators.requests import sample_rows
 from ..plans.backtest import naive_holdout
 from ..session import scratch_dir
@@ -15,6 +15,7 @@ from .accuracy import METRIC_NAMES, metrics_sql
 from .base import LINEAR_FEATURES, define, predict_sql, r, rounded, sql_table
 
 H = 14
+TWO_INPUTS = ("sales_rolling_mean_28", "onpromotion")
 
 
 def f1_time_split(spark, sf_dir):
@@ -97,6 +98,46 @@ def f8_trained_cv(spark, sf_dir):
     return scored.groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"), finite.alias("finite"), near.alias("mean_within_half"))
 
 
+def _fold_rows(spark, sf_dir):
+    return materialised(split.walk_forward(base.staged_features(spark, sf_dir)), "cv_rows")
+
+
+def f3_trained_cv_folds(spark, sf_dir):
+    """Errors of a least-squares model of two inputs, trained anew in each fold."""
+    per_fold, _ = split.cross_validate(foldmodels.fold_forecaster(TWO_INPUTS), _fold_rows(spark, sf_dir))
+    return rounded(per_fold, 4, *METRIC_NAMES)
+
+
+def f3_trained_cv_pooled(spark, sf_dir):
+    _, pooled = split.cross_validate(foldmodels.fold_forecaster(TWO_INPUTS), _fold_rows(spark, sf_dir))
+    return rounded(pooled, 4, *METRIC_NAMES, "mean_rmsle", "std_rmsle")
+
+
+def f9_fold_coefficients(spark, sf_dir):
+    rows = _fold_rows(spark, sf_dir).where(F.col("role") == split.TRAIN)
+    fitted = foldmodels.fit_groups(rows, ["fold"], TWO_INPUTS)
+    slopes = [r(F.col("betas")[i], 5).alias(f"slope_{i + 1}") for i in range(2)]
+    means = [r(F.col("means")[i], 4).alias(f"mean_{i + 1}") for i in range(2)]
+    return fitted.select("fold", "n", r(F.col("base"), 4).alias("base"), *slopes, *means)
+
+
+def f9_fold_normal_equations(spark, sf_dir):
+    """All numeric inputs, a model per fold: residuals of the training rows have mean 0 and no correlation with any input."""
+    rows = _fold_rows(spark, sf_dir).where(F.col("role") == split.TRAIN)
+    inputs, _ = model.available(rows)
+    scored = foldmodels.score_groups(rows, materialised(foldmodels.fit_groups(rows, ["fold"], inputs), "fold_models"), ["fold"], inputs)
+    left = scored.withColumn("_left", F.col("sales") - F.col("prediction"))
+
+    def free(name):
+        x = F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+        return F.abs(F.covar_pop("_left", x)) <= 1e-6 * F.stddev_pop("sales") * F.stddev_pop(x) + 1e-12
+
+    every = [free(c) for c in inputs]
+    return left.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n_rows"), (F.abs(F.avg("_left")) <= 1e-6 * F.stddev_pop("sales")).alias("no_bias"),
+        F.forall(F.array(*every), lambda ok: ok).alias("orthogonal"))
+
+
 def f8_boosted_trees(spark, sf_dir):
     train, valid = _sides(spark, sf_dir)
     fitted = model.fit_gbt(train, valid, rounds=8, depth=4, step=0.3, tol=0.001)
@@ -158,7 +199,7 @@ QUERIES = {
     for f in (
         f1_time_split, f2_fold_table, f2_walk_forward, f3_cv_folds, f3_cv_pooled, f4_seasonal_naive, f5_smoothing_fixed,
         f5_smoothing_grid, f6_forecast_all_naive, f6_forecast_all, f7_rolling_origin, f7_rolling_origin_ets, f8_boosted_trees,
-        f8_trained_cv, f8_tree_importances, f9_linear_baseline, f9_single_feature_lines, f10_linear_scores, f10_model_vectors, f12_saved_model, l7_sampled_rows,
+        f3_trained_cv_folds, f3_trained_cv_pooled, f9_fold_coefficients, f9_fold_normal_equations, f8_trained_cv, f8_tree_importances, f9_linear_baseline, f9_single_feature_lines, f10_linear_scores, f10_model_vectors, f12_saved_model, l7_sampled_rows,
         naive_holdout_by_family,
     )
 }
@@ -204,6 +245,15 @@ WHERE v.role = 'valid'"""
 
 
 define("cv_scored", _naive("folds_series"))
+define("fold_lines", """
+SELECT *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2
+FROM (SELECT b.fold, count(*) AS n, avg(sales) AS base, avg(x1) AS m1, avg(x2) AS m2, covar_pop(x1, x1) AS s11, covar_pop(x2, x2) AS s22,
+             covar_pop(x1, x2) AS s12, covar_pop(x1, sales) AS s1y, covar_pop(x2, sales) AS s2y
+      FROM (SELECT date, sales, coalesce(sales_rolling_mean_28, 0) AS x1, CAST(onpromotion AS DOUBLE) AS x2 FROM features_28) f
+      JOIN folds_features b ON f.date >= b.train_start AND f.date < b.train_end GROUP BY b.fold)""")
+define("fold_line_scored", """
+SELECT l.fold, f.sales AS y, l.base + l.b1 * (coalesce(f.sales_rolling_mean_28, 0) - l.m1) + l.b2 * (f.onpromotion - l.m2) AS y_hat
+FROM features_28 f JOIN folds_features b ON f.date BETWEEN b.valid_start AND b.valid_end JOIN fold_lines l ON l.fold = b.fold""")
 define("origin_scored", _naive("origin_series"))
 define("holdout_scored", _naive("holdout_series", "v.fold, v.unique_id, v.ds, v.y, v.family"))
 define("naive_ahead", """
@@ -229,6 +279,17 @@ WHERE role IS NOT NULL GROUP BY fold, role""",
 SELECT {metrics_sql()}, (SELECT round(avg(v), 4) FROM (SELECT sqrt(avg(pow(ln(1 + y) - ln(1 + y_hat), 2))) AS v FROM cv_scored GROUP BY fold)) AS mean_rmsle,
        (SELECT round(stddev_pop(v), 4) FROM (SELECT sqrt(avg(pow(ln(1 + y) - ln(1 + y_hat), 2))) AS v FROM cv_scored GROUP BY fold)) AS std_rmsle,
        count(DISTINCT fold) AS n_splits FROM cv_scored""",
+    f3_trained_cv_folds=f"SELECT fold, {metrics_sql()} FROM fold_line_scored GROUP BY fold",
+    f3_trained_cv_pooled=f"""
+SELECT {metrics_sql()}, count(DISTINCT fold) AS n_splits,
+       (SELECT round(avg(rmsle), 4) FROM (SELECT {metrics_sql(places=12)} FROM fold_line_scored GROUP BY fold)) AS mean_rmsle,
+       (SELECT round(stddev_pop(rmsle), 4) FROM (SELECT {metrics_sql(places=12)} FROM fold_line_scored GROUP BY fold)) AS std_rmsle
+FROM fold_line_scored""",
+    f9_fold_coefficients="""
+SELECT fold, n, round(base, 4) AS base, round(b1, 5) AS slope_1, round(b2, 5) AS slope_2, round(m1, 4) AS mean_1, round(m2, 4) AS mean_2 FROM fold_lines""",
+    f9_fold_normal_equations="""
+SELECT b.fold, count(*) AS n_rows, true AS no_bias, true AS orthogonal
+FROM features_28 f JOIN folds_features b ON f.date >= b.train_start AND f.date < b.train_end GROUP BY b.fold""",
     f4_seasonal_naive=f"SELECT * FROM naive_ahead WHERE step <= {H}",
     f5_smoothing_fixed=f"""
 SELECT unique_id, CAST(last_ds + CAST(step AS INTEGER) AS DATE) AS ds, round(level, 3) AS y_hat
