@@ -110,12 +110,13 @@ def near_links(prints: DataFrame, distance: int, block: int = BLOCK) -> DataFram
 def wide_links(nodes: DataFrame, distance: int = 8, within: int = WITHIN, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between ids of ``nodes`` (id long, unique; f and g, two independent fingerprints) that may be alike.
 
-    A pair is a candidate if f or g have a variant for ``distance`` in common (whatever the bits elsewhere), and
-    is linked if f and g together differ in ``within`` or fewer of their 128 bits. Else as :func:`near_links`.
+    A pair is a candidate if f or g have a variant for ``distance`` in common. It is linked if f or g alone differ in
+    ``distance`` or fewer bits, which is what :func:`near_links` finds for each of them, or else if they together differ in ``within``
+    or fewer of their 128 bits, whatever the segments. Else as :func:`near_links`.
     """
     keys = F.array(*_variant_keys(F.col("f"), distance), *[k.bitwiseXOR(F.lit(-1 << 63)) for k in _variant_keys(F.col("g"), distance)])
     keyed = nodes.select("id", "f", "g", F.explode(keys).alias("k"))
-    return _dealt(keyed, block).mapInArrow(lambda batches: _compare(batches, within, ("f", "g")), "a long, b long")
+    return _dealt(keyed, block).mapInArrow(lambda batches: _compare(batches, within, ("f", "g"), distance), "a long, b long")
 
 
 def _dealt(keyed: DataFrame, block: int) -> DataFrame:
@@ -133,8 +134,8 @@ def _dealt(keyed: DataFrame, block: int) -> DataFrame:
     return grouped.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").select("k", "i", "j", *columns)
 
 
-def _compare(batches: Iterator[pa.RecordBatch], distance: int, prints: Sequence[str] = ("id",)) -> Iterator[pa.RecordBatch]:
-    """Links between ids of one group whose ``prints`` together differ in ``distance`` or fewer bits."""
+def _compare(batches: Iterator[pa.RecordBatch], distance: int, prints: Sequence[str] = ("id",), alone: int = -1) -> Iterator[pa.RecordBatch]:
+    """Links between ids of one group whose ``prints`` together differ in ``distance`` or fewer bits, or one of them in ``alone`` or fewer."""
     held: list[np.ndarray] = [np.empty(0, np.int64) for _ in range(3 + len(prints))]
     links: list[np.ndarray] = []
     found = 0
@@ -154,7 +155,8 @@ def _compare(batches: Iterator[pa.RecordBatch], distance: int, prints: Sequence[
             step += 1
             at = at[at + step < len(ids)]
             at = at[(key[at] == key[at + step]) & (group[at] == group[at + step])]
-            near = at[sum(np.bitwise_count((x[at] ^ x[at + step]).view(np.uint64)) for x in bits) <= distance]
+            differ = [np.bitwise_count((x[at] ^ x[at + step]).view(np.uint64)) for x in bits]
+            near = at[(sum(differ) <= distance) | (np.minimum.reduce(differ).astype(np.int64) <= alone)]
             if len(near):
                 links.append(np.stack([ids[near], ids[near + step]]))
                 found += len(near)

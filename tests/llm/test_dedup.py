@@ -181,6 +181,16 @@ def test_wide_links_find_pairs_at_the_least_similarity(spark, block):
     assert sum(a // 2 != b // 2 for a, b in found) < 10
 
 
+def test_one_near_fingerprint_links_whatever_the_other(spark):
+    # Jaccard 0.8, and 8 and 6 bits apart in one fingerprint but 24 and 25 in the other.
+    texts = ["w629764 w942384 w575523 w347936 w797306 w298691 w818151 w508504 w357521", "w5632 w723300 w234239 w684189 w458818 w115997 w247461 w359454 w874366"]
+    rows = [(2 * i + k, t if k else t.rsplit(" ", 1)[0]) for i, t in enumerate(texts) for k in (0, 1)]
+    prints = [(i, *simhash.two_fingerprints(np.frombuffer(simhash.shingle_set(t, 5, 42), "<u8"))) for i, t in rows]
+    links = simhash.wide_links(spark.createDataFrame(prints, "id long, f long, g long")).collect()
+    assert {tuple(sorted(r)) for r in links} == {(0, 1), (2, 3)}
+    assert sorted(r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [0, 2]
+
+
 def test_verified_links_connect_what_all_pairs_do():
     draw = np.random.default_rng(6)
     base = [set(draw.integers(0, 2**60, 30).tolist()) for _ in range(8)]
