@@ -1,7 +1,7 @@
 """Repeated requests under an exact lifetime: a request that is let through absorbs its repeats for a time, then the next one is.
 
 The span begins with the request that was let through, not with the clock. So whether a request passes depends on the
-whole chain before it: by pointer doubling over a batch, by a state on a stream.
+whole chain before it: by spans joined two by two over a batch, by a state on a stream.
 """
 
 from __future__ import annotations
@@ -23,33 +23,60 @@ def first_of_spans(events: DataFrame, keys: Sequence[str], ttl_seconds: int = 36
 
     Ties of time go by event_id. Every event points at the one that would follow it. Events are cut by key and
     clock span, so a busy key is many groups: the follower is in the next span, or else the first of a later one. The
-    chain from the first event of each key is then found by doubling the pointers, in as many rounds as its length has
-    bits. Null times are left out; null keys are a key.
+    chain from the first event of each key takes one event of a span at most. Spans are joined two by two, and of each table
+    only the events that are pointed at from an earlier one of the joined spans stay, so tables halve; on the way back the
+    chain is filled in. Null times are left out; null keys are a key.
     """
     ttl = ttl_seconds * 1_000_000
     rows = events.where(F.col("ts").isNotNull()).withColumn("_row", F.monotonically_increasing_id())
     rows = materialised(rows, "requests")
-    brief = rows.select(F.struct(*keys).alias("k"), F.unix_micros("ts").alias("us"), F.struct(F.unix_micros("ts"), "event_id", "_row").alias("me"))
+    links = materialised(_followers(rows, keys, ttl), "links")
+    levels = []
+    while links.where("upto >> 1 <> block >> 1").limit(1).count():
+        levels.append(links)
+        links = materialised(_joined(links), "links")
+    kept = links.where("head").select("row")
+    # All pointers are inside one pair of spans now; then those of the next smaller pairs, and so on.
+    for links in [links, *reversed(levels)]:
+        inside = links.where("next is not null and upto >> 1 = block >> 1").join(kept, "row", "left_semi")
+        kept = materialised(kept.unionByName(inside.select(F.col("next").alias("row"))), "kept")
+    return rows.join(kept.select(F.col("row").alias("_row")), "_row", "left_semi").drop("_row")
+
+
+def _followers(rows: DataFrame, keys: Sequence[str], ttl: int) -> DataFrame:
+    """row, block, next, upto, head: every event with its follower, the numbers of their spans among those of the key that have events, and whether it is its key's first."""
+    brief = rows.select(F.struct(*keys).alias("k"), F.unix_micros("ts").alias("us"), F.struct(F.unix_micros("ts").alias("us"), "event_id", "_row").alias("me"))
     brief = brief.withColumn("span", F.floor(F.col("us") / ttl))
     offset = F.pmod("us", F.lit(ttl))
-    asked = brief.select("k", (F.col("span") + 1).alias("span"), offset.alias("o"), F.lit(0).alias("kind"), F.lit(None).cast(brief.schema["me"].dataType).alias("me"), F.col("me").alias("of"))
-    there = brief.select("k", "span", offset.alias("o"), F.lit(1).alias("kind"), "me", F.lit(None).cast(brief.schema["me"].dataType).alias("of"))
-    onward = Window.partitionBy("k", "span").orderBy("o", "kind", "me").rowsBetween(0, Window.unboundedFollowing)
-    near = asked.unionByName(there).withColumn("near", F.first("me", ignorenulls=True).over(onward)).where("kind = 0")
-    firsts = brief.groupBy("k", "span").agg(F.min("me").alias("first"))
-    later = Window.partitionBy("k").orderBy("span").rangeBetween(2, Window.unboundedFollowing)
-    beyond = firsts.select("k", (F.col("span") + 1).alias("span"), F.min("first").over(later).alias("beyond"))
-    links = near.join(beyond.withColumnRenamed("k", "_k").withColumnRenamed("span", "_s"), F.col("k").eqNullSafe(F.col("_k")) & (F.col("span") == F.col("_s")))
-    links = links.select("k", F.col("of._row").alias("row"), F.coalesce("near", "beyond")["_row"].alias("next"))
-    heads = brief.groupBy("k").agg(F.min("me")["_row"].alias("row")).select("row", F.lit(True).alias("head"))
-    links = materialised(links.join(heads, "row", "left").select("row", "next", F.coalesce("head", F.lit(False)).alias("on")), "links")
-    while links.where("on and next is not null").limit(1).count():
-        jump = links.select(F.col("row").alias("next"), F.col("next").alias("after"))
-        hit = links.where("on and next is not null").select(F.col("next").alias("row"), F.lit(True).alias("hit")).distinct()
-        links = materialised(links.join(jump, "next", "left").join(hit, "row", "left").select(
-            "row", F.col("after").alias("next"), (F.col("on") | F.coalesce("hit", F.lit(False))).alias("on")), "links")
-    kept = links.where("on").select(F.col("row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").drop("_row")
+    none = F.lit(None).cast(brief.schema["me"].dataType)
+    asked = brief.select("k", (F.col("span") + 1).alias("span"), offset.alias("o"), F.lit(0).alias("kind"), none.alias("me"), F.col("me").alias("of"))
+    there = brief.select("k", "span", offset.alias("o"), F.lit(1).alias("kind"), "me", none.alias("of"))
+    # From the last one on: a frame that only grows costs a step a row, one that shrinks is summed up anew for each.
+    onward = Window.partitionBy("k", "span").orderBy(F.desc("o"), F.desc("kind"), F.desc("me"))
+    near = asked.unionByName(there).withColumn("near", F.last("me", ignorenulls=True).over(onward.rowsBetween(Window.unboundedPreceding, 0))).where("kind = 0")
+    spans = Window.partitionBy("k").orderBy("span")
+    firsts = brief.groupBy("k", "span").agg(F.min("me").alias("first")).select(
+        F.col("k").alias("_k"), (F.col("span") + 1).alias("_s"), F.row_number().over(spans).alias("block"), "first",
+        *[F.lead(c, n).over(spans).alias(f"{c}{n}") for c in ("span", "first") for n in (1, 2)])
+    # The first event of a span after the next one, and how many spans with events that is further on.
+    adjacent = F.col("span1") == F.col("_s")
+    beyond = firsts.select("_k", "_s", "block", F.col("first._row").alias("lead"), F.when(adjacent, F.col("first2")).otherwise(F.col("first1")).alias("beyond"),
+                           F.when(adjacent, 2).otherwise(1).alias("further"))
+    found = near.join(beyond, F.col("k").eqNullSafe(F.col("_k")) & (F.col("span") == F.col("_s")))
+    upto = F.when(F.col("near").isNotNull(), F.col("block") + 1).when(F.col("beyond").isNotNull(), F.col("block") + F.col("further"))
+    row = F.col("of._row")
+    return found.select(row.alias("row"), "block", F.coalesce("near", "beyond")["_row"].alias("next"), upto.alias("upto"), ((F.col("block") == 1) & (row == F.col("lead"))).alias("head"))
+
+
+def _joined(links: DataFrame) -> DataFrame:
+    """The same over spans twice as wide: heads, and the events that are pointed at from an earlier one of these."""
+    inside = F.shiftright("upto", 1) == F.shiftright("block", 1)
+    entered = links.where("upto >> 1 <> block >> 1").select(F.col("next").alias("row")).distinct()
+    stay = links.where("head").unionByName(links.where("not head").join(entered, "row", "left_semi"))
+    onward = links.select(F.col("row").alias("_at"), F.col("next").alias("_next"), F.col("upto").alias("_upto"))
+    crossing = stay.where(F.coalesce(~inside, F.lit(True)))
+    passing = stay.where(inside).join(onward, F.col("next") == F.col("_at")).select("row", "block", F.col("_next").alias("next"), F.col("_upto").alias("upto"), "head")
+    return crossing.unionByName(passing).withColumns({c: F.shiftright(c, 1) for c in ("block", "upto")})
 
 
 class Spans(_Timed):

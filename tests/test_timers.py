@@ -97,6 +97,17 @@ def test_a_long_chain_of_one_key(spark):
     assert {r["event_id"] for r in found.collect()} == chain(rows, 20)
 
 
+def test_chains_cost_their_events_and_not_their_squares(spark, monkeypatch):
+    written = []
+    keep = spans.materialised
+    monkeypatch.setattr(spans, "materialised", lambda df, name: written.append((name, df._jdf.queryExecution().toString(), keep(df, name))) or written[-1][2])
+    rows = sorted((s, "abc"[s % 3], "hit") for s in range(3000))
+    found = spans.first_of_spans(made(spark, rows), ["endpoint"], 30)
+    assert {r["event_id"] for r in found.collect()} == chain(rows, 30)
+    assert not any("unboundedfollowing" in plan.lower() for _, plan, _ in written)  # such a frame is summed up anew for each row
+    assert sum(df.count() for name, _, df in written if name == "links") < 3 * len(rows)
+
+
 @pytest.mark.parametrize("cuts", [1, 3])
 def test_spans_of_a_stream(spark, tmp_path, cuts):
     table, events, until = drained(spark, tmp_path, ROWS, cuts, lambda e: spans.first_of_spans_stream(e, ["endpoint"], 900), "spans")
