@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,54 +81,42 @@ def _joined(links: DataFrame) -> DataFrame:
 
 
 class Spans(_Timed):
-    """a: the time of the last request let through, in microseconds (b is 1 if there is one); waiting: those the watermark has not passed."""
+    """a: the time of the last request let through, in microseconds; b is 1 if there is one. The timer forgets it when its span has run out."""
 
     def __init__(self, by: Sequence[str], ttl: int) -> None:
         super().__init__(by, 0)
         self.ttl = ttl
 
-    def init(self, handle) -> None:
-        super().init(handle)
-        self.waiting = handle.getListState("waiting", "us long, event_id long")
-
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         a, b, timer = self.load()
-        new = [r for frame in rows for r in zip(frame["us"].tolist(), frame["event_id"].tolist())]
-        self.waiting.appendList(new)
-        # A watermark in milliseconds has passed an event once it is not below the next whole one.
-        first = math.ceil(min(us for us, _ in new) / 1000)
-        self.save(a, b, min(first, timer) if timer else first, timer)
-        return iter(())
+        us, event = (np.concatenate(x) for x in zip(*((np.array(f["us"]), np.array(f["event_id"])) for f in rows)))
+        order = np.argsort(us)
+        us, event = us[order], event[order]
+        found = []
+        at = int(np.searchsorted(us, a + self.ttl)) if b else 0
+        while at < len(us):
+            a = int(us[at])
+            found.append((a, int(event[at])))
+            at = int(np.searchsorted(us, a + self.ttl))
+        if found:
+            self.save(a, 1, math.ceil((a + self.ttl) / 1000), timer)
+        yield from self.frame(key, found, ["us", "event_id"])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        a, b, timer = self.load()
-        if not timer or expiredTimerInfo.getExpiryTimeInMs() != timer:
-            return
-        over = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(tuple(w) for w in self.waiting.get())
-        found = []
-        for us, event in waiting:
-            if us <= over and (not b or us >= a + self.ttl):
-                a, b = us, 1
-                found.append((us, event))
-        left = [w for w in waiting if w[0] > over]
-        self.waiting.put(left) if left else self.waiting.clear()
-        # Without waiting events the state is kept until the span has run out, then it tells nothing more.
-        timer = math.ceil(left[0][0] / 1000) if left else math.ceil((a + self.ttl) / 1000)
-        if not left and timer * 1000 <= over:
+        _, _, timer = self.load()
+        if timer and expiredTimerInfo.getExpiryTimeInMs() == timer:
             self.value.clear()
-        else:
-            self.handle.registerTimer(timer)
-            self.value.update((a, b, timer))
-        yield from self.frame(key, found, ["us", "event_id"])
+        return iter(())
 
 
 def first_of_spans_stream(events: DataFrame, keys: Sequence[str], ttl_seconds: int = 3600, late: str = "10 minutes") -> DataFrame:
     """The same on a stream: keys…, ts, event_id of the events let through, each once the watermark has passed it.
 
-    Events wait for the watermark, so they are taken in the order of their times however they arrive; a key holds those
-    of the watermark's delay and one time. A key without requests for a span is forgotten.
+    Events wait for the watermark in an aggregation by key and time, spread over all tasks, so they are taken in the order of
+    their times however they arrive. What a batch's watermark has passed of a key then goes through the task that holds its state,
+    as two numbers an event. A key without requests for a span is forgotten.
     """
-    brief = events.withWatermark("ts", late).select(*keys, "ts", F.unix_micros("ts").alias("us"), "event_id")
+    due = events.withWatermark("ts", late).where(F.col("ts").isNotNull()).groupBy(*keys, "ts").agg(F.min("event_id").alias("event_id"))
+    brief = due.select(*keys, "ts", F.unix_micros("ts").alias("us"), "event_id")
     found = brief.groupBy(*keys).transformWithStateInPandas(Spans(keys, ttl_seconds * 1_000_000), f"{_kinds(brief, keys)}us long, event_id long", "append", "EventTime")
     return found.select(*keys, F.timestamp_micros("us").alias("ts"), "event_id")

@@ -1,7 +1,10 @@
 """Stateful stream operators: equal to their batch forms however the events are cut into micro-batches."""
 
 import datetime as dt
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +111,39 @@ def test_chains_cost_their_events_and_not_their_squares(spark, monkeypatch):
     assert sum(df.count() for name, _, df in written if name == "links") < 3 * len(rows)
 
 
+class Held:
+    """A state, and the handle that gives it."""
+
+    def __init__(self):
+        self.rows, self.timers = [], set()
+        self.getValueState = self.getListState = lambda *_: self
+        self.registerTimer, self.deleteTimer = self.timers.add, self.timers.discard
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return self.rows[-1]
+
+    def update(self, row):
+        self.rows = [row]
+
+    def appendList(self, rows):
+        self.rows = self.rows or [(0, 0, 0)]
+
+
+def test_a_busy_key_of_a_stream_holds_numbers_only():
+    held, n = spans.Spans(["endpoint"], 60_000_000), 300_000
+    held.init(Held())
+    frames = (pd.DataFrame({"us": np.arange(i, i + 10_000) * 1000 + 1, "event_id": np.arange(i, i + 10_000)}) for i in range(0, n, 10_000))
+    tracemalloc.start()
+    found = list(held.handleInputRows(("a",), frames, None))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 * n
+    assert found[0]["event_id"].tolist() == list(range(0, n, 60_000))
+
+
 @pytest.mark.parametrize("cuts", [1, 3])
 def test_spans_of_a_stream(spark, tmp_path, cuts):
     table, events, until = drained(spark, tmp_path, ROWS, cuts, lambda e: spans.first_of_spans_stream(e, ["endpoint"], 900), "spans")
