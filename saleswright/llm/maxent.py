@@ -24,8 +24,8 @@ CLASS_ROWS = MEMBER_ROWS = 1 << 15
 #: Passes over all training texts; in each, a task takes a gradient step for every chunk, and the tasks' weights are averaged.
 PASSES = 1
 RATE, SMOOTH, LARGEST = 0.4, 20.0, 6.0
-#: Tokens of a chunk of texts (a longer text is alone), of a task that sums gradients, and of a numpy batch.
-CHUNK, TASK, BATCH = 1 << 20, 8 << 20, 1 << 14
+#: Tokens of a chunk of texts (a longer text is alone), of a task that sums gradients, of a numpy batch, and of a part of one that stays in the processor's cache.
+CHUNK, TASK, BATCH, PART = 1 << 20, 8 << 20, 1 << 15, 1 << 11
 BLOCK = 1 << 14
 #: What stands for the end of a text; no word holds a newline.
 END = b"\n"
@@ -38,10 +38,18 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) & ~(CELLS - 1) | cell
 
 
+class _Numbers(dict):
+    """Words by the order in which they come up."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as token numbers, packed into chunk rows that each carry their own vocabulary."""
     part, seq = TaskContext.get().partitionId(), 0
-    words: dict[bytes, int] = {END: 0}
+    words = _Numbers({END: 0})
     docs, train, lens, ids = [], [], [], []
     held = 0
 
@@ -67,7 +75,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = (text or b"").translate(LOWER).split()
             if docs and held + len(found) > CHUNK:
                 yield packed()
-            ids.append(np.fromiter((words.setdefault(w, len(words)) for w in (*found, END)), "<u4", len(found) + 1))
+            ids.append(np.fromiter(map(words.__getitem__, (*found, END)), "<u4", len(found) + 1))
             docs.append(doc)
             train.append(learn)
             lens.append(len(found) + 1)
@@ -134,24 +142,29 @@ class Chunk:
 
 
 def _softmax(start: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    z = start + weights[rows[0]]
-    for r in rows[1:]:
-        z += weights[r]
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+    """Shares of each line. Weights end at ``LARGEST``, so no exponential is beyond 32-bit floats."""
+    out = np.empty((len(rows[0]), weights.shape[1]), np.float32)
+    ones = np.ones(weights.shape[1], np.float32)
+    for low in range(0, len(out), PART):
+        at = slice(low, low + PART)
+        z = out[at]
+        np.add(start if start.ndim == 1 else start[at], weights.take(rows[0][at], axis=0), out=z)
+        for r in rows[1:]:
+            z += weights.take(r[at], axis=0)
+        np.exp(z, out=z)
+        z /= (z @ ones)[:, None]
+    return out
 
 
 def _add_rows(total: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """total[rows] += values, with repeated rows summed first. 16-bit rows are sorted by radix."""
+    """total[rows] += values, repeated rows included. Over flat arrays, where numpy adds in place without a sort; ordered rows are summed by run, two columns at a time."""
+    width = total.shape[1]
     if (rows[1:] >= rows[:-1]).all():
-        own, ordered = rows, values
-    else:
-        order = np.argsort(rows, kind="stable")
-        own, ordered = rows[order], values[order]
-    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-    total[own[first]] += np.add.reduceat(ordered, first, axis=0)
+        first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+        total[rows[first]] += np.add.reduceat(values.view(np.complex64), first, axis=0).view(np.float32)
+        return
+    cells = rows.astype(np.intp)[:, None] * width + np.arange(width)
+    np.add.at(total.reshape(-1), cells.reshape(-1), values.reshape(-1))
 
 
 SIZES = (CLASS_ROWS * CLASSES, CLASS_ROWS, MEMBER_ROWS * MEMBERS, MEMBER_ROWS)
@@ -175,19 +188,23 @@ def _steps(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
                 continue
             # In order of the last word: its row is then the same for many tokens in a row.
             places = places[np.argsort(chunk.last_row(places), kind="stable")]
-            expected, e = np.zeros((CLASS_ROWS, CLASSES), np.float32), np.zeros((MEMBER_ROWS, MEMBERS), np.float32)
+            expected, e = np.zeros((CLASS_ROWS, CLASSES)), np.zeros((MEMBER_ROWS, MEMBERS))
+            part, member_part = (np.zeros(x.shape, np.float32) for x in (expected, e))
             observed: list[list[np.ndarray]] = [[], []]
             for low in range(0, len(places), BATCH):
                 rows, members, cell = chunk.features(places[low:low + BATCH])
                 cls = cell // MEMBERS
                 p = _softmax(model.class_prior, model.class_weights, rows)
                 for r in rows:
-                    _add_rows(expected, r, p)
+                    _add_rows(part, r, p)
                     observed[0].append(r.astype(np.int32) * CLASSES + cls)
                 q = _softmax(model.member_prior[cls], model.member_weights, members)
                 for r in members:
-                    _add_rows(e, r, q)
+                    _add_rows(member_part, r, q)
                     observed[1].append(r.astype(np.int32) * MEMBERS + cell % MEMBERS)
+                for total, x in ((expected, part), (e, member_part)):  # a batch's sums are short enough for 32 bits
+                    total += x
+                    x.fill(0)
             seen, member_seen = (np.bincount(np.concatenate(found), minlength=x.size).reshape(x.shape) for found, x in zip(observed, (expected, e)))
             rows_on += seen.sum(axis=1, dtype=np.float32)
             members_on += member_seen.sum(axis=1, dtype=np.float32)

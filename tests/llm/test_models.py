@@ -2,6 +2,7 @@
 
 import os
 import sys
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -62,6 +63,26 @@ def test_base_scores_and_gain(docs):
     assert held and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_shares_and_sums_of_a_batch_need_little_beyond_their_results():
+    draw = np.random.default_rng(3)
+    weights = np.clip(draw.standard_normal((maxent.CLASS_ROWS, maxent.CLASSES)) * 4, -maxent.LARGEST, maxent.LARGEST).astype(np.float32)
+    rows = [draw.integers(0, maxent.CLASS_ROWS, 1 << 16).astype(np.uint16) for _ in range(4)]
+    start = np.log(draw.random(maxent.CLASSES) + 1e-9).astype(np.float32)
+    tracemalloc.start()
+    p = maxent._softmax(start, weights, rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * p.nbytes  # the rest is in parts that stay in the cache
+    z = start.astype(float) + sum(weights[r].astype(float) for r in rows)
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    assert np.allclose(p, z / z.sum(axis=1, keepdims=True), rtol=1e-4, atol=1e-7)
+    for r in (rows[0], np.sort(rows[0]), np.full(1 << 16, 5, np.uint16)):
+        total, wanted = np.zeros((maxent.CLASS_ROWS, maxent.CLASSES), np.float32), np.zeros((maxent.CLASS_ROWS, maxent.CLASSES))
+        maxent._add_rows(total, r, p)
+        np.add.at(wanted, r, p.astype(float))
+        assert np.allclose(total, wanted, rtol=1e-3)
+
+
 def test_probabilities_add_up_to_one():
     draw = np.random.default_rng(2)
     model = maxent.Model(*(np.log(x / x.sum(axis=-1, keepdims=True)).astype(np.float32) for x in (draw.random(maxent.CLASSES), draw.random((maxent.CLASSES, maxent.MEMBERS)))),
